@@ -102,10 +102,10 @@ def depth_sigma(z: Column, base: float = 0.001) -> Column:
     return base + 0.002 * z * z
 
 
-def observation_weight(z: Column, cosine: Column, edge: Column, fitted: Column = F.lit(True)) -> Column:
+def observation_weight(z: Column, cosine: Column, edge: Column, fitted: Column | None = None) -> Column:
     """Relative inverse variance by the squared cosine of incidence; 0 at edges, without depth and at grazing angles."""
     weight = F.least(F.greatest(F.pow(0.003 / depth_sigma(z), 2), F.lit(0.05)), F.lit(1.0)) * cosine * cosine
-    gone = z.isNull() | F.isnan(z) | (z <= 0) | edge | (fitted & (cosine < 0.25))
+    gone = z.isNull() | F.isnan(z) | (z <= 0) | edge | (cosine < 0.25 if fitted is None else fitted & (cosine < 0.25))
     return F.when(F.coalesce(gone, F.lit(True)), 0.0).otherwise(weight)
 
 

@@ -76,8 +76,8 @@ def reciprocal_shortlist(rows: DataFrame, ident: str, vector: str, nearest: int
     return kept.select(F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j"), "distance").distinct()
 
 
-def radius_nearest(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: float, ident: str) -> DataFrame:
-    """Each row of a with the nearest row of b strictly within radius: a_id, b_id, distance; ties to the smaller id.
+def radius_nearest(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: float, ident: str, decimals: int = 9) -> DataFrame:
+    """Each row of a with the nearest row of b strictly within radius: a_id, b_id, distance; distances are rounded to decimals, ties go to the smaller id.
 
     Points meet by grid cells as wide as the radius and their neighbours.
     """
@@ -88,7 +88,7 @@ def radius_nearest(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: fl
     right = b.select(F.col(ident).alias("b_id"), *(F.col(x).alias(f"_b{x}") for x in axes), moves.alias("_m"))
     right = right.select("b_id", *(f"_b{x}" for x in axes), *((cell(F.col(f"_b{x}"), radius) + F.col("_m")[k]).alias(k) for x, k in zip(axes, keys, strict=True)))
     d = F.sqrt(sum((F.pow(F.col(f"_a{x}") - F.col(f"_b{x}"), 2) for x in axes), F.lit(0.0)))
-    met = left.join(right, keys).withColumn("distance", d).where(F.col("distance") < radius)
+    met = left.join(right, keys).withColumn("distance", F.round(d, decimals)).where(d < radius)
     return met.groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("_b")).select("a_id", "_b.b_id", "_b.distance")
 
 

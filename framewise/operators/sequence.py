@@ -110,7 +110,8 @@ def best_of_recent(df: DataFrame, keys: tuple[str, ...], score: str, valid: str,
 
 def bounded_history(df: DataFrame, keys: tuple[str, ...], t: str = "t", window: float = 8.0, rows: int = 256) -> DataFrame:
     """df with n_recent (rows within window, rows at most) and recent_from (the time from which they are whole)."""
-    by_time = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(t).rangeBetween(-window, 0))
+    micros = F.round(F.col(t) * 1e6).cast("long")
+    by_time = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(micros).rangeBetween(-round(window * 1e6), 0))
     oldest = F.lag(t, rows - 1).over(Window.partitionBy(*keys).orderBy(t))
     return df.withColumns({"n_recent": F.least(by_time, F.lit(rows).cast("long")), "recent_from": F.greatest(F.col(t) - window, F.coalesce(oldest, F.col(t) - window))})
 
