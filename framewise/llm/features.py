@@ -86,7 +86,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             for text in b.column(0):
                 df += counts(text.as_py(), cache)[0] > 0
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1)), pa.array(np.append(df, n))], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1), pa.int32()), pa.array(np.append(df, n), pa.int64())], ["feature", "n"])
 
     parts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "feature int, n long")
     df = np.zeros(SIZE + 1, np.int64)

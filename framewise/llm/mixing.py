@@ -122,7 +122,7 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
                 r = _rates(p, steps)
                 total[:n] += (w * r) @ p
                 total[n:] += ((p * (w * (r > 0))[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
         found = np.zeros(n + n * n)
         for k, v in rows.select("posterior", "tokens").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v")).collect():

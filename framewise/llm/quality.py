@@ -68,6 +68,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
     return sides[0].unionByName(sides[1])
 
 
+def latent_axes(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from a seeded start."""
+    y = np.random.default_rng(3).standard_normal((x.shape[1], min(dimensions + 16, *x.shape)), np.float32)
+    for _ in range(rounds):
+        y, _ = np.linalg.qr(x.T @ (x @ y))
+    _, _, turn = np.linalg.svd(x @ y, full_matrices=False)
+    return np.ascontiguousarray((y @ turn.T)[:, :dimensions], np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Fits on up to sample labelled documents of each class; idf counts all of docs.
 
@@ -84,8 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     if not len(rows):
         return Model(idf, np.zeros((features.SIZE, 1), np.float32), np.zeros((0, 1), np.float32), label, label, 0.5)
     x = features.weighted(raw, idf)
-    _, axes = np.linalg.eigh(x.T @ x)
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS], np.float32)
+    axes = latent_axes(x, DIMENSIONS)
     sizes = {k: float(np.sum(label == k)) for k in set(label.tolist())}
     weights = np.array([t / sizes[k] for k, t in zip(label.tolist(), total, strict=True)])
     totals = {k: t for k, t in zip(label.tolist(), total, strict=True)}
