@@ -63,7 +63,7 @@ def pair_step(waiting: list[tuple[float, int]], pending: tuple[float, int] | Non
 
 
 def stream_pairing(stream: DataFrame, key: str, tolerance: float, quiet: str = "10 minutes") -> DataFrame:
-    """Pairs per key from a stream (key, id, t double, ts timestamp, kind 'a' or 'b'); state ends after quiet without rows."""
+    """Pairs per key from a stream (key, id, t double, ts timestamp, kind 'a' or 'b'); state ends when event time is quiet past a key's last row."""
     ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
 
     def run(group_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,10 +76,11 @@ def stream_pairing(stream: DataFrame, key: str, tolerance: float, quiet: str = "
         side = lambda k: list(zip(rows.loc[rows.kind == k, "t"].tolist(), rows.loc[rows.kind == k, "id"].tolist(), strict=True))
         waiting, pending, pairs = pair_step(waiting, pending, side("b"), side("a"), tolerance)
         state.update(([t for t, _ in waiting], [i for _, i in waiting], pending and pending[0], pending and pending[1]))
-        state.setTimeoutDuration(ms)
+        last = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ms)
         yield pd.DataFrame([(group_key[0], *p) for p in pairs], columns=["key", "a_id", "b_id", "a_t", "b_t"])
 
-    return stream.groupBy(key).applyInPandasWithState(run, "key long, a_id long, b_id long, a_t double, b_t double", "times array<double>, ids array<long>, pending_t double, pending_id long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", quiet).groupBy(key).applyInPandasWithState(run, "key long, a_id long, b_id long, a_t double, b_t double", "times array<double>, ids array<long>, pending_t double, pending_id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_gap_sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
