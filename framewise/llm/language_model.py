@@ -21,7 +21,7 @@ from .elias_fano import Levels, Monotone, pack, write_shared
 #: Pseudo-count of the lower order under each context (Dirichlet smoothing).
 KAPPA = 8.0
 #: Tokens of a chunk of documents, and of a shard of the trie at most about.
-CHUNK, SHARD = 1_000_000, 2_500_000
+CHUNK, SHARD = 1_000_000, 1_250_000
 #: Words whose hashes a worker caches.
 CACHE = 200_000
 #: Word pairs beyond this share of the tokens in the heads of the partitions are counted apart, so that no shard holds one of them.
