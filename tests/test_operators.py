@@ -258,3 +258,47 @@ def test_cascades(spark):
     assert sorted(r.r for r in rows.select(score.first_reason(rules).alias("r")).collect()) == ["a", "a", "accepted", "b"]
     bad = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0), (1, 1, 0.5, 0.6, 1.0), (1, 1, 0.7, 0.0, 1.0)], "k long, q long, t double, lo double, hi double")
     assert {r.reason for r in score.validate_stream(bad, ["k"], "q", "t", "lo", "hi").collect()} == {"repeated identity"}
+
+
+def test_fits(spark):
+    from framewise.operators import fit
+
+    rng = np.random.default_rng(8)
+    p = rng.uniform(-1, 1, (60, 3)) + [0, 0, 2]
+    pose = fit.twist_pose(np.array([0.1, -0.2, 0.05, 0.3, 0.1, -0.2]))
+    q = p @ pose[:3, :3].T + pose[:3, 3]
+    q[:4] += 0.5  # outliers
+    df = spark.createDataFrame([(1, *map(float, a), *map(float, b)) for a, b in zip(p, q, strict=True)], "k long, px double, py double, pz double, qx double, qy double, qz double")
+    found = np.array(fit.trimmed_fit(df, ["k"], limit=0.2, rounds=4).first().pose).reshape(4, 4)
+    assert np.allclose(found, pose, atol=1e-6)
+    flat = np.column_stack([rng.uniform(-1, 1, (80, 2)), np.full(80, 0.5)])
+    flat[:5, 2] += 1
+    n, d, s = fit.plane(flat)
+    assert np.allclose(n, [0, 0, 1], atol=1e-9) and d == pytest.approx(0.5) and s < 1e-9
+    line = spark.createDataFrame([(1, float(i), 2.0 * i) for i in range(10)], "k long, x double, y double")
+    got = fit.condition(line, ["k"], ["x", "y"]).first()
+    assert got.least == pytest.approx(0, abs=1e-9) and got.most > 1
+    raw = rng.standard_normal((50, 3))
+    a, rmse = fit.affine_calibration(spark.createDataFrame([(*map(float, v), *map(float, (2 * v + 0.1) / 9.80665)) for v in raw], "ax double, ay double, az double, ux double, uy double, uz double"))
+    assert np.allclose(a, np.column_stack([2 * np.eye(3), np.full(3, 0.1)])) and rmse < 1e-6
+    votes = fit.place_votes(spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "q long, l string"), "q", "l")
+    assert {r.l: r.votes for r in votes.collect()} == {"a": 2, "b": 1}
+    sup = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 1, 2), (2, 3, 4)], "bridge long, a long, b long")
+    assert [r.bridge for r in fit.independent_supports(sup, "bridge", "a", "b").collect()] == [2]
+
+
+def test_registration(spark):
+    from framewise.operators import fit
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for axis in range(3):  # three faces of a box
+        pts = rng.uniform(0, 0.5, (120, 3))
+        pts[:, axis] = 0
+        rows += [(*v, *np.eye(3)[axis]) for v in pts]
+    target = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], "id long, x double, y double, z double, nx double, ny double, nz double")
+    move = fit.twist_pose(np.array([0.01, -0.02, 0.01, 0.01, -0.005, 0.008]))
+    src = np.array([r[:3] for r in rows]) @ move[:3, :3].T + move[:3, 3]
+    source = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(src)], "id long, x double, y double, z double")
+    found = fit.icp(source, target, radii=(0.12, 0.06), rounds=(3, 3))
+    assert np.allclose(found @ move, np.eye(4), atol=2e-3)
