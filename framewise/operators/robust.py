@@ -19,8 +19,8 @@ def rmse(error: Column) -> Column:
 
 
 def saturated_loss(error: Column, cap: float) -> Column:
-    """Mean of min(|error|, cap)^2."""
-    return F.avg(F.pow(F.least(F.abs(error), F.lit(cap)), 2))
+    """Mean of min(|error|, cap)^2 over known errors."""
+    return F.avg(F.when(error.isNotNull(), F.pow(F.least(F.abs(error), F.lit(cap)), 2)))
 
 
 def capped_rmse(error: Column, cap: float) -> Column:

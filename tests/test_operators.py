@@ -90,7 +90,7 @@ def test_pairing_scenarios(spark):
 
 
 def events(spark, rows):
-    return spark.createDataFrame(rows, "k long, id long, t double, v double")
+    return spark.createDataFrame([(k, i, float(t), float(v)) for k, i, t, v in rows], "k long, id long, t double, v double")
 
 
 def test_segments_and_history(spark):
