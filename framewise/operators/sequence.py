@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import wrap_delta
 
 
+#: Unbroken runs of a key that one task folds at once.
+RUNS = 256
+
+
 def _order(keys: tuple[str, ...], t: str, ties: tuple[str, ...] = ()):
     return Window.partitionBy(*keys).orderBy(t, *ties)
 
@@ -188,8 +192,8 @@ def gravity_rows(t: np.ndarray, v: np.ndarray, g: float = 9.80665, tau: float =
 
 
 def gravity_filter(df: DataFrame, key: str, t: str = "t", axes: tuple[str, str, str] = ("ax", "ay", "az"), ident: str = "id", gap: float = 0.25, tau: float = 0.12) -> DataFrame:
-    """Gravity per sample of each key. The fold resets at gaps, so a key is cut into groups there."""
-    cut = islands(df, (key,), t, gap, "_island", (ident,))
+    """Gravity per sample of each key. The fold resets at gaps, so a key is cut there into groups of RUNS unbroken runs."""
+    cut = islands(df, (key,), t, gap, "_island", (ident,)).withColumn("_island", F.floor(F.col("_island") / RUNS))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values([t, ident])
