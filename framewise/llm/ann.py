@@ -25,6 +25,7 @@ class Forest:
     """
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 7):
+        self.exact, vectors = vectors, vectors.astype(np.float32)
         self.vectors = vectors
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * BITS), np.float32)
         squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
@@ -48,7 +49,7 @@ class Forest:
         query; then all trees ascend together, a bit at a time, until they
         offer the wished share of the rows. A level is taken whole.
         """
-        strings = self._strings(queries, np.zeros(len(queries), np.float32)).astype(np.int64)
+        strings = self._strings(queries.astype(np.float32), np.zeros(len(queries), np.float32)).astype(np.int64)
         n, trees = len(self.vectors), len(self.keys)
         need = min(n * trees, math.ceil(offered * n) + 64)
         lo, hi = np.zeros((trees, len(queries)), np.int64), np.full((trees, len(queries)), n, np.int64)
@@ -77,11 +78,11 @@ class Forest:
         spread = 4e-6 * float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
         for q, found in enumerate(self.candidates(queries, offered)):
             found = found[ids[found] != query_ids[q]]
-            rough = self.vectors[found] @ queries[q]
+            rough = self.vectors[found] @ queries[q].astype(np.float32)
             if len(found) > k:
                 least = np.partition(rough, -k)[-k]
                 found = found[rough >= least - spread * float(np.linalg.norm(queries[q]))]
-            score = self.vectors[found].astype(np.float64) @ queries[q].astype(np.float64)
+            score = self.exact[found].astype(np.float64) @ queries[q].astype(np.float64)
             best = np.lexsort((ids[found], -score))[:k]
             out_q.append(np.full(len(best), q)), out_i.append(ids[found[best]]), out_s.append(score[best])
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
@@ -118,7 +119,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         ids = group.column("id").to_numpy()
         v = group.column("v").combine_chunks()
         v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy().reshape(len(ids), -1)
-        q, i, s = Forest(v[~asks].astype(np.float32)).search(ids[~asks], v[asks].astype(np.float32), ids[asks], k, offered) if asks.any() and not asks.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        q, i, s = Forest(v[~asks]).search(ids[~asks], v[asks], ids[asks], k, offered) if asks.any() and not asks.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in v[asks]], np.uint64).view(np.int64) if asks.any() else np.zeros(0, np.int64)
         return pa.table({"query_id": ids[asks][q], "mark": mark[q] if len(q) else np.zeros(0, np.int64), "vec_id": i, "score": s})
 
