@@ -18,6 +18,8 @@ DOMAINS = ((1, 0), (1, 1), (0, 0), (0, 1))
 TARGETS = (0.90, 0.05, 0.04, 0.01)
 #: The first domain's expected tokens after mixing over those before; at 1 or more its pure documents stay.
 GROWTH = 1.1
+#: How far a domain's expected tokens can be raised, and the largest rate of a document: no target makes rare documents pile up.
+LIFT, MOST = 2.0, 4.0
 #: Labelled rows of each domain that the classifier is fitted on, at most, and its steps and ridge.
 SAMPLE, STEPS, RIDGE = 1024, 200, 1e-4
 #: Gradient steps, and the relative error of a target at which they end.
@@ -95,10 +97,10 @@ def memberships(docs: DataFrame, classifier: Classifier, text_col: str = "text")
 
 
 def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after projected gradient steps, each along -p @ step and cut at 0, from rate 1."""
+    """Rates after projected gradient steps, each along -p @ step and cut to 0 to MOST, from rate 1."""
     r = np.ones(len(p))
     for s in steps:
-        r = np.maximum(0.0, r - p @ s)
+        r = np.clip(r - p @ s, 0.0, MOST)
     return r
 
 
@@ -109,7 +111,9 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
     domain tokens against targets over rates >= 0, by projected gradient in
     the metric of the domains' token moments. A document's rate follows from
     its posterior and the past steps (one number per domain each), so a round
-    is one aggregation and nothing per document is kept or collected.
+    is one aggregation and nothing per document is kept or collected. A target
+    above LIFT times what a domain has is lowered to that, so that a domain
+    that is hardly there doesn't repeat its few documents without end.
     """
     n = len(targets)
 
@@ -121,7 +125,7 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
                 w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
                 r = _rates(p, steps)
                 total[:n] += (w * r) @ p
-                total[n:] += ((p * (w * (r > 0))[:, None]).T @ p).ravel()
+                total[n:] += ((p * (w * ((r > 0) & (r < MOST)))[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
         found = np.zeros(n + n * n)
@@ -136,7 +140,7 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
         scale = max(float(np.trace(moments)), 1e-9)
         if want is None:
             share = np.array(targets) / sum(targets)
-            want = share * growth * have[0] / share[0]
+            want = np.minimum(share * growth * have[0] / share[0], np.append(np.inf, LIFT * have[1:]))
         if len(steps) == rounds or np.abs(have - want).max() <= CLOSE * max(want.sum(), 1e-9):
             break
         steps.append(np.linalg.solve(moments + 1e-6 * scale * np.eye(n), have - want))
