@@ -42,12 +42,12 @@ class Classifier:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Classifier:
-    """Fits on up to sample labelled documents of each domain, by the smallest hashes of their ids; idf counts all of docs.
+    """Fits on up to sample labelled documents of each domain, by the smallest hashes of their ids. Features are weighted alike, so no pass over all texts is needed.
 
     Rows are weighted to the domains' shares among all labelled rows. A domain
     without labels gets a posterior near 0.
     """
-    idf = features.idf(*features.document_frequencies(docs, text_col))
+    idf = np.ones(features.SIZE, np.float32)
     own = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     sizes = {(r.quality, r.toxic): r["count"] for r in own.groupBy("quality", "toxic").count().collect()}
     picked = None
@@ -147,8 +147,11 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
     return steps, have, want
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with posterior, tokens, rate and copies added.
+def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with posterior, tokens, rate and copies added; without the text if keep_text is false.
+
+    The texts are read once: documents with their posteriors are written to
+    the shared folder, and the fit and the result read that table.
 
     rate is the fitted number of times that a document occurs; copies is a
     whole number near it, drawn by a hash of the id and the text, whose mean
@@ -157,22 +160,22 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     rows get equal copies; an empty table gives no rows; columns of these
     names are replaced.
     """
-    base = docs.drop("posterior", "tokens", "rate", "copies")
+    base = docs.drop("posterior", "tokens", "rate", "copies", "_chance")
     classifier = fit_classifier(base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample)
-    known = materialise(memberships(base.select(text_col), classifier, text_col).select("posterior", "tokens"), "memberships")
-    steps, _, _ = fit_rates(known, targets, growth)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
+    member = memberships(base, classifier, text_col).withColumn("_chance", chance)
+    known = materialise(member if keep_text else member.drop(text_col), "memberships")
+    steps, _, _ = fit_rates(known.select("posterior", "tokens"), targets, growth)
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(b.schema.names.index("posterior")).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, steps))], [*b.schema.names, "rate"])
 
-    member = memberships(base, classifier, text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in member.schema.fields)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
-    return member.mapInArrow(rates, f"{kinds}, rate double").withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
+    return known.mapInArrow(rates, f"{kinds}, rate double").withColumn("copies", F.floor(F.col("rate") + F.col("_chance")).cast("int")).drop("_chance")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", *(F.col("posterior")[k].alias(f"p_quality{q}_toxic{t}") for k, (q, t) in enumerate(DOMAINS)), "tokens", "rate", "copies")
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False).select("doc_id", *(F.col("posterior")[k].alias(f"p_quality{q}_toxic{t}") for k, (q, t) in enumerate(DOMAINS)), "tokens", "rate", "copies")
