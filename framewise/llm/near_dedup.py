@@ -22,8 +22,8 @@ MINIMA, ROWS, BITS = 128, 5, 2
 BANDS = MINIMA // ROWS
 #: Standard deviations by which the estimate may fall short of the threshold before a candidate is let go.
 SLACK = 5
-#: Documents of one task of the confirmation, and of a block of a bucket, at most about.
-GROUP = 64
+#: Documents of one group of the confirmation, and of a block of a bucket, at most about.
+GROUP, BLOCK = 64, 256
 #: Words whose hashes a worker caches.
 CACHE = 200_000
 
@@ -146,42 +146,90 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return members.join(texts, "doc_id").groupBy("a", "part").applyInPandas(check, "a long, b long")
 
 
-def rest_pairs(bands: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket in different components: all of them, compared in blocks by bit counts.
+def rest_members(bands: DataFrame, least: float) -> DataFrame:
+    """Members of buckets that hold several components and that are candidates there: key, x, y, band, id, component.
 
-    bands: id, planes, component, key of buckets that hold several components.
-    A bucket is dealt into blocks of about GROUP * 4 members, and blocks of a
-    bucket meet by an equi-join, so that no task holds a whole bucket.
+    bands: id, planes, bands, component, key, band. A bucket is dealt into
+    blocks of about BLOCK members and its blocks meet by an equi-join, so no
+    task holds a whole bucket. A pair counts where its estimate reaches least,
+    its components differ and no earlier band is shared: once in all buckets.
+    Members are returned, not pairs: at most two blocks of them a meeting.
     """
-    size = GROUP * 4
-    n = bands.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    n = bands.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocks = bands.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = blocks.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "planes")).alias("rows"))
+    blocks = blocks.groupBy("key", "block").agg(F.min("band").alias("band"), F.collect_list(F.struct("id", "component", "planes", "bands")).alias("rows"))
     blocks = materialise(blocks, "near-blocks")
-    pairs = blocks.alias("x").join(blocks.select("key", F.col("block").alias("other"), F.col("rows").alias("others")), "key").where("block <= other").select("rows", "others")
-    words_ = MINIMA // 64
+    pairs = blocks.join(blocks.select("key", F.col("block").alias("other"), F.col("rows").alias("others")), "key").where("block <= other").select("key", F.col("block").alias("x"), F.col("other").alias("y"), "band", "rows", "others")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                side = []
-                for c in (0, 1):
+                sides = []
+                for c in (4, 5):
                     s = batch.column(c)[k].values
-                    planes = s.field("planes").flatten().to_numpy().view(np.uint64).reshape(-1, BITS * words_)
-                    side.append((s.field("id").to_numpy(), s.field("component").to_numpy(), planes))
-                (ia, ca, pa_), (ib, cb, pb) = side
-                same = np.full((len(ia), len(ib)), MINIMA, np.int64)
-                for w in range(words_):
-                    differ = np.zeros((len(ia), len(ib)), np.uint64)
-                    for bit in range(BITS):
-                        differ |= pa_[:, None, bit * words_ + w] ^ pb[None, :, bit * words_ + w]
-                    same -= np.bitwise_count(differ)
-                est = (same / MINIMA - 0.5**BITS) / (1 - 0.5**BITS)
-                i, j = np.nonzero((est >= least) & (ca[:, None] != cb[None, :]))
-                lo, hi = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
-
-    return pairs.mapInArrow(meet, "a long, b long").where("a < b").distinct()
+                    sides.append((s.field("id").to_numpy(), s.field("component").to_numpy(), s.field("planes").flatten().to_numpy().view(np.uint64).reshape(-1, BITS * MINIMA // 64), s.field("bands").flatten().to_numpy().reshape(-1, BANDS)))
+                i, j, _ = candidates(*sides, batch.column(3)[k].as_py(), least)
+                ids = np.concatenate([sides[0][0][i], sides[1][0][j]])
+                ids, first = np.unique(ids, return_index=True)
+                component = np.concatenate([sides[0][1][i], sides[1][1][j]])[first]
+                head = [pa.array([batch.column(c)[k].as_py()] * len(ids), batch.schema.field(c).type) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(ids), pa.array(component)], ["key", "x", "y", "band", "id", "component"])
+
+    return pairs.mapInArrow(meet, "key long, x int, y int, band int, id long, component long")
+
+
+def candidates(a: tuple, b: tuple, band: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and estimates of the pairs of two sides (id, component, planes, bands) that count in a band."""
+    (ia, ca, pa_, ba), (ib, cb, pb, bb) = a, b
+    n = MINIMA // 64
+    same = np.full((len(ia), len(ib)), MINIMA, np.int64)
+    for w in range(n):
+        differ = np.zeros((len(ia), len(ib)), np.uint64)
+        for bit in range(BITS):
+            differ |= pa_[:, None, bit * n + w] ^ pb[None, :, bit * n + w]
+        same -= np.bitwise_count(differ)
+    est = (same / MINIMA - 0.5**BITS) / (1 - 0.5**BITS)
+    i, j = np.nonzero((est >= least) & (ca[:, None] != cb[None, :]))
+    own = ~(ba[i, :band] == bb[j, :band]).any(axis=1)
+    return i[own], j[own], est[i[own], j[own]]
+
+
+def confirm_members(members: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between components among the members of each meeting of blocks, confirmed on full sets.
+
+    Likely pairs go first, and pairs whose components are joined already are
+    passed over: fewer links than members come out.
+    """
+    ids = materialise(members.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    texts = docs.join(broadcast_if_small(ids, 16), "doc_id", "left_semi")
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        cache, band = _WordHash(), int(group["band"].iloc[0])
+        own = [shingles(t, cache) for t in group["text"]]
+        sets = [set(x.tolist()) for x in own]
+        both = [signature(x) if len(x) else (np.zeros(BITS * MINIMA // 64, np.uint64), np.zeros(BANDS, np.uint64)) for x in own]
+        ident, component = group["id"].to_numpy(), group["component"].to_numpy()
+        side = (ident, component, np.stack([x for x, _ in both]), np.stack([x for _, x in both]))
+        i, j, est = candidates(side, side, band, least)
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for k in np.argsort(-est, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            if x < y and (p := find(component[x])) != (q := find(component[y])):
+                n = len(sets[x] & sets[y])
+                if n and 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                    root[p] = q
+                    found.append(sorted((int(ident[x]), int(ident[y]))))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    joined = members.withColumnRenamed("id", "doc_id").join(texts, "doc_id").withColumnRenamed("doc_id", "id")
+    return joined.groupBy("key", "x", "y").applyInPandas(check, "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +240,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     candidates: first every bucket's smallest id with the rest of its bucket;
     then, in buckets that still hold several components, all pairs across
     components in blocks. The b-bit estimate sorts candidates out, and links
-    are confirmed on the full sets. component_id is the smallest id reachable.
+    are confirmed on the full sets, inside the meetings of blocks. component_id is the smallest id reachable.
     Null and empty texts and null ids are linked with nothing; equal rows are
     one class; an empty table gives no rows; extra columns are not read.
     """
@@ -202,9 +250,10 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     some = own.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy("set_key").agg(F.min("doc_id").alias("id")), "near-classes")
     heads = some.join(classes.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    heads = heads.select(F.col("doc_id").alias("id"), "planes", F.explode("bands").alias("key"))
+    heads = heads.select(F.col("doc_id").alias("id"), "planes", "bands", F.posexplode("bands").alias("band", "key"))
     shared = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    bands = materialise(heads.join(shared, "key"), "near-bands")
+    whole = materialise(heads.join(shared, "key"), "near-bands")
+    bands = whole.select("id", "planes", "key")
 
     hubs = bands.groupBy("key").agg(F.min_by(F.struct("id", "planes"), "id").alias("hub"))
     pairs = bands.join(hubs, "key").where("id > hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.planes").alias("p"), F.col("planes").alias("q"))
@@ -212,11 +261,10 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     edges = materialise(confirm(pairs, plain, percent), "near-links")
     labels = connected_components(edges, "a", "b")
 
-    marked = bands.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = whole.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = rest_pairs(materialise(marked.join(mixed, "key", "left_semi"), "near-mixed"), least)
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    more = materialise(confirm(rest, plain, percent), "near-links")
+    rest = materialise(rest_members(materialise(marked.join(mixed, "key", "left_semi"), "near-mixed"), least), "near-rest")
+    more = materialise(confirm_members(rest, plain, percent, least), "near-links")
     if not more.isEmpty():
         labels = connected_components(edges.unionAll(more), "a", "b")
     classes = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))

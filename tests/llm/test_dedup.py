@@ -79,12 +79,32 @@ def test_near_groups_against_brute_force(spark):
         assert all(got[k].kept == (label[k] == k) for k in range(len(texts)))
 
 
-def test_near_groups_of_blocks(spark):
-    """Buckets with several components are compared whole, in blocks."""
-    rows = [(i, i % 2, [1, 2, 3, 4], 7) for i in range(40)] + [(100 + i, 5, [-1, -2, -3, -4], 7) for i in range(3)]
-    bands = spark.createDataFrame(rows, "id long, component long, planes array<long>, key long")
-    got = {(r.a, r.b) for r in near_dedup.rest_pairs(bands, 0.9).collect()}
-    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 != j % 2}
+def test_candidates_of_blocks(spark, monkeypatch):
+    """Buckets with several components are compared whole, in blocks, each pair once over all bands."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    other = [9] * (near_dedup.BANDS - 2)
+    rows = [(i, i % 2, [1, 2, 3, 4], [5, 7, *other], 7, 1) for i in range(40)] + [(100 + i, 5, [-1, -2, -3, -4], [6, 7, *other], 7, 1) for i in range(3)]
+    rows += [(200, 8, [1, 2, 3, 4], [6, 7, *other], 7, 1)]
+    bands = spark.createDataFrame(rows, "id long, component long, planes array<long>, bands array<long>, key long, band int")
+    got = near_dedup.rest_members(bands, 0.9).collect()
+    # The first forty share the band before, so only 200 is new to them here.
+    assert {r.id for r in got} == {*range(40), 200} and {r.component for r in got if r.id == 200} == {8}
+
+
+def test_large_group_without_a_common_hub(spark, monkeypatch):
+    """Near copies of one text that isn't itself there: links are found although the smallest id isn't near to all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(260)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for _ in range(rng.randint(1, 7)):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), 85).collect()}
+    assert [got[k] for k in range(70)] == brute(texts, 85)[1]
 
 
 def test_near_groups_of_nothing(spark):
