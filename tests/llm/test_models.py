@@ -61,6 +61,16 @@ def test_rates_meet_targets(spark):
     assert (mixing._rates(p, steps) >= 0).all()
 
 
+def test_rates_where_domains_are_all_but_empty(spark):
+    """After a quality stage hardly anything of two domains is left; documents stay all the same."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([50, 3, 0.01, 0.001], 500)
+    rows = spark.createDataFrame([(x.tolist(), 100) for x in p], "posterior array<double>, tokens long")
+    steps, have, want = mixing.fit_rates(rows)
+    r = mixing._rates(p, steps)
+    assert (r <= mixing.MOST).all() and have[0] > 0.95 * want[0] and (r > 0.5).mean() > 0.9
+
+
 def test_mix(spark):
     got = mixing.query(spark, SF).toPandas()
     assert len(got) == 1000 and (got.rate >= 0).all()
