@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Trees, bits of a tree's hash strings, and how many of a shard's rows the trees offer together before the ascent ends (repeats counted).
+#: Trees, bits of a tree's hash strings, and the share of a shard's rows that the trees offer together before the ascent ends (distinct rows).
 TREES, BITS, OFFERED = 64, 32, 0.75
 #: Rows of a shard, and queries that meet a shard at once, at most about.
 SHARD, QUERIES = 32_768, 4_096
@@ -32,7 +32,7 @@ class Forest:
         rest = np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0)).astype(np.float32)
         keys = self._strings(vectors, rest)
         self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
-        self.keys = np.ascontiguousarray(np.take_along_axis(keys.T, self.order, axis=1))
+        self.keys = np.take_along_axis(keys.T, self.order, axis=1).astype(np.int64)
 
     def _strings(self, vectors: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = []
@@ -42,42 +42,55 @@ class Forest:
             out.append(np.packbits(bits.reshape(len(part), -1, BITS), axis=2).view(">u4")[..., 0].astype(np.uint32))
         return np.concatenate(out) if out else np.zeros((0, self.planes.shape[1] // BITS), np.uint32)
 
-    def candidates(self, queries: np.ndarray, offered: float):
-        """Yields each query's candidate rows.
+    def candidates(self, queries: np.ndarray, offered: float, own: list[np.ndarray], k: int):
+        """Yields each query's candidate rows, without its own ones (row numbers).
 
         Each tree is descended to the longest prefix that it shares with the
         query; then all trees ascend together, a bit at a time, until they
-        offer the wished share of the rows. A level is taken whole.
+        offer k distinct rows and 64 above the wished share, or all there
+        are. A level is taken whole.
         """
-        strings = self._strings(queries.astype(np.float32), np.zeros(len(queries), np.float32)).astype(np.int64)
         n, trees = len(self.vectors), len(self.keys)
-        need = min(n * trees, math.ceil(offered * n) + 64)
-        lo, hi = np.zeros((trees, len(queries)), np.int64), np.full((trees, len(queries)), n, np.int64)
-        open_ = np.arange(len(queries))
-        for depth in range(min(BITS, 24), 0, -1):
-            low = strings[open_] >> (BITS - depth) << (BITS - depth)
-            high = low + (1 << (BITS - depth))
-            for t in range(trees):
-                lo[t, open_] = np.searchsorted(self.keys[t], low[:, t])
-                hi[t, open_] = np.searchsorted(self.keys[t], high[:, t])
-            open_ = open_[(hi[:, open_] - lo[:, open_]).sum(axis=0) < need]
-            if not len(open_):
-                break
-        lo[:, open_], hi[:, open_] = 0, n
+        depths = range(min(BITS, 24), 0, -1)
         seen = np.zeros(n, bool)
-        for q in range(len(queries)):
-            for t in range(trees):
-                seen[self.order[t, lo[t, q] : hi[t, q]]] = True
-            found = np.flatnonzero(seen)
-            seen[found] = False
-            yield found
+        for first in range(0, len(queries), 256):
+            part = queries[first : first + 256]
+            strings = self._strings(part.astype(np.float32), np.zeros(len(part), np.float32)).astype(np.int64)
+            # Per level, tree and query the first row and the end of the shared prefix; the last level is the root.
+            lo, hi = np.zeros((len(depths) + 1, trees, len(part)), np.int32), np.full((len(depths) + 1, trees, len(part)), n, np.int32)
+            for level, depth in enumerate(depths):
+                low = strings >> (BITS - depth) << (BITS - depth)
+                high = low + (1 << (BITS - depth))
+                for t in range(trees):
+                    lo[level, t] = np.searchsorted(self.keys[t], low[:, t])
+                    hi[level, t] = np.searchsorted(self.keys[t], high[:, t])
+            sums = (hi - lo).sum(axis=1, dtype=np.int64)
+            for q in range(len(part)):
+                mine = own[first + q]
+                need = min(n - len(mine), max(k, math.ceil(offered * n) + 64))
+                level = int(np.argmax(sums[:, q] >= need))  # fewer offers can't be enough distinct rows
+                old_lo = old_hi = lo[level, :, q]
+                while True:
+                    for t in range(trees):
+                        seen[self.order[t, lo[level, t, q] : old_lo[t]]] = True
+                        seen[self.order[t, old_hi[t] : hi[level, t, q]]] = True
+                    seen[mine] = False
+                    found = np.flatnonzero(seen)
+                    if len(found) >= need:
+                        break
+                    old_lo, old_hi = lo[level, :, q], hi[level, :, q]
+                    level += 1
+                seen[found] = False
+                yield found
 
     def search(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, offered: float = OFFERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, score) of each query's k best candidates, by double-precision inner products, ties to smaller ids."""
         out_q, out_i, out_s = [], [], []
         spread = 4e-6 * float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
-        for q, found in enumerate(self.candidates(queries, offered)):
-            found = found[ids[found] != query_ids[q]]
+        order = np.argsort(ids, kind="stable")
+        left, right = (np.searchsorted(ids, query_ids, side, sorter=order) for side in ("left", "right"))
+        own = [order[a:b] for a, b in zip(left, right, strict=True)]
+        for q, found in enumerate(self.candidates(queries, offered, own, k)):
             rough = self.vectors[found] @ queries[q].astype(np.float32)
             if len(found) > k:
                 least = np.partition(rough, -k)[-k]

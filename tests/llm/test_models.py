@@ -116,6 +116,21 @@ def test_forest_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+@pytest.mark.parametrize("n", [5, 15, 21, 30, 60, 100, 200])
+def test_small_forests_against_brute_force(n, spread):
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= rng.lognormal(0, spread, (n, 1)).astype(np.float32)
+    ids = np.arange(n)
+    q, i, _ = ann.Forest(v).search(ids, v, ids, 20)
+    s = v.astype(np.float64) @ v.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    for k in ids:
+        assert i[q == k].tolist() == np.argsort(-s[k], kind="stable")[: min(20, n - 1)].tolist()
+
+
 def test_pipeline_runs_over_its_stages(spark):
     import corpus_pipeline
 
