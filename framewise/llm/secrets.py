@@ -75,16 +75,16 @@ def linked_weak(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     identifier. A weak secret needs an access identifier; an endpoint needs an
     access identifier and a secret (an assignment or a weak secret) beside it.
     Every access identifier opens the interval [start - scope, end + scope];
-    intervals and parts meet by (row, bin of scope characters), so each bin's
-    rows are bounded by the characters in it, and only documents with an
-    access identifier and a weak part take part.
+    intervals and parts meet by (row, bin of scope characters) in every bin
+    that both touch, so each bin's rows are bounded by the characters in it,
+    and only documents with an access identifier and a weak part take part.
     """
     some = found.where((F.size("access") > 0) & (F.size("weak_secret") + F.size("endpoint") > 0))
     bins = lambda lo, hi: F.sequence(F.floor(F.greatest(lo, F.lit(0)) / scope).cast("long"), F.floor(hi / scope).cast("long"))
     ids = some.select("row", F.explode("access").alias("a")).select("row", F.explode(bins(F.col("a.start") - scope, F.col("a.end") + scope)).alias("bin"), "a")
     # Of one bin the outermost intervals decide for every part in it: those that reach farthest either way.
     ids = ids.groupBy("row", "bin").agg(F.min("a.start").alias("first"), F.max("a.end").alias("last"), F.collect_set(F.struct("a.start", "a.end")).alias("all"))
-    other = some.select("row", F.explode(F.concat("assign", "weak_secret", "endpoint")).alias("p")).withColumn("bin", F.floor(F.col("p.start") / scope).cast("long"))
+    other = some.select("row", F.explode(F.concat("assign", "weak_secret", "endpoint")).alias("p")).withColumn("bin", F.explode(bins(F.col("p.start"), F.col("p.end"))))
     near = (F.col("p.end") >= F.col("first") - scope) & (F.col("p.start") <= F.col("last") + scope)
     met = other.join(ids, ["row", "bin"]).where(near).where(F.exists("all", lambda a: (F.col("p.start") <= a["end"] + scope) & (F.col("p.end") >= a["start"] - scope)))
     met = met.select("row", "p", F.explode(F.filter("all", lambda a: (F.col("p.start") <= a["end"] + scope) & (F.col("p.end") >= a["start"] - scope))).alias("a"))

@@ -50,6 +50,26 @@ def test_weak_parts_alone_are_not_reported(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 2}
 
 
+def test_parts_across_the_edges_of_an_interval(spark):
+    weak, access = "aB3" * 13 + "Q", "AKIA" + "A1" * 8
+    rows = []
+    for at in (960, 1000, 1199):
+        for size in (30, 239, 240, 241, 700):
+            url = "https://" + "x" * (size - 8)
+            for end in (at - 242, at - 241, at - 240, at - 239, at - 200):
+                if end >= size:
+                    rows.append(" " * (end - size) + url + " " * (at - end) + access + " " + weak)
+            for start in (at + 20 + 239, at + 20 + 240, at + 20 + 241):
+                rows.append(" " * at + access + " " + weak + " " * (start - at - 61) + url)
+        for end in (at - 242, at - 240, at - 239, at - 230, at - 205):
+            rows.append(" " * (end - 40) + weak + " " * (at - end) + access + " https://s3.example.com")
+            rows.append(" " * (end - 40) + "token=" + "z" * 34 + " " * (at - end) + access + " https://s3.example.com")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.asDict() for r in secrets.secret_scan(df).collect()}
+    assert got == {r["doc_id"]: r for r in duck(secrets.SQL, documents=df.toPandas())}
+    assert {r["n_linked"] for r in got.values()} == {0, 1, 2}
+
+
 def test_url_verdicts_follow_the_list_of_the_day(spark):
     entries = [("bad.org", "block", "2024-01-10"), ("bad.org", "remove", "2024-02-20"), ("ok.bad.org", "allow", "2024-01-15"), ("x.com/a", "block", "2023-01-01"), ("x.com", "allow", "2023-01-01"), (None, "block", "2024-01-01")]
     e = spark.createDataFrame(entries, "pattern string, action string, listed_on string").selectExpr("pattern", "action", "cast(listed_on as date) as listed_on")
