@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,8 @@ GROWTH = 1.1
 LIFT, MOST = 2.0, 4.0
 #: Labelled rows of each domain that the classifier is fitted on, at most, and its steps and ridge.
 SAMPLE, STEPS, RIDGE = 1024, 200, 1e-4
-#: Gradient steps, and the relative error of a target at which they end.
-ROUNDS, CLOSE = 40, 1e-4
+#: Newton steps at most (a miss is reported), the error relative to its own target at which each target is met, and how softly targets hold (for those out of reach).
+ROUNDS, CLOSE, SOFT = 500, 1e-4, 1e-8
 BLOCK = 256
 
 
@@ -97,63 +98,71 @@ def memberships(docs: DataFrame, classifier: Classifier, text_col: str = "text")
 
 
 def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after projected gradient steps, each along -p @ step and cut to 0 to MOST, from rate 1."""
-    return _walk(p, steps)[0]
-
-
-def _walk(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rates, and the points ahead of them at which the next gradient is taken (accelerated steps)."""
-    r = ahead = np.ones(len(p))
-    for k, s in enumerate(steps):
-        new = np.clip(ahead - p @ s, 0.0, MOST)
-        r, ahead = new, new + k / (k + 3) * (new - r)
-    return r, ahead
+    """Rates after the steps: 1 less p @ their sum, cut to 0 to MOST."""
+    return np.clip(1.0 - p @ np.sum(steps, axis=0), 0.0, MOST) if steps else np.ones(len(p))
 
 
 def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The gradient steps that fit nonnegative rates, and the expected and the wanted domain tokens.
-
-    rows: materialised (posterior, tokens). Least squares of the expected
-    domain tokens against targets over rates >= 0, errors relative to the
-    targets' sizes, by projected gradient with the step that the largest
-    curvature allows, so every round comes nearer. A document's rate follows from
-    its posterior and the past steps (one number per domain each), so a round
-    is one aggregation and nothing per document is kept or collected. A target
-    above LIFT times what a domain has is lowered to that, so that a domain
-    that is hardly there doesn't repeat its few documents without end.
+    """The steps that fit rates of 0 to MOST, and the expected and the wanted domain tokens.
+
+    rows: materialised (posterior, tokens). Of all rates that meet the targets
+    those nearest to 1 (least squares, by tokens) are 1 + posterior @ duals, cut
+    to 0 to MOST, with one dual for each domain. Newton steps with a line search
+    find the duals, until each target is met within CLOSE of itself. A
+    document's rate follows from its posterior and the duals, so a round is one
+    aggregation (of the slopes at all tried lengths of a step) and nothing per
+    document is kept or collected. A target above LIFT times what a domain has
+    is lowered to that, so that a domain that is hardly there doesn't repeat
+    its few documents without end. Where no rates meet all targets, the steps
+    end at the least squares of the errors relative to the targets' sizes.
+    Lowered and missed targets are reported by a warning.
     """
     n = len(targets)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sums(duals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of duals the expected domain tokens, and their derivatives by the duals."""
+        c = len(duals)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * n + n * n)
+            have, slopes = np.zeros((c, n)), np.zeros((c, n * n))
             for b in batches:
                 p = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-                r, ahead = _walk(p, steps)
-                total[:n] += (w * r) @ p
-                total[n : 2 * n] += (w * ahead) @ p
-                total[2 * n :] += ((p * w[:, None]).T @ p).ravel()
+                w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+                r = 1.0 + p @ duals.T
+                have += (w * np.clip(r, 0.0, MOST)).T @ p
+                slopes += (w * ((r > 0) & (r < MOST))).T @ (p[:, :, None] * p[:, None, :]).reshape(-1, n * n)
+            total = np.concatenate([have.ravel(), slopes.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
-        found = np.zeros(2 * n + n * n)
+        found = np.zeros(c * (n + n * n))
         for k, v in rows.select("posterior", "tokens").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v")).collect():
             found[k] = v
-        return found[:n], found[n : 2 * n], found[2 * n :].reshape(n, n)
-
-    steps: list[np.ndarray] = []
-    want = step = None
-    for _ in range(rounds + 1):
-        have, ahead, moments = sums(steps)
-        if want is None:
-            share = np.array(targets) / sum(targets)
-            want = np.minimum(share * growth * have[0] / share[0], np.append(np.inf, LIFT * have[1:]))
-        if len(steps) == rounds or np.abs(have - want).max() <= CLOSE * max(want.sum(), 1e-9):
-            break
-        if step is None:
-            each = 1 / np.sqrt(np.maximum(want, max(1e-3 * want.sum(), 1e-9)))
-            step = each**2 / max(float(np.linalg.eigvalsh(each[:, None] * moments * each).max()), 1e-12)
-        steps.append(step * (ahead - want))
+        return found[: c * n].reshape(c, n), found[c * n :].reshape(c, n, n)
+
+    dual, steps = np.zeros(n), []
+    (have,), (slope,) = sums(dual[None])
+    share = np.array(targets) / sum(targets)
+    asked = share * growth * have[0] / share[0]
+    want = np.minimum(asked, np.append(np.inf, LIFT * have[1:]))
+    size = np.maximum(want, max(1e-9 * have.sum(), 1e-9))
+    lengths = 3.0 ** -np.arange(18)
+    while len(steps) < rounds and (np.abs(have - want) > CLOSE * size).any():
+        left = want - have - SOFT * size * dual
+        if (np.abs(left) <= 0.01 * CLOSE * size).all():
+            break  # the least squares: the targets are out of reach
+        step = np.linalg.solve(slope / np.sqrt(np.outer(size, size)) + SOFT * np.eye(n), left / np.sqrt(size)) / np.sqrt(size)
+        tried = dual + lengths[:, None] * step
+        haves, slopes = sums(tried)
+        # The rise along the step falls with its length: the longest step that doesn't go beyond the best one.
+        rise = (want - haves - SOFT * size * tried) @ step
+        fine = np.flatnonzero(rise >= -1e-6 * (left @ step))
+        k = fine[0] if len(fine) else len(lengths) - 1
+        steps.append(dual - tried[k])
+        dual, have, slope = tried[k], haves[k], slopes[k]
+    missed = [k for k in range(n) if abs(have[k] - asked[k]) > CLOSE * max(asked[k], size[k])]
+    if missed:
+        said = "; ".join(f"domain {k}: {have[k]:.6g} tokens, asked {asked[k]:.6g}" + (f", lowered to {want[k]:.6g}" if want[k] < asked[k] else "") for k in missed)
+        warnings.warn(f"mixing after {len(steps)} rounds, targets not met: {said}", stacklevel=2)
     return steps, have, want
 
 
@@ -166,7 +175,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     rate is the fitted number of times that a document occurs; copies is a
     whole number near it, drawn by a hash of the id and the text, whose mean
     is the rate. Null and empty texts have no tokens and the posterior of an
-    empty text; without labels the posteriors are equal to the priors; equal
+    empty text; targets that no rates meet are reported by a warning (see
+    fit_rates); without labels the posteriors are equal to the priors; equal
     rows get equal copies; an empty table gives no rows; columns of these
     names are replaced.
     """

@@ -71,6 +71,27 @@ def test_rates_where_domains_are_all_but_empty(spark):
     assert (r <= mixing.MOST).all() and have[0] > 0.95 * want[0] and (r > 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("shares", [[0.05, 0.02, 0.90, 0.03], [0.05, 0.90, 0.02, 0.03], [0.05, 0.02, 0.03, 0.90]])
+def test_rates_meet_each_target_where_one_domain_holds_most(spark, shares):
+    rng = np.random.default_rng(6)
+    p, tokens = rng.dirichlet(np.array(shares) / 5, 3000), rng.integers(10, 500, 3000)
+    rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "posterior array<double>, tokens long")
+    steps, have, want = mixing.fit_rates(rows)
+    assert np.allclose((mixing._rates(p, steps) * tokens) @ p, have)
+    assert (np.abs(have - want) <= mixing.CLOSE * want).all()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = spark.createDataFrame([([0.25] * 4, 10)] * 50, "posterior array<double>, tokens long")
+    with pytest.warns(UserWarning, match="domain 0: .* asked"):
+        _, have, _ = mixing.fit_rates(rows)
+    assert np.allclose(have, have[0])
+    only = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], 10)] * 50, "posterior array<double>, tokens long")
+    with pytest.warns(UserWarning, match="domain 3: 0 tokens, asked .* lowered"):
+        _, have, _ = mixing.fit_rates(only)
+    assert have[0] == pytest.approx(550, rel=1e-3)
+
+
 def test_mix(spark):
     got = mixing.query(spark, SF).toPandas()
     assert len(got) == 1000 and (got.rate >= 0).all()
