@@ -119,59 +119,114 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, effort: int = 200_000) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges between underfull bins, each raising the sum of squared fills.
+def _sums(sizes: list[int]) -> tuple[int, int]:
+    """Bit sets of the sizes and of the sums of two."""
+    one = two = 0
+    for s in sizes:
+        two |= one << s
+        one |= 1 << s
+    return one, two
+
+
+def _raised(bits: int, room: int) -> int:
+    """Bit set of all numbers that are 1 to room above one of the set."""
+    bits, width = bits << 1, 1
+    while width < room:
+        step = min(width, room - width)
+        bits |= bits << step
+        width += step
+    return bits
+
+
+class _Takers:
+    """What the underfull bins can take: per bin the sums of one and of two pieces that an exchange with it would gain by.
+
+    Bit sets lie with a word of all bins in one row, so a giver looks at all
+    bins by the few words that its own sums stand in.
+    """
 
-    The emptiest bins give to the fuller ones until they are empty. effort
-    bounds the pairs of bins that are looked at; it never drops a piece.
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.words, self.every = capacity // 64 + 1, (1 << capacity + 1) - 1
+        self.one, self.two = np.zeros((self.words, len(bins)), "<u8"), np.zeros((self.words, len(bins)), "<u8")
+        self.fill, self.changed, self.clock = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64), 0
+        for k in range(len(bins)):
+            self.update(k)
+
+    def _words(self, bits: int) -> np.ndarray:
+        return np.frombuffer((bits & self.every).to_bytes(8 * self.words, "little"), "<u8")
+
+    def update(self, k: int) -> None:
+        own = self.sizes[self.bins[k]].tolist()
+        self.fill[k], self.changed[k] = sum(own), self.clock
+        room = self.capacity - int(self.fill[k])
+        one, two = _sums(own) if room and own else (0, 0)
+        self.one[:, k] = self._words(_raised(1 | one | two, room) if room and own else 0)
+        self.two[:, k] = self._words(_raised(one, room) if room and own else 0)
+
+    def find(self, give: int, since: int) -> int | None:
+        """The fullest bin, at least as full as the giver and changed after since, that gains by an exchange with it."""
+        at = np.flatnonzero((self.changed > since) & (self.fill >= self.fill[give])) if since >= 0 else slice(None)
+        gains = np.zeros(len(at) if since >= 0 else len(self.bins), "<u8")
+        for sums, takes in zip(_sums(self.sizes[self.bins[give]].tolist()), (self.one, self.two), strict=True):
+            words = self._words(sums)
+            for j in np.flatnonzero(words):
+                gains |= takes[j, at] & words[j]
+        found = np.flatnonzero(gains)
+        found = at[found] if since >= 0 else found
+        found = found[(found != give) & (self.fill[found] >= self.fill[give])]
+        return int(found[np.argmax(self.fill[found])]) if len(found) else None
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges between underfull bins, each raising the sum of squared fills, until none is left.
+
+    The emptiest bins give to the fuller ones until they are empty. A giver
+    that found nothing looks again only at bins that have changed since.
     """
-    fill = {k: int(sum(sizes[i] for i in b)) for k, b in enumerate(bins)}
-    open_bins = sorted((k for k in fill if fill[k] < capacity), key=lambda k: (fill[k], k))
-    tried, changed = 0, True
-    while changed and tried < effort:
-        changed = False
-        open_bins = sorted((k for k in open_bins if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        for give in open_bins:
-            for take in reversed(open_bins):
-                tried += 1
-                if tried >= effort:
+    full = [b for b in bins if sum(sizes[i] for i in b) >= capacity]
+    own = [list(b) for b in bins if sum(sizes[i] for i in b) < capacity]
+    takers = _Takers(own, sizes, capacity)
+    looked, moved = np.full(len(own), -1, np.int64), True
+    while moved:
+        moved = False
+        for give in np.argsort(takers.fill, kind="stable").tolist():
+            while 0 < takers.fill[give] < capacity:
+                take = takers.find(give, int(looked[give]))
+                if take is None:
+                    looked[give] = takers.clock
                     break
-                if take == give or not bins[give] or fill[take] < fill[give] or fill[take] == capacity:
-                    continue
-                room = capacity - fill[take]
-                step = _exchange(bins[give], bins[take], sizes, room)
-                if step:
-                    out, back = step
-                    gain = int(sum(sizes[i] for i in out) - sum(sizes[i] for i in back))
-                    bins[give] = [i for i in bins[give] if i not in out] + list(back)
-                    bins[take] = [i for i in bins[take] if i not in back] + list(out)
-                    fill[give], fill[take] = fill[give] - gain, fill[take] + gain
-                    changed = True
-    return [b for b in bins if b]
+                out, back = _exchange(own[give], own[take], sizes, capacity - int(takers.fill[take]))
+                own[give] = [i for i in own[give] if i not in out] + list(back)
+                own[take] = [i for i in own[take] if i not in back] + list(out)
+                takers.clock += 1
+                takers.update(give), takers.update(take)
+                looked[give] = looked[take] = -1
+                moved = True
+    return full + [b for b in own if b]
 
 
 def _exchange(give: list[int], take: list[int], sizes: np.ndarray, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
     """The exchange that fills take most: what goes there, and what comes back; None if nothing gains."""
-    give, take = give[:64], take[:64]
+
+    def choices(rows: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.array(rows, np.int64)
+        if n < 2:
+            return rows[:, None][: len(rows) if n else 1, :n], sizes[rows] if n else np.zeros(1, np.int64)
+        a, b = np.triu_indices(len(rows), 1)
+        return np.stack([rows[a], rows[b]], axis=1), sizes[rows[a]] + sizes[rows[b]]
+
     best, found = 0, None
-    for a in give:
-        if best < (s := int(sizes[a])) <= room:
-            best, found = s, ((a,), ())
-    for a in give:
-        for b in take:
-            if best < (g := int(sizes[a] - sizes[b])) <= room:
-                best, found = g, ((a,), (b,))
-    if best < room:
-        for x, a in enumerate(give):
-            for c in give[x + 1 :]:
-                for b in take:
-                    if best < (g := int(sizes[a] + sizes[c] - sizes[b])) <= room:
-                        best, found = g, ((a, c), (b,))
-        for a in give:
-            for x, b in enumerate(take):
-                for c in take[x + 1 :]:
-                    if best < (g := int(sizes[a] - sizes[b] - sizes[c])) <= room:
-                        best, found = g, ((a,), (b, c))
+    for n_out, n_back in ((1, 0), (1, 1), (2, 1), (1, 2)):
+        (out, gives), (back, takes) = choices(give, n_out), choices(take, n_back)
+        if best == room or not len(gives) or not len(takes):
+            continue
+        order = np.argsort(gives, kind="stable")
+        at = np.searchsorted(gives[order], takes + room, "right") - 1
+        gain = np.where(at >= 0, gives[order][at] - takes, 0)
+        k = int(np.argmax(gain))
+        if gain[k] > best:
+            best, found = int(gain[k]), (tuple(out[order[at[k]]].tolist()), tuple(back[k].tolist()))
     return found
 
 

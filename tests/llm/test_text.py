@@ -140,6 +140,29 @@ def test_packing_quality_and_local_search():
     assert packing._exchange([0], [1], np.array([7, 5]), 5) == ((0,), (1,))
 
 
+def test_local_search_ends_where_no_pair_of_bins_gains():
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for sizes, capacity in ((rng.integers(400, 1400, 1200), 2048), (rng.integers(1, 60, 400), 100), (np.full(300, 3), 1000)):
+        loose = [list(map(int, x)) for x in np.array_split(np.arange(len(sizes)), 100)] if capacity == 1000 else packing.best_fit(sizes, capacity)
+        bins = packing.local_search(loose, sizes, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        fill = [int(sizes[b].sum()) for b in bins]
+        assert max(fill) <= capacity
+        sums = [[{int(sizes[list(c)].sum()) for c in combinations(b, n)} for n in (1, 2)] for b in bins]
+        for g, t in ((g, t) for g in range(len(bins)) for t in range(len(bins)) if g != t and fill[g] <= fill[t] < capacity):
+            (a, aa), (b, bb) = sums[g], sums[t]
+            gains = {x - y for x in a for y in {0} | b | bb} | {x - y for x in aa for y in b}
+            assert not any(0 < x <= capacity - fill[t] for x in gains)
+    assert len(bins) == 1
+
+
+def test_exchange_looks_at_all_pieces_of_a_bin():
+    sizes = np.array([9] * 70 + [5] + [2] * 70 + [3])
+    assert packing._exchange(list(range(71)), list(range(71, 142)), sizes, 2) == ((70,), (141,))
+
+
 def test_monotone_sequences():
     rng = np.random.default_rng(0)
     for values in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.sort(rng.integers(0, 2**64 - 1, 500, np.uint64)), np.repeat(np.arange(5, dtype=np.uint64), 7), np.cumsum(rng.integers(0, 9, 3000)).astype(np.uint64)):
