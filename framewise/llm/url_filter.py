@@ -9,7 +9,7 @@ from .common import broadcast_if_small, materialise
 
 #: Days of a bucket of time, by which intervals and captures meet.
 BUCKET = 30
-#: Segments of a path up to which a list entry can name a prefix.
+#: Segments of a path up to which patterns() makes prefixes, if not told otherwise.
 DEPTH = 2
 
 
@@ -18,14 +18,14 @@ def host(url):
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
 
 
-def patterns(url):
-    """What a list may name: the host and its parent domains of two labels or more, and the host with path prefixes. Most specific last."""
+def patterns(url, depth: int = DEPTH):
+    """What a list may name: the host and its parent domains of two labels or more, and the host with path prefixes of up to depth segments. Most specific last."""
     h = host(url)
     labels = F.split(h, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, -1 - i, i + 1), "."))
     parents = F.when(F.size(labels) > 1, parents).otherwise(F.array(h))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
-    steps = F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: F.when(F.size(path) >= i, F.concat(h, F.lit("/"), F.array_join(F.slice(path, 1, i), "/"))))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.when(F.size(path) >= i, F.concat(h, F.lit("/"), F.array_join(F.slice(path, 1, i), "/"))))
     return F.when(h != "", F.array_distinct(F.concat(parents, F.filter(steps, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
 
 
@@ -54,9 +54,10 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     replaced.
     """
     base = captures.drop("verdict", "matched")
+    depth = max(1, entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0)  # segments of the list's deepest entry
     asked = base.select("url", F.col("fetched_on").alias("day")).where("url is not null and day is not null").distinct()
     day = lambda c: F.datediff(c, F.lit("1970-01-01"))
-    keys = asked.select("url", "day", F.floor(day(F.col("day")) / BUCKET).alias("bucket"), F.posexplode(patterns(F.col("url"))).alias("place", "pattern"))
+    keys = asked.select("url", "day", F.floor(day(F.col("day")) / BUCKET).alias("bucket"), F.posexplode(patterns(F.col("url"), depth)).alias("place", "pattern"))
     span = asked.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     if span is None or span.lo is None:
         return base.withColumns({"verdict": F.lit("none"), "matched": F.lit(None).cast("string")})

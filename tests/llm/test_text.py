@@ -84,6 +84,13 @@ def test_url_verdicts_follow_the_list_of_the_day(spark):
     assert url_filter.url_verdicts(c.limit(0), e).count() == 0
 
 
+def test_deep_entries_of_a_list_decide(spark):
+    e = spark.createDataFrame([("h.org/a", "allow"), ("h.org/a/b/c", "block"), ("h.org/a/b/c/d/e.html", "allow")], "pattern string, action string").selectExpr("*", "date'2024-01-01' as listed_on")
+    want = {"http://h.org/a/b": "allow", "http://h.org/a/b/c": "block", "http://h.org/a/b/c/d?x": "block", "http://h.org/a/b/c/d/e.html": "allow", "http://h.org/a/b/cc": "allow", "http://h.org/": "none"}
+    c = spark.createDataFrame([(u,) for u in want], "url string").selectExpr("*", "date'2024-05-01' as fetched_on")
+    assert {r.url: r.verdict for r in url_filter.url_verdicts(c, e).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def plain():
     from tokenizers import Tokenizer
