@@ -80,15 +80,71 @@ def test_near_groups_against_brute_force(spark):
 
 
 def test_candidates_of_blocks(spark, monkeypatch):
-    """Buckets with several components are compared whole, in blocks, each pair once over all bands."""
+    """Buckets with several components are compared whole, in blocks and tiles, each pair once over all bands."""
     monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    monkeypatch.setattr(near_dedup, "TILE", 4)
     other = [9] * (near_dedup.BANDS - 2)
-    rows = [(i, i % 2, [1, 2, 3, 4], [5, 7, *other], 7, 1) for i in range(40)] + [(100 + i, 5, [-1, -2, -3, -4], [6, 7, *other], 7, 1) for i in range(3)]
-    rows += [(200, 8, [1, 2, 3, 4], [6, 7, *other], 7, 1)]
-    bands = spark.createDataFrame(rows, "id long, component long, planes array<long>, bands array<long>, key long, band int")
-    got = near_dedup.rest_members(bands, 0.9).collect()
+    rows = [(7, 44, i, i % 2, [1, 2, 3, 4], [5, 7, *other]) for i in range(40)] + [(7, 44, 100 + i, 5, [-1, -2, -3, -4], [6, 7, *other]) for i in range(3)]
+    rows += [(7, 44, 200, 8, [1, 2, 3, 4], [6, 7, *other])]
+    rest = spark.createDataFrame(rows, "key long, n long, node long, component long, planes array<long>, bands array<int>")
+    got = near_dedup.tile_members(rest, 0.9).collect()
     # The first forty share the band before, so only 200 is new to them here.
-    assert {r.id for r in got} == {*range(40), 200} and {r.component for r in got if r.id == 200} == {8}
+    assert {r.node for r in got} == {*range(40), 200} and {r.component for r in got if r.node == 200} == {8}
+    assert max(sum(r.tile == t and (r.x, r.y) == c for r in got) for t in range(30) for c in {(r.x, r.y) for r in got}) <= 8
+
+
+def test_links_between_sets_are_exact(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(30)]
+    group = np.arange(30) % 9
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if group[i] != group[j] and 100 * len(set(sets[i]) & set(sets[j])) >= 40 * len(set(sets[i]) | set(sets[j]))}
+    found = near_dedup.links_between(sets, group, 40)
+    assert set(found) <= want
+
+    def parts(links):
+        root = {k: k for k in range(9)}
+        for i, j in links:
+            p, q = root[group[i]], root[group[j]]
+            root = {k: min(p, q) if r in (p, q) else r for k, r in root.items()}
+        return root
+
+    assert want and parts(found) == parts(want) and len(found) <= 8
+    assert near_dedup.links_between([], np.zeros(0), 80) == []
+
+
+def test_hot_buckets_are_dealt_into_parts(spark, monkeypatch):
+    """The merge joins that large tables take give the same groups as broadcasts."""
+    from framewise.llm import common
+    from framewise.plans import shared
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(5):
+        base = [word() for _ in range(120)]
+        for _ in range(9):
+            own = list(base)
+            own[rng.randrange(120)] = word()
+            texts += [" ".join(own)] * rng.randint(1, 4)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(near_dedup, "GROUP", 2)
+    for module in (common, shared):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, 85).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 85)[1]
+
+
+def test_near_groups_of_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(40_000))
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, long), (5, long + " tail"), (6, None), (2, one)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
+    assert {r.n_shingles for r in got if r.doc_id in (4, 5)} == {39_996, 39_997}
 
 
 def test_large_group_without_a_common_hub(spark, monkeypatch):
