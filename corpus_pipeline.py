@@ -38,10 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    groups = near_groups(docs, 80)
-    dropped = materialise(groups.where("doc_id is not null and not kept").select("doc_id").distinct(), "near-dropped")
-    return docs.join(broadcast_if_small(dropped, 16), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: that of the smallest doc_id (a null one last).
+
+    Rows are told apart by numbers of their own, so repeated and null ids
+    neither save nor drop other rows.
+    """
+    rows = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = materialise(near_groups(rows, 80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id", "kept"), "near-groups")
+    several = materialise(groups.where("not kept").select("component_id").distinct(), "near-several")
+    members = groups.join(broadcast_if_small(several), "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    members = materialise(members.select("component_id", "_row", order.alias("order")), "near-members")
+    stays = members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first._row").alias("_row"))
+    dropped = materialise(members.select("_row").join(stays, "_row", "left_anti"), "near-dropped")
+    return rows.join(broadcast_if_small(dropped), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
