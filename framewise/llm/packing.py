@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Pieces that are packed together; each such chunk may end in one underfull sequence.
 CHUNK = 1 << 16
-#: Entries of a worker's cache of encoded words.
-CACHE = 250_000
+#: Bytes of a worker's cache of encoded words, at most about.
+CACHE = 64 << 20
 #: Largest code point of the words that the fast encoder takes; other words go to the tokenizers library.
 PLAIN = "ɏ"
 
@@ -28,7 +28,8 @@ class Encoder:
     leading space, is encoded once and cached. Texts whose parts begin or end
     in white space (double spaces, a line end before a space) are encoded
     whole. Words are encoded by the same vocabulary's ranks; those with
-    characters above U+024F by the tokenizers library itself.
+    characters above U+024F by the tokenizers library itself, and so are texts
+    that hold a special token's string, which becomes that token.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -36,30 +37,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.slow.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         outer = self
 
         class Cache(dict):
+            held = 0
+
             def __missing__(self, part: bytes) -> bytes | None:
                 word = part.decode()
                 found = outer.whole(" " + word) if word and not (word[0].isspace() or word[-1].isspace()) else None
-                if len(self) >= CACHE:
+                size = len(part) + len(found or b"") + 160
+                self.held += size
+                if self.held > CACHE:
                     self.clear()
+                    self.held = size
                 self[part] = found
                 return found
 
         self.cache = Cache()
 
     def whole(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if text.isascii() or max(text) <= PLAIN else self.slow.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes() if text.isascii() or max(text) <= PLAIN else self.library(text)
+
+    def library(self, text: str) -> bytes:
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return self.library(text.decode())
         parts = text.split(b" ")
         first = parts[0].decode()
         if first and not first[-1].isspace():
