@@ -17,7 +17,8 @@ COARSE = CASES * ENDS
 #: Buckets of hashed words.
 HASHED = 1024
 SIZE = SHAPES + COARSE * COARSE + 2 + HASHED
-CACHE = 200_000
+#: Bytes of a worker's cache of words, at most about.
+CACHE = 32 << 20
 
 
 def _shape(word: str) -> int:
@@ -42,9 +43,13 @@ def _shape(word: str) -> int:
 class _Words(dict):
     """word -> shape + SHAPES * hashed bucket."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
+        self.held += len(word) + 130
+        if self.held > CACHE:
             self.clear()
+            self.held = len(word) + 130
         text = word.decode()
         self[word] = found = _shape(text) + SHAPES * (xxhash.xxh3_64_intdigest(text.lower().strip(".,;:?!'\"()-*$%&#|").encode()) % HASHED)
         return found
@@ -103,10 +108,12 @@ def sample_features(docs: DataFrame, ids: DataFrame, text_col: str = "text") ->
     """The rows of ids (doc_id and more columns, of bounded number) and the counts of their texts, on the driver.
 
     ids is a bounded sample of labelled rows; its bound is the caller's
-    documented parameter.
+    documented parameter. Of rows that share an id the one with the least text
+    counts.
     """
     more = [c for c in ids.columns if c != "doc_id"]
-    joined = docs.select("doc_id", F.col(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", *more, "text")
+    joined = docs.select("doc_id", F.col(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
+    joined = joined.groupBy("doc_id", *more).agg(F.min("text").alias("text"))
     at = len(more) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

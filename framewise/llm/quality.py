@@ -17,8 +17,8 @@ from .common import held_out
 SAMPLE = 2048
 #: Dimensions of the latent space, neighbours that vote, and how sharply similarity weighs.
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 25, 12.0
-#: Documents whose cosines are computed at once.
-BLOCK = 256
+#: Documents whose cosines are computed at once, and decimals of vectors and cosines.
+BLOCK, PLACES = 256, 9
 
 
 @dataclass
@@ -33,22 +33,26 @@ class Model:
     prior: float
 
     def latent(self, raw: np.ndarray) -> np.ndarray:
-        v = features.weighted(raw, self.idf) @ self.axes
+        """Unit vectors, rounded so that a document's doesn't depend on the others of its block."""
+        v = features.weighted(raw, self.idf).astype(np.float64) @ self.axes
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return v / np.where(norm > 0, norm, 1)
+        return np.round(v / np.where(norm > 0, norm, 1), PLACES)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
-        """Votes of the nearest labelled vectors by exact cosine, for a block of documents."""
+        """Votes of the nearest labelled vectors by exact cosine, for a block of documents; of equally near ones the smaller ids vote."""
         out = np.full(len(raw), self.prior)
         some = raw.any(axis=1)
         if not len(self.labels) or not some.any():
             return out
-        cosine = self.latent(raw[some]) @ self.vectors.T
+        cosine = np.round(self.latent(raw[some]) @ self.vectors.T, PLACES)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        close = np.take_along_axis(cosine, near, axis=1).astype(np.float64)
-        vote = np.exp(SHARPNESS * (close - close.max(axis=1, keepdims=True))) * self.weights[near]
-        out[some] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        nearer, tied = cosine > last, cosine == last
+        near = nearer | tied & (np.cumsum(tied, axis=1) <= k - nearer.sum(axis=1, keepdims=True))
+        at = np.nonzero(near)[1].reshape(-1, k)
+        close = np.take_along_axis(cosine, at, axis=1)
+        vote = np.exp(SHARPNESS * (close - close.max(axis=1, keepdims=True))) * self.weights[at]
+        out[some] = np.round((vote * self.labels[at]).sum(axis=1) / vote.sum(axis=1), PLACES)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -74,11 +78,11 @@ def latent_axes(x: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
     for _ in range(rounds):
         y, _ = np.linalg.qr(x.T @ (x @ y))
     _, _, turn = np.linalg.svd(x @ y, full_matrices=False)
-    return np.ascontiguousarray((y @ turn.T)[:, :dimensions], np.float32)
+    return np.ascontiguousarray((y @ turn.T)[:, :dimensions], np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, text_col: str = "text") -> Model:
-    """Fits on up to sample labelled documents of each class; idf counts all of docs.
+    """Fits on up to sample labelled documents of each class, in the order of their ids; idf counts all of docs.
 
     Each neighbour's vote is weighted by the share of its class among all
     labelled rows over its share in the sample, so that the bound doesn't
@@ -91,14 +95,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     label = np.array([r[1] for r in rows], np.float64)
     total = np.array([r[2] for r in rows], np.float64)
     if not len(rows):
-        return Model(idf, np.zeros((features.SIZE, 1), np.float32), np.zeros((0, 1), np.float32), label, label, 0.5)
+        return Model(idf, np.zeros((features.SIZE, 1)), np.zeros((0, 1)), label, label, 0.5)
     x = features.weighted(raw, idf)
     axes = latent_axes(x, DIMENSIONS)
     sizes = {k: float(np.sum(label == k)) for k in set(label.tolist())}
     weights = np.array([t / sizes[k] for k, t in zip(label.tolist(), total, strict=True)])
     totals = {k: t for k, t in zip(label.tolist(), total, strict=True)}
     model = Model(idf, axes, np.zeros(0), label, weights / weights.max(), totals.get(1.0, 0.0) / sum(totals.values()))
-    model.vectors = np.ascontiguousarray(model.latent(raw), np.float32)
+    model.vectors = model.latent(raw)
     return model
 
 

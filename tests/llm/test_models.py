@@ -30,19 +30,35 @@ def test_quality_edges(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
-def test_votes_are_exact(spark):
-    rng = np.random.default_rng(1)
-    raw = rng.integers(0, 3, (60, quality.features.SIZE)).astype(np.float32)
-    x = quality.features.weighted(raw, np.ones(quality.features.SIZE, np.float32))
-    axes = quality.latent_axes(x, 8)
-    m = quality.Model(np.ones(quality.features.SIZE, np.float32), axes, np.zeros(0), (np.arange(50) % 2).astype(float), np.ones(50), 0.5)
-    m.vectors = m.latent(raw[:50])
-    got = m.score(raw[50:])
-    for v, s in zip(m.latent(raw[50:]), got, strict=True):
-        c = m.vectors @ v
-        near = np.argsort(-c)[: quality.NEIGHBOURS]
-        w = np.exp(quality.SHARPNESS * c[near].astype(float))
-        assert s == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-4)
+def test_quality_against_brute_force(spark):
+    """Every score of a small table from its texts and labels, with a full decomposition and all cosines."""
+    rng = random.Random(2)
+    good, bad = ["Reason", "follows", "evidence,", "slowly.", "and", "then", "rivers"], ["WIN!!", "FREE", "$$$", "click", "click", "now!!", "4u"]
+    texts = {k: " ".join(rng.choice(good if rng.random() < 0.3 + 0.4 * (k % 2) else bad) for _ in range(rng.randint(3, 60))) for k in range(90)}
+    texts[88] = texts[5]
+    labels = {k: k % 2 for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    cache = quality.features._Words()
+    raw = np.stack([quality.features.counts(texts[k].encode(), cache)[0] for k in range(90)])
+    x = quality.features.weighted(raw, quality.features.idf((raw > 0).sum(axis=0), 90)).astype(float)
+    axes = np.linalg.svd(x[:60], full_matrices=False)[2][: quality.DIMENSIONS].T
+    v = x @ axes
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for k in range(90):
+        c = v[:60] @ v[k]
+        near = sorted(range(60), key=lambda j: (-round(c[j], 6), j))[: quality.NEIGHBOURS]
+        w = np.exp(quality.SHARPNESS * c[near])
+        assert got[k] == pytest.approx((w * [labels[j] for j in near]).sum() / w.sum(), abs=0.02)
+    assert got[88] == got[5]
+
+
+def test_equally_near_neighbours_vote_by_id():
+    raw = np.zeros((60, quality.features.SIZE), np.float32)
+    raw[:, 3] = 1
+    m = quality.Model(np.ones(quality.features.SIZE, np.float32), np.eye(quality.features.SIZE)[:, :8], np.zeros(0), (np.arange(60) < 20).astype(float), np.ones(60), 0.5)
+    m.vectors = m.latent(raw)
+    assert m.score(raw[:3]).tolist() == [20 / quality.NEIGHBOURS] * 3 == m.score(raw[:1]).tolist() * 3
 
 
 def test_held_out_rule(spark):
