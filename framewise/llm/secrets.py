@@ -19,11 +19,14 @@ SCOPE = 240
 KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
 
 
-def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
+def _matches(text: Column, pattern: str, group: int | None = None, literal: str | None = None) -> Column:
     """Spans (start, end, value) of a pattern's leftmost non-overlapping matches, in code points, end exclusive.
 
     The text between matches gives the starts: one split and one extraction,
-    both linear in the text. value is the match or its group.
+    both linear in the text. value is the match or its group. Matches are
+    walked in runs of about the square root of their number, so that no array
+    grows match by match over a whole text. Texts without literal are passed
+    over.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -33,17 +36,32 @@ def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
         values.alias("value"),
     )
     steps = F.filter(steps, lambda x: x["size"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    spans = "array<struct<start:int,end:int,value:string>>"
+
+    def starts(runs: Column) -> Column:
+        """Where each run begins."""
+        sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda s, x: s + x["gap"] + x["size"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def walk(run: Column, begin: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(begin.alias("at"), F.array().cast(spans).alias("out")),
+            lambda s, x: F.struct(
+                (s["at"] + x["gap"] + x["size"]).alias("at"),
+                F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).alias("out"),
+            ),
+            lambda s: s["out"],
+        )
+
+    def cut(steps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        return F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / width).cast("int")), lambda k: F.slice(steps, k * width + 1, width))
+
+    # Arrays of one bind what is used twice, so that it is worked out once.
+    walked = F.transform(F.array(steps), lambda st: F.transform(F.array(cut(st)), lambda runs: F.flatten(F.zip_with(runs, F.slice(starts(runs), 1, F.size(runs)), walk)))[0])[0]
+    some = text.rlike(pattern) if literal is None else F.contains(text, F.lit(literal)) & text.rlike(pattern)
+    return F.when(some, walked).otherwise(F.array().cast(spans))
 
 
 def _spans(spans: Column, kind: int) -> Column:
@@ -64,7 +82,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         _matches(text, WEAK_SECRET),
         lambda x: (F.length(x["value"]) == 40) & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]") & ~F.contains(x["value"], F.lit("=")),
     )
-    found = [assign, _matches(text, ACCESS), _matches(text, HEX), weak, _matches(text, ENDPOINT)]
+    found = [assign, _matches(text, ACCESS, literal="AKIA"), _matches(text, HEX), weak, _matches(text, ENDPOINT, literal="://")]
     return docs.select(F.col(id_col).alias("doc_id"), *(_spans(x, k).alias(KINDS[k]) for k, x in enumerate(found)))
 
 
@@ -103,8 +121,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows; extra columns are not read. Returns doc_id,
     n_assign, n_access, n_hex, base_sha256, n_linked and spans.
     """
-    found = materialise(parts(docs, id_col, text_col), "secret-parts").withColumn("row", F.monotonically_increasing_id())
-    found = materialise(found, "secret-rows")  # the row numbers hold from here on
+    found = materialise(parts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "secret-parts")  # the row numbers hold from here on
     base = F.concat("assign", "access", "hex")
     weak = F.coalesce("weak", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return found.join(linked_weak(found, scope), "row", "left").select(

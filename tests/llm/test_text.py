@@ -22,7 +22,7 @@ def duck(sql, **tables):
 def test_secrets_against_regular_expressions(spark):
     rng = random.Random(3)
     parts = ["password=abcdef12", "secret:token:abcdefgh", "API_KEY = 'Zz/+9.=-'", "AKIA" + "A1" * 8, "AKIA" + "B2" * 9, "0f" * 12, "0f" * 11, "token=abc", "Passwd: \"longenough\"", "é", "😀", "https://s3.example.com/x", "aB3" * 13 + "Q", "word", "\n", "x" * 300]
-    texts = [None, "", "😀 password=abcdef12"] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(60)] + ["word " * 40_000 + "password=abcdef12"]
+    texts = [None, "", "😀 password=abcdef12"] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(60)] + ["word " * 40_000 + "password=abcdef12", "http://a.bc/d token=abcdef AKIA" * 3000]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -96,11 +96,10 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_files()[0])
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
-TEXTS = ["", " ", "a", "Hello world", "a  b", " a b ", "x\n y", "don't we'll\n\n\tend ", "日本語 テスト ａ", "😀 😀", "über façade  naïve", "!!! $$$%%% ###", "1234567 89", "tail\n", "a b", "Ⅷ ² x²", "word " * 3000, "é" * 4000, "<|endoftext|> x"]
+TEXTS = ["", " ", "a", "Hello world", "a  b", " a b ", "x\n y", "don't we'll\n\n\tend ", "日本語 テスト ａ", "😀 😀", "über façade  naïve", "!!! $$$%%% ###", "1234567 89", "tail\n", "a b", "Ⅷ ² x²", "word " * 3000, "é" * 4000, "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "日本<|endoftext|> <|endoftext|>é  ", "<|endoftext| x |>"]
 
 
 def test_encoder_equals_the_library(plain):
@@ -133,6 +132,36 @@ def test_packing_round_trip(spark, plain):
         assert at <= 256
     total = sum(r.length for r in got)
     assert len(by_seq) <= -(-total // 256) + 4
+    assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), packing.vocabulary_files()).count() == 0
+
+
+def test_packing_is_near_the_least_number_of_bins():
+    """On small inputs against the least number of bins, by trying all ways."""
+    rng = np.random.default_rng(8)
+
+    def least(sizes, capacity):
+        best = len(sizes)
+
+        def put(k, free):
+            nonlocal best
+            if len(free) >= best:
+                return
+            if k == len(sizes):
+                best = len(free)
+                return
+            for f in sorted({f for f in free if f >= sizes[k]}):
+                put(k + 1, [*free[: free.index(f)], f - sizes[k], *free[free.index(f) + 1 :]])
+            put(k + 1, [*free, capacity - sizes[k]])
+
+        put(0, [])
+        return best
+
+    gap = []
+    for _ in range(60):
+        sizes = np.sort(rng.integers(15, 70, 9))[::-1].copy()
+        where, _ = packing.pack(sizes, 100)
+        gap.append(int(where.max()) + 1 - least(sizes.tolist(), 100))
+    assert min(gap) >= 0 and max(gap) <= 1 and np.mean(gap) < 0.1
 
 
 def test_packing_quality_and_local_search():
