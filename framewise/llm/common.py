@@ -30,7 +30,7 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def join_by_count(left: DataFrame, right: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+def join_by_count(left: DataFrame, right: DataFrame, key: str, count: str, spread: str, how: str = "inner") -> DataFrame:
     """left joined with right on key. right: materialised, one row a key, with the number of left's rows that have it.
 
     A small right side is broadcast. Otherwise keys of more than HOT rows are
@@ -38,14 +38,14 @@ def join_by_count(left: DataFrame, right: DataFrame, key: str, count: str, sprea
     the work of one task.
     """
     if table_bytes(right) <= BROADCAST_BYTES:
-        return left.join(F.broadcast(right), key)
+        return left.join(F.broadcast(right), key, how)
     hot = materialise(right.where(F.col(count) > HOT).select(key, F.ceil(F.col(count) / HOT).cast("int").alias("_parts")), "hot-keys")
     if hot.isEmpty():
-        return left.join(right.hint("merge"), key)
+        return left.join(right.hint("merge"), key, how)
     parts, hot = F.coalesce("_parts", F.lit(1)), broadcast_if_small(hot)
     left = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
     right = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right.hint("merge"), [key, "_part"]).drop("_part")
+    return left.join(right.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

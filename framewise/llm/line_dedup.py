@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, join_by_count, materialise
 
 #: Sites that a line must stand on to be boilerplate.
 MIN_SITES = 10
@@ -31,11 +31,11 @@ def site_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     lines = lines.where("key is not null and site is not null")
     several = materialise(lines.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("key"), "lines-several")
-    spread = lines.join(broadcast_if_small(several, 16), "key", "left_semi")
+    spread = lines.join(broadcast_if_small(several), "key", "left_semi")
     parts = spread.groupBy("key", F.pmod(F.xxhash64("site"), F.lit(PARTS)).alias("part")).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     estimates = materialise(parts.groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch", False)).alias("sites")), "lines-spread")
     near = F.abs(F.col("sites") - min_sites) <= F.ceil(F.lit(min_sites * ERROR)) + 1
-    close = broadcast_if_small(materialise(estimates.where(near).select("key"), "lines-near"), 16)
+    close = broadcast_if_small(materialise(estimates.where(near).select("key"), "lines-near"))
     exact = lines.join(close, "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("sites"))
     return estimates.where(~near).unionByName(exact).where(F.col("sites") >= min_sites).select("key")
 
@@ -45,19 +45,19 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "tex
 
     A line that stands on min_sites distinct sites or more is taken out
     everywhere. Blank lines stay. A null text stays null with no lines; a text
-    whose lines all go becomes empty; repeated rows are each cleaned; a null
-    site adds no spread; an empty table gives an empty result. Columns of docs
+    whose lines all go becomes empty; very long texts are split whole; repeated
+    rows are each cleaned; a null site adds no spread; an empty table gives an empty result. Columns of docs
     named n_lines or n_removed are replaced.
     """
     split = F.split(F.col(text_col), "\n", -1)
     lines = materialise(docs.select(F.explode(split).alias("line"), F.col(site_col).alias("site")).select(_key().alias("key"), "site"), "lines")
     found = materialise(site_spread(lines, min_sites), "boilerplate")
-    # What goes depends on the text alone, so the positions are found once a text.
+    # What goes depends on the text alone, so the positions are found once a text; a text of very many rows is dealt into parts.
     ident = F.struct(F.xxhash64(text_col).alias("h"), F.crc32(F.col(text_col).cast("binary")).alias("c"), F.length(text_col).alias("n"))
-    at = docs.select(ident.alias("ident"), F.posexplode(split).alias("pos", "line")).select("ident", "pos", _key().alias("key"))
-    drops = at.join(broadcast_if_small(found, 16), "key", "left_semi").groupBy("ident").agg(F.collect_set("pos").alias("drops"))
-    drops = materialise(drops, "line-drops").withColumnsRenamed({"ident": "_ident", "drops": "_drops"})
-    joined = docs.join(broadcast_if_small(drops, 96), ident == F.col("_ident"), "left")
+    at = docs.select(ident.alias("_ident"), F.posexplode(split).alias("pos", "line")).select("_ident", "pos", _key().alias("key"))
+    drops = at.join(broadcast_if_small(found), "key", "left_semi").groupBy("_ident").agg(F.collect_set("pos").alias("_drops"), F.count(F.lit(1)).alias("n"))
+    drops = materialise(drops.withColumn("_rows", F.ceil(F.col("n") / F.size("_drops"))).drop("n"), "line-drops")
+    joined = join_by_count(docs.withColumns({"_ident": ident, "_spread": F.monotonically_increasing_id()}), drops, "_ident", "_rows", "_spread", "left")
     gone = F.coalesce(F.size("_drops"), F.lit(0))
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_drops"), i)), "\n")
     keep = [F.col(c) if c != text_col else F.when(F.col("_drops").isNull(), F.col(c)).otherwise(left).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]

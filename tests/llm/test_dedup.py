@@ -178,3 +178,21 @@ def test_line_dedup(spark):
     none = line_dedup(spark.createDataFrame(rows, DOCS), min_sites=13)
     assert {r.n_removed for r in none.collect()} == {0}
     assert line_dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_line_dedup_of_hot_and_long_texts(spark, monkeypatch):
+    """Merge joins, with a text of many rows in parts, give what broadcasts give."""
+    from framewise.llm import common
+    from framewise.plans import shared
+
+    long = "\n".join(["shared"] + [f"line {k}" for k in range(20_000)])
+    rows = [(k, "shared\nmine", f"s{k}") for k in range(12)] + [(50 + k, "shared\nhot", "s1") for k in range(40)] + [(99, long, "s2"), (None, "shared", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, line_dedup(docs).collect()))
+    monkeypatch.setattr(common, "HOT", 5)
+    for module in (common, shared):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    got = line_dedup(docs)
+    assert sorted(map(str, got.collect())) == want
+    assert {r.text for r in got.where("doc_id >= 50 and doc_id < 90").collect()} == {"hot"}
+    assert got.where("doc_id = 99").first().n_lines == 20_001 and got.where("doc_id = 99").first().n_removed == 1
