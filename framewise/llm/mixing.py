@@ -19,8 +19,6 @@ DOMAINS = ((1, 0), (1, 1), (0, 0), (0, 1))
 TARGETS = (0.90, 0.05, 0.04, 0.01)
 #: The first domain's expected tokens after mixing over those before; at 1 or more its pure documents stay.
 GROWTH = 1.1
-#: How far a domain's expected tokens can be raised, and the largest rate of a document: no target makes rare documents pile up.
-LIFT, MOST = 2.0, 4.0
 #: Labelled rows of each domain that the classifier is fitted on, at most, and its steps and ridge.
 SAMPLE, STEPS, RIDGE = 1024, 200, 1e-4
 #: Newton steps at most (a miss is reported), the error relative to its own target at which each target is met, and how softly targets hold (for those out of reach).
@@ -28,6 +26,27 @@ ROUNDS, CLOSE, SOFT = 500, 1e-4, 1e-8
 BLOCK = 256
 
 
+class TargetsMissed(UserWarning):
+    """Targets that no rates meet within the bounds."""
+
+
+@dataclass
+class Fit:
+    """Rates as 1 + posterior @ dual, cut to 0 to most; the domains' expected tokens, those asked for, and those aimed at."""
+
+    dual: np.ndarray
+    most: float
+    have: np.ndarray
+    asked: np.ndarray
+    want: np.ndarray
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(1.0 + p @ self.dual, 0.0, self.most)
+
+    def missed(self) -> list[int]:
+        return [k for k in range(len(self.have)) if abs(self.have[k] - self.asked[k]) > CLOSE * max(self.asked[k], 1e-9 * self.have.sum())]
+
+
 @dataclass
 class Classifier:
     """Softmax regression on text features; a few MB at most."""
@@ -46,10 +65,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, tex
     """Fits on up to sample labelled documents of each domain, by the smallest hashes of their ids. Features are weighted alike, so no pass over all texts is needed.
 
     Rows are weighted to the domains' shares among all labelled rows. A domain
-    without labels gets a posterior near 0.
+    without labels gets a posterior near 0. Ids under several labels are left out.
     """
     idf = np.ones(features.SIZE, np.float32)
-    own = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+    own = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"), F.max("quality").alias("_q"), F.max("toxic").alias("_t"))
+    own = own.where("quality = _q and toxic = _t")
     sizes = {(r.quality, r.toxic): r["count"] for r in own.groupBy("quality", "toxic").count().collect()}
     picked = None
     for k, (q, t) in enumerate(DOMAINS):
@@ -97,27 +117,25 @@ def memberships(docs: DataFrame, classifier: Classifier, text_col: str = "text")
     return docs.mapInArrow(run, ", ".join([*kinds, "posterior array<double>", "tokens long"]))
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps: 1 less p @ their sum, cut to 0 to MOST."""
-    return np.clip(1.0 - p @ np.sum(steps, axis=0), 0.0, MOST) if steps else np.ones(len(p))
-
-
-def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps that fit rates of 0 to MOST, and the expected and the wanted domain tokens.
+def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, lift: float | None = None, most: float | None = None, rounds: int = ROUNDS) -> Fit:
+    """Rates of 0 or more whose expected domain tokens are the targets.
 
     rows: materialised (posterior, tokens). Of all rates that meet the targets
     those nearest to 1 (least squares, by tokens) are 1 + posterior @ duals, cut
-    to 0 to MOST, with one dual for each domain. Newton steps with a line search
-    find the duals, until each target is met within CLOSE of itself. A
-    document's rate follows from its posterior and the duals, so a round is one
+    at 0, with one dual for each domain. Newton steps with a line search find
+    the duals, until each target is met within CLOSE of itself. A document's
+    rate follows from its posterior and the duals, so a round is one
     aggregation (of the slopes at all tried lengths of a step) and nothing per
-    document is kept or collected. A target above LIFT times what a domain has
-    is lowered to that, so that a domain that is hardly there doesn't repeat
-    its few documents without end. Where no rates meet all targets, the steps
-    end at the least squares of the errors relative to the targets' sizes.
-    Lowered and missed targets are reported by a warning.
+    document is kept or collected.
+
+    lift (off by default) lowers a target above that many times what a domain
+    has, and most (off by default) bounds a rate, so that a domain that is
+    hardly there doesn't repeat its few documents without end. Where no rates
+    meet all targets, the steps end at the least squares of the errors relative
+    to the targets' sizes. Lowered and missed targets are in the result, and a
+    warning names them.
     """
-    n = len(targets)
+    n, top = len(targets), np.inf if most is None else float(most)
 
     def sums(duals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of duals the expected domain tokens, and their derivatives by the duals."""
@@ -129,8 +147,8 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
                 p = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
                 w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
                 r = 1.0 + p @ duals.T
-                have += (w * np.clip(r, 0.0, MOST)).T @ p
-                slopes += (w * ((r > 0) & (r < MOST))).T @ (p[:, :, None] * p[:, None, :]).reshape(-1, n * n)
+                have += (w * np.clip(r, 0.0, top)).T @ p
+                slopes += (w * ((r > 0) & (r < top))).T @ (p[:, :, None] * p[:, None, :]).reshape(-1, n * n)
             total = np.concatenate([have.ravel(), slopes.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
@@ -139,14 +157,14 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
             found[k] = v
         return found[: c * n].reshape(c, n), found[c * n :].reshape(c, n, n)
 
-    dual, steps = np.zeros(n), []
+    dual, done = np.zeros(n), 0
     (have,), (slope,) = sums(dual[None])
     share = np.array(targets) / sum(targets)
     asked = share * growth * have[0] / share[0]
-    want = np.minimum(asked, np.append(np.inf, LIFT * have[1:]))
+    want = asked if lift is None else np.minimum(asked, np.append(np.inf, lift * have[1:]))
     size = np.maximum(want, max(1e-9 * have.sum(), 1e-9))
     lengths = 3.0 ** -np.arange(18)
-    while len(steps) < rounds and (np.abs(have - want) > CLOSE * size).any():
+    while done < rounds and (np.abs(have - want) > CLOSE * size).any():
         left = want - have - SOFT * size * dual
         if (np.abs(left) <= 0.01 * CLOSE * size).all():
             break  # the least squares: the targets are out of reach
@@ -157,45 +175,45 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
         rise = (want - haves - SOFT * size * tried) @ step
         fine = np.flatnonzero(rise >= -1e-6 * (left @ step))
         k = fine[0] if len(fine) else len(lengths) - 1
-        steps.append(dual - tried[k])
-        dual, have, slope = tried[k], haves[k], slopes[k]
-    missed = [k for k in range(n) if abs(have[k] - asked[k]) > CLOSE * max(asked[k], size[k])]
-    if missed:
-        said = "; ".join(f"domain {k}: {have[k]:.6g} tokens, asked {asked[k]:.6g}" + (f", lowered to {want[k]:.6g}" if want[k] < asked[k] else "") for k in missed)
-        warnings.warn(f"mixing after {len(steps)} rounds, targets not met: {said}", stacklevel=2)
-    return steps, have, want
+        dual, have, slope, done = tried[k], haves[k], slopes[k], done + 1
+    fit = Fit(dual, top, have, asked, want)
+    if fit.missed():
+        said = "; ".join(f"domain {k}: {have[k]:.6g} tokens, asked {asked[k]:.6g}" + (f", lowered to {want[k]:.6g}" if want[k] < asked[k] else "") for k in fit.missed())
+        warnings.warn(f"mixing after {done} rounds, targets not met: {said}", TargetsMissed, stacklevel=2)
+    return fit
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with posterior, tokens, rate and copies added; without the text if keep_text is false.
+def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, lift: float | None = None, most: float | None = None) -> tuple[DataFrame, Fit]:
+    """docs with posterior, tokens, rate and copies added (without the text if keep_text is false), and the fit with each domain's residual.
 
     The texts are read once: documents with their posteriors are written to
     the shared folder, and the fit and the result read that table.
 
     rate is the fitted number of times that a document occurs; copies is a
     whole number near it, drawn by a hash of the id and the text, whose mean
-    is the rate. Null and empty texts have no tokens and the posterior of an
-    empty text; targets that no rates meet are reported by a warning (see
-    fit_rates); without labels the posteriors are equal to the priors; equal
-    rows get equal copies; an empty table gives no rows; columns of these
-    names are replaced.
+    is the rate. lift and most as in fit_rates. Null and empty texts have no
+    tokens and the posterior of an empty text; very long texts count whole;
+    targets that no rates meet are reported by a warning; without labels the
+    posteriors are equal to the priors; equal rows get equal copies; an empty
+    table gives no rows; columns of these names are replaced.
     """
     base = docs.drop("posterior", "tokens", "rate", "copies", "_chance")
     classifier = fit_classifier(base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample)
     chance = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) / float(1 << 30)
     member = memberships(base, classifier, text_col).withColumn("_chance", chance)
     known = materialise(member if keep_text else member.drop(text_col), "memberships")
-    steps, _, _ = fit_rates(known.select("posterior", "tokens"), targets, growth)
+    fit = fit_rates(known.select("posterior", "tokens"), targets, growth, lift, most)
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(b.schema.names.index("posterior")).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, steps))], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fit.rates(p))], [*b.schema.names, "rate"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
-    return known.mapInArrow(rates, f"{kinds}, rate double").withColumn("copies", F.floor(F.col("rate") + F.col("_chance")).cast("int")).drop("_chance")
+    return known.mapInArrow(rates, f"{kinds}, rate double").withColumn("copies", F.floor(F.col("rate") + F.col("_chance")).cast("int")).drop("_chance"), fit
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False).select("doc_id", *(F.col("posterior")[k].alias(f"p_quality{q}_toxic{t}") for k, (q, t) in enumerate(DOMAINS)), "tokens", "rate", "copies")
+    mixed, _ = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False)
+    return mixed.select("doc_id", *(F.col("posterior")[k].alias(f"p_quality{q}_toxic{t}") for k, (q, t) in enumerate(DOMAINS)), "tokens", "rate", "copies")

@@ -68,23 +68,41 @@ def test_held_out_rule(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(40)}
 
 
-def test_rates_meet_targets(spark):
+def nearest_to_one(p, tokens, want, most=np.inf, rounds=40_000):
+    """Rates nearest to 1 that meet the targets, by alternating projections on the targets' plane and on the bounds."""
+    a = (p * tokens[:, None]).T
+    back = p @ np.linalg.pinv(a @ p)
+    r, bent = np.ones(len(p)), np.zeros(len(p))
+    for _ in range(rounds):
+        r = r + back @ (want - a @ r)
+        inside = np.clip(r + bent, 0, most)
+        r, bent = inside, r + bent - inside
+    return r
+
+
+def test_rates_against_brute_force(spark):
     rng = np.random.default_rng(3)
-    p = rng.dirichlet([2, 0.3, 0.5, 0.1], 600)
-    rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, rng.integers(10, 500, 600), strict=True)], "posterior array<double>, tokens long")
-    steps, have, want = mixing.fit_rates(rows)
-    assert np.abs(have - want).max() <= 1e-3 * want.sum()
-    assert (mixing._rates(p, steps) >= 0).all()
+    p, tokens = rng.dirichlet([2, 0.6, 0.5, 0.4], 40), rng.integers(10, 500, 40)
+    rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "posterior array<double>, tokens long")
+    fit = mixing.fit_rates(rows, targets=(0.8, 0.08, 0.07, 0.05))
+    assert not fit.missed() and (fit.rates(p) == 0).any()
+    assert np.allclose(fit.rates(p), nearest_to_one(p, tokens.astype(float), fit.asked), atol=2e-3)
+    share = (p * tokens[:, None]).sum(axis=0) / tokens.sum()
+    bounded = mixing.fit_rates(rows, targets=tuple(share * [1.0, 0.97, 1.02, 1.0]), growth=1.0, most=1.03)
+    assert not bounded.missed() and bounded.rates(p).max() <= 1.03
+    assert np.allclose(bounded.rates(p), nearest_to_one(p, tokens.astype(float), bounded.asked, 1.03), atol=2e-3)
 
 
 def test_rates_where_domains_are_all_but_empty(spark):
-    """After a quality stage hardly anything of two domains is left; documents stay all the same."""
+    """After a quality stage hardly anything of two domains is left; within bounds documents stay all the same."""
     rng = np.random.default_rng(4)
     p = rng.dirichlet([50, 3, 0.01, 0.001], 500)
     rows = spark.createDataFrame([(x.tolist(), 100) for x in p], "posterior array<double>, tokens long")
-    steps, have, want = mixing.fit_rates(rows)
-    r = mixing._rates(p, steps)
-    assert (r <= mixing.MOST).all() and have[0] > 0.95 * want[0] and (r > 0.5).mean() > 0.9
+    with pytest.warns(mixing.TargetsMissed, match="domain 2: .* lowered"):
+        fit = mixing.fit_rates(rows, lift=2.0, most=4.0)
+    r = fit.rates(p)
+    assert (r <= 4).all() and fit.have[0] > 0.95 * fit.want[0] and (r > 0.5).mean() > 0.9
+    assert 2 in fit.missed() and fit.want[2] < fit.asked[2]
 
 
 @pytest.mark.parametrize("shares", [[0.05, 0.02, 0.90, 0.03], [0.05, 0.90, 0.02, 0.03], [0.05, 0.02, 0.03, 0.90]])
@@ -92,20 +110,20 @@ def test_rates_meet_each_target_where_one_domain_holds_most(spark, shares):
     rng = np.random.default_rng(6)
     p, tokens = rng.dirichlet(np.array(shares) / 5, 3000), rng.integers(10, 500, 3000)
     rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "posterior array<double>, tokens long")
-    steps, have, want = mixing.fit_rates(rows)
-    assert np.allclose((mixing._rates(p, steps) * tokens) @ p, have)
-    assert (np.abs(have - want) <= mixing.CLOSE * want).all()
+    fit = mixing.fit_rates(rows)
+    assert np.allclose((fit.rates(p) * tokens) @ p, fit.have)
+    assert (np.abs(fit.have - fit.asked) <= mixing.CLOSE * fit.asked).all() and not fit.missed()
 
 
 def test_targets_out_of_reach_are_reported(spark):
     rows = spark.createDataFrame([([0.25] * 4, 10)] * 50, "posterior array<double>, tokens long")
-    with pytest.warns(UserWarning, match="domain 0: .* asked"):
-        _, have, _ = mixing.fit_rates(rows)
-    assert np.allclose(have, have[0])
+    with pytest.warns(mixing.TargetsMissed, match="domain 0: .* asked"):
+        fit = mixing.fit_rates(rows)
+    assert np.allclose(fit.have, fit.have[0]) and fit.missed()
     only = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], 10)] * 50, "posterior array<double>, tokens long")
-    with pytest.warns(UserWarning, match="domain 3: 0 tokens, asked .* lowered"):
-        _, have, _ = mixing.fit_rates(only)
-    assert have[0] == pytest.approx(550, rel=1e-3)
+    with pytest.warns(mixing.TargetsMissed, match="domain 3: 0 tokens, asked"):
+        fit = mixing.fit_rates(only)
+    assert fit.have[0] == pytest.approx(550, rel=1e-3)
 
 
 def test_mix(spark):
@@ -121,9 +139,11 @@ def test_mix(spark):
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "some words", 7), (3, "some words", 7)], "doc_id long, text string, rate int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = mixing.mix(docs, none).collect()
+    rows = mixing.mix(docs, none)[0].collect()
     assert len(rows) == 4 and len({r.copies for r in rows if r.doc_id == 3}) == 1
-    assert mixing.mix(docs.limit(0), none).count() == 0
+    assert mixing.mix(docs.limit(0), none)[0].count() == 0
+    long = spark.createDataFrame([(1, "word " * 100_000), (None, "few words")], "doc_id long, text string")
+    assert {r.tokens for r in mixing.mix(long, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))[0].collect()} == {100_000, 2}
 
 
 def test_forest_recall_and_scores(spark):
