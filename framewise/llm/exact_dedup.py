@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, shared_dir
+from .common import LOWER, join_by_count, materialise, shared_dir
+
+#: Digests of a bucket of the index, at most about.
+BUCKET_ROWS = 4_000_000
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,51 +30,82 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A table (digest, keep_id, group_size), bucketed and sorted by digest.
 
-    ``ingest`` groups new rows by digest, takes away by a sort-merge anti-join
-    what the index holds, and appends the rest. The anti-join reads the index
-    by its buckets, so that only the new rows are shuffled.
-
-    Repeated rows count in group_size; among rows of one batch with equal
-    texts the largest doc_id is kept; rows whose digest an earlier batch
-    brought are all duplicates of that entry. A null doc_id is kept only when
-    all ids of its group are null (then keep_id is null). An empty batch
-    appends nothing.
+    ``ingest`` groups a batch by digest, finds by a sort-merge anti-join with
+    the index the digests that are new, and appends them; of digests that the
+    index holds already it appends the batch's largest id and number of rows.
+    ``entries`` adds these up, bucket by bucket without a shuffle, so that
+    keep_id and group_size are those of all batches. ``compact`` rewrites the
+    table with one row a digest, sorted, in as many buckets as its size asks
+    for. Joins and appends read and write the index by its buckets, so that
+    only the new rows are shuffled.
+
+    The first batch sets the number of buckets (at most about BUCKET_ROWS
+    digests each) where none is given. Repeated rows count in group_size; the
+    largest doc_id is kept. A null doc_id is kept only when all ids of its
+    group are null (then keep_id is null). An empty batch appends nothing.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        path = path or f"{shared_dir(spark)}/{self.name}"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.path = path or f"{shared_dir(spark)}/{self.name}"
+        if spark.catalog.tableExists(self.name):
+            spec = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+            self.buckets = int(spec["Num Buckets"])
 
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def _create(self, name: str, path: str, rows: int) -> None:
+        self.buckets = self.buckets or max(8, -(-rows // BUCKET_ROWS))
+        self.spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
-    def ingest(self, digested: DataFrame) -> DataFrame:
-        """Appends the digests that are new, and returns them."""
-        groups = digested.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = materialise(groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "digest-batch")
+    def _append(self, rows: DataFrame, name: str) -> None:
         bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
-        fresh.repartition(self.buckets, bucket).sortWithinPartitions(bucket, "digest").write.insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        rows.repartition(self.buckets, bucket).sortWithinPartitions(bucket, "digest").write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+
+    def entries(self) -> DataFrame:
+        """One row per digest: digest, keep_id, group_size over all batches."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def ingest(self, digested: DataFrame) -> DataFrame:
+        """Appends a batch (doc_id, digest), and returns the digests that are new with their keep_id and group_size."""
+        groups = materialise(digested.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+        if not self.spark.catalog.tableExists(self.name):
+            self._create(self.name, self.path, groups.count())
+        known = self.spark.table(self.name).select("digest").hint("merge")
+        fresh = materialise(groups.join(known, "digest", "left_anti"), "digest-batch")
+        again = materialise(groups.join(known, "digest", "left_semi"), "digest-again")
+        self._append(fresh.unionAll(again), self.name)
         return fresh
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Rewrites the index with one row a digest, under a new name that this index takes over; the old table is left to the caller."""
+        old, rows = self.entries(), self.entries().count()
+        self.buckets = buckets
+        name = f"{self.name}_c{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}-{name[-9:]}"
+        self._create(name, path, rows)
+        self._append(old, name)
+        self.name, self.path = name, path
+
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, against all that the index holds.
 
+    The documents go into the index in batches, by a hash of their ids.
     Extra columns of docs are not read, so their names can't clash. Empty
     tables give an empty result.
     """
     own = materialise(digests(docs, id_col, text_col), "digests")
-    index.ingest(own)
-    # A hot digest is split by the skew join; the rows hold no text.
-    found = own.join(index.table().hint("merge"), "digest")
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    for k in range(batches):
+        index.ingest(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else own)
+    known = index.entries().join(own.select("digest").distinct(), "digest", "left_semi").withColumnRenamed("group_size", "_n")
+    found = join_by_count(own, materialise(known, "digest-entries"), "digest", "_n", "doc_id")
+    return found.select("doc_id", "keep_id", F.col("_n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark))
+    """The documents in two batches, so that the second meets the index of the first."""
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark), batches=2)
 
 
 SQL = """

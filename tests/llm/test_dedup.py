@@ -24,12 +24,32 @@ def test_exact_dedup_against_brute_force(spark):
 
 def test_index_persists_and_appends(spark):
     index = DigestIndex(spark, buckets=4)
-    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    second = spark.createDataFrame([(3, "A"), (4, "c")], "doc_id long, text string")
-    assert index.ingest(digests(first)).count() == 2
-    assert [r.keep_id for r in index.ingest(digests(second)).collect()] == [4]
-    assert index.ingest(digests(second)).count() == 0
-    assert index.table().count() == 3
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "n")], "doc_id long, text string")
+    second = spark.createDataFrame([(3, "A"), (4, "c"), (5, None), (None, "N")], "doc_id long, text string")
+    assert index.ingest(digests(first)).count() == 3
+    assert sorted(r.keep_id for r in index.ingest(digests(second)).collect()) == [4, 5]
+    index = DigestIndex(spark, index.name, index.path)  # opened again
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(second.limit(2), index).collect()}
+    assert index.buckets == 4 and got == {(3, 3, 3, True), (4, 4, 2, True)}
+    before = sorted(map(str, index.entries().collect()))
+    index.compact(buckets=3)
+    assert sorted(map(str, index.entries().collect())) == before and spark.table(index.name).count() == len(before) == 5
+    assert index.ingest(digests(first)).count() == 0
+
+
+def test_batches_give_what_one_gives(spark, monkeypatch):
+    from framewise.llm import common, exact_dedup as module
+    from framewise.plans import shared
+
+    rows = [(k, "abcDEF"[: k % 7]) for k in range(60)] + [(7, "x"), (7, "x"), (7, "y"), (None, "x"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, exact_dedup(docs, DigestIndex(spark)).collect()))
+    assert sorted(map(str, exact_dedup(docs, DigestIndex(spark), batches=3).collect())) == want
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(module, "BUCKET_ROWS", 2)
+    for m in (common, shared):
+        monkeypatch.setattr(m, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, exact_dedup(docs, DigestIndex(spark), batches=2).collect())) == want
 
 
 def test_exact_dedup_of_nothing(spark):
