@@ -19,6 +19,8 @@ from framewise.llm.quality import quality_scores
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.5
+#: Most that the mixing raises a domain's tokens, and a document's rate: the quality stage leaves hardly a document of two domains, and these aren't to pile up.
+LIFT, MOST = 2.0, 4.0
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its rate says."""
-    mixed = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mixed, _ = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), lift=LIFT, most=MOST)
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
 
 
