@@ -57,12 +57,12 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     raise RuntimeError(f"the frontier did not end in {rounds} rounds")
 
 
-def spanning_forest(edges: DataFrame, score: str, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
-    """The maximum spanning forest by (-score, src, dst): Boruvka rounds, each an aggregation over the edges between components.
+def spanning_forest(edges: DataFrame, score: str, src: str = "src", dst: str = "dst", rounds: int = 64, first: str | None = None) -> DataFrame:
+    """The maximum spanning forest by (first, -score, src, dst): Boruvka rounds, each an aggregation over the edges between components.
 
     With that total order the forest equals the one that takes edges greedily.
     """
-    rank = F.struct((-F.col(score)).alias("s"), F.col(src).alias("a"), F.col(dst).alias("b"))
+    rank = F.struct((F.lit(0) if first is None else F.col(first)).alias("f"), (-F.col(score)).alias("s"), F.col(src).alias("a"), F.col(dst).alias("b"))
     all_ = materialise(edges.where(F.col(src) != F.col(dst)).withColumn("_rank", rank), "edges")
     taken = all_.where(F.lit(False)).select(src, dst, score)
     open_ = all_.withColumns({"_ca": F.col(src), "_cb": F.col(dst)})
@@ -108,3 +108,18 @@ def face_adjacency(faces: DataFrame) -> DataFrame:
     sides = F.array(*(F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))))
     own = faces.select("face", F.explode(sides).alias("e")).groupBy("e.u", "e.v").agg(F.count(F.lit(1)).alias("_n"), F.min("face").alias("left_face"), F.max("face").alias("right_face"))
     return own.where("_n = 2").select("u", "v", "left_face", "right_face")
+
+
+def ranked_forest(edges: DataFrame, kind: str, ranks: dict[str, int], score: str, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The spanning forest that takes edges by the rank of their kind first, then by score; kinds without a rank take no part."""
+    rank = F.lit(None).cast("int")
+    for name, r in ranks.items():
+        rank = F.when(F.col(kind) == name, r).otherwise(rank)
+    known = edges.withColumn("_rank", rank).where("_rank is not null")
+    return spanning_forest(known, score, src, dst, first="_rank").select(src, dst)
+
+
+def large_components(edges: DataFrame, least: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(id, component, size) of vertices in components of least vertices or more."""
+    labels = connected_components(edges, src, dst)
+    return labels.join(component_sizes(labels).where(F.col("size") >= least), "component").select("id", "component", "size")

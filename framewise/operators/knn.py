@@ -108,3 +108,23 @@ def projective_match(points: DataFrame, depth: DataFrame, tolerance: float = 0.0
     slack = F.greatest(F.lit(tolerance), share * F.col("z"))
     state = F.when(F.col("measured").isNull(), "missing").when(F.abs(F.col("measured") - F.col("z")) <= slack, "agree").when(F.col("measured") > F.col("z"), "free").otherwise("hidden")
     return joined.withColumn("state", state)
+
+
+def pairs_apart(df: DataFrame, keys: list[str], index: str, least: int) -> DataFrame:
+    """(keys, i, j): all pairs of a key's rows whose indices lie at least that far apart. Keys are small groups (views of a scene); pairs grow with their squares."""
+    other = df.select(*keys, F.col(index).alias("j"))
+    return df.select(*keys, F.col(index).alias("i")).join(other, keys).where(F.col("j") - F.col("i") >= least)
+
+
+def with_earlier_results(pairs: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with the columns of results by (source, target, method) or any other keys, and cached: whether there was one. Of repeated results the last by its columns counts."""
+    rest = [c for c in results.columns if c not in keys]
+    last = results.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r"))
+    return pairs.join(last, keys, "left").select(*pairs.columns, *(F.col("_r")[c].alias(c) for c in rest), F.col("_r").isNotNull().alias("cached"))
+
+
+def surface_agreement(near: DataFrame, a: DataFrame, b: DataFrame, distance: float = 0.03, cosine: float = 0.85) -> DataFrame:
+    """near (a_id, b_id, distance) with agrees: close, and normals (id, nx, ny, nz) along one line."""
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), *(F.col(f"n{x}").alias(f"_{n}{x}") for x in "xyz"))
+    dot = F.abs(F.col("_ax") * F.col("_bx") + F.col("_ay") * F.col("_by") + F.col("_az") * F.col("_bz"))
+    return near.join(side(a, "a"), "a_id").join(side(b, "b"), "b_id").select("a_id", "b_id", "distance", ((F.col("distance") < distance) & (dot > cosine)).alias("agrees"))

@@ -118,3 +118,30 @@ def stationary(df: DataFrame, keys: list[str], value: str, t: str = "t") -> Data
     blocks = marked.groupBy(*keys, "_block").agg(F.avg(value).alias("_b")).groupBy(*keys).agg((F.max("_b") - F.min("_b")).alias("block_shift"))
     dev = F.col(value) - F.col("_m")
     return marked.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), rmse(dev).alias("scatter"), F.max(F.abs(dev)).alias("peak"), F.regr_slope(value, t).alias("drift")).join(blocks, keys)
+
+
+def landmarks(df: DataFrame, keys: list[str], view: str, axes: list[str], least: int = 2) -> DataFrame:
+    """Per landmark the median of each axis over the views that see it, and their number; fewer views than least make none."""
+    own = df.groupBy(*keys).agg(F.count_distinct(view).alias("views"), *(F.percentile(a, F.lit(0.5)).alias(a) for a in axes))
+    return own.where(F.col("views") >= least)
+
+
+def mean_direction(df: DataFrame, keys: list[str], axes: tuple[str, str, str], weight: str, limit: float = 15.0) -> DataFrame:
+    """Per key the weighted mean direction (ux, uy, uz), the largest angle to it in degrees (spread), and whether that stays within limit.
+
+    Two aggregations; rows without a positive weight or a length take no part.
+    """
+    length = F.sqrt(sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0])))
+    unit = df.where(F.col(weight) > 0).withColumn("_l", length).where("_l > 0").select(*keys, F.col(weight).alias("_w"), *((F.col(a) / F.col("_l")).alias(f"_{k}") for k, a in zip("xyz", axes, strict=True)))
+    sums = unit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("_w") * F.col(f"_{k}")).alias(f"_s{k}") for k in "xyz"))
+    size = F.sqrt(F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy") + F.col("_sz") * F.col("_sz"))
+    mean = sums.where(size > 0).select(*keys, "n", *((F.col(f"_s{k}") / size).alias(f"u{k}") for k in "xyz"))
+    dot = F.col("_x") * F.col("ux") + F.col("_y") * F.col("uy") + F.col("_z") * F.col("uz")
+    spread = unit.join(mean, keys).groupBy(*keys).agg(F.degrees(F.acos(F.least(F.greatest(F.min(dot), F.lit(-1.0)), F.lit(1.0)))).alias("spread"))
+    return mean.join(spread, keys).withColumn("accepted", F.col("spread") <= limit)
+
+
+def normal_scatter(faces: DataFrame, key: str, normal: tuple[str, str, str], area: str) -> DataFrame:
+    """Per vertex the area-weighted scatter of the normals of its faces: sums of the six products."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    return faces.groupBy(key).agg(*(F.sum(F.col(area) * F.col(normal[i]) * F.col(normal[j])).alias(f"s_{i}{j}") for i, j in pairs), F.sum(area).alias("area"))

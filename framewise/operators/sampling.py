@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise
+from ..plans.shared import broadcast_if_small, materialise
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
@@ -19,7 +19,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     offset = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(offset, F.lit(0)).alias("_offset"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parted.join(F.broadcast(offsets), "_part").withColumn(name, own + F.col("_offset")).drop("_part", "_offset")
+    return parted.join(broadcast_if_small(offsets), "_part").withColumn(name, own + F.col("_offset")).drop("_part", "_offset")
 
 
 def linspace(df: DataFrame, order: list[str], size: int) -> DataFrame:
@@ -28,8 +28,11 @@ def linspace(df: DataFrame, order: list[str], size: int) -> DataFrame:
     n = df.count()
     if n <= size:
         return rows
-    spots = df.sparkSession.range(size).select(F.floor(F.col("id") * (n - 1) / max(size - 1, 1)).alias("_at"))
-    return rows.join(F.broadcast(spots.distinct()), F.col("rn") - 1 == F.col("_at"), "left_semi")
+    # A row is a spot where some k has floor(k (n - 1) / (size - 1)) at its position: the least k that reaches it must not pass it.
+    at, last = F.col("rn") - 1, max(size - 1, 1)
+    k = F.ceil(at * last / F.lit(n - 1))
+    spot = lambda k: (k >= 0) & (k < size) & (F.floor(k * (n - 1) / last) == at)
+    return rows.where(spot(k) | spot(k - 1) | spot(k + 1))
 
 
 def every_kth(df: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -99,4 +102,28 @@ def area_sample(df: DataFrame, area: str, ident: str, n: int, seed: int = 0) ->
     up = F.col("_base") + F.sum(area).over(Window.partitionBy("_p").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
     u = (seed * 0.618033988749895) % 1.0
     spot = lambda c: F.ceil(c / F.col("_all") * n - u)
-    return parts.join(F.broadcast(base), "_p").withColumn("_up", up).select(*df.columns, (spot(F.col("_up")) - spot(F.col("_up") - F.col(area))).alias("draws"))
+    return parts.join(broadcast_if_small(materialise(base, "area-sums")), "_p").withColumn("_up", up).select(*df.columns, (spot(F.col("_up")) - spot(F.col("_up") - F.col(area))).alias("draws"))
+
+
+def quota_fill(df: DataFrame, view: str, ident: str, order: list[Column], quota: int, capacity: int) -> DataFrame:
+    """(ident, quota_met): landmarks up to a capacity: each view's first quota ones in order, then the best of the others.
+
+    df: one row per (view, ident); order ranks idents alike in every view.
+    Ranks are limited per view before the final order.
+    """
+    rank = F.row_number().over(Window.partitionBy(view).orderBy(*order, ident))
+    own = df.withColumn("_due", rank <= quota)
+    chosen = own.groupBy(ident).agg(F.max("_due").alias("quota_met"), *(F.first(c, True).alias(c) for c in df.columns if c not in (view, ident)))
+    return chosen.orderBy(F.desc("quota_met"), *order, ident).limit(capacity).select(ident, "quota_met")
+
+
+def replenish(candidates: DataFrame, held: DataFrame, cell: str, order: list[Column], ident: str, per_cell: int, total: int) -> DataFrame:
+    """Candidates that fill grid cells up to per_cell with what they hold already, best first by turns, up to total rows with what is held.
+
+    held: (cell) one row per point that is still there or cools down in it.
+    """
+    taken = held.groupBy(cell).agg(F.count(F.lit(1)).alias("_held"))
+    room = total - held.count()
+    own = candidates.join(taken, cell, "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    ranked = own.withColumn("turn", F.col("_held") + F.row_number().over(Window.partitionBy(cell).orderBy(*order, ident)))
+    return ranked.where(F.col("turn") <= per_cell).orderBy("turn", cell).limit(max(room, 0)).drop("_held")

@@ -90,3 +90,26 @@ def fusion_plan(blocks: Column, free_bytes: Column, block_bytes: int = 81_920, l
     """Whether ceil(1.02 blocks) and a workspace of half of it (least at least) stay within 80 % of what is free."""
     need = F.ceil(blocks * 1.02) * block_bytes
     return F.struct(need.alias("bytes"), (need + F.greatest(F.lit(least), need / 2) <= free_bytes * 0.8).alias("fits"))
+
+
+def frame_identity(generation: Column, colour: Column, depth: Column, stamp: Column) -> Column:
+    """What tells a frame apart: generation and both sequence numbers, or else generation and time stamp."""
+    return F.when(colour.isNotNull() & depth.isNotNull(), F.concat_ws("/", generation.cast("string"), colour.cast("string"), depth.cast("string"))).otherwise(F.concat_ws("@", generation.cast("string"), stamp.cast("string")))
+
+
+def evidence_summary(df: DataFrame, keys: list[str], generation: str, sequence: str, complete: Column) -> DataFrame:
+    """Distinct (generation, sequence) observations, and intervals that are complete and not."""
+    own = F.count_distinct(F.struct(generation, sequence))
+    return df.groupBy(*keys).agg(own.alias("observations"), F.count_if(complete).alias("complete"), F.count_if(~F.coalesce(complete, F.lit(False))).alias("incomplete"))
+
+
+def quality_state(requested: Column, failed: Column, report: Column, valid: Column) -> Column:
+    """not_requested, failed, missing, invalid or passed: the first that holds."""
+    return first_reason([("not_requested", ~requested), ("failed", failed), ("missing", report.isNull()), ("invalid", ~valid)], "passed")
+
+
+def disagreement(before: DataFrame, after: DataFrame, ident: str, support: str) -> DataFrame:
+    """One row: frames in both runs, those whose support differs, those in one run only."""
+    a, b = before.select(ident, F.col(support).alias("_a"), F.lit(True).alias("_x")), after.select(ident, F.col(support).alias("_b"), F.lit(True).alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    return a.join(b, ident, "full").agg(F.count_if(both).alias("both"), F.count_if(both & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("differ"), F.count_if(~both).alias("one_only"))

@@ -2,66 +2,110 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected_components
+
+
+def thinned(held: list[bool], seen: list[np.ndarray], spare: dict[int, list[int]]) -> list[bool]:
+    """Whether each view (in the order in which they may go) stays. held: views that stay anyway.
+
+    seen: the numbers of a view's samples, twice as large plus one where it is
+    near the best. spare: per sample how many more views, and near-best views,
+    may go.
+    """
+    out = []
+    for stays, samples in zip(held, seen, strict=True):
+        own = [(spare[s >> 1], s & 1) for s in samples.tolist()]
+        goes = not stays and all(left[0] > 0 and (not good or left[1] > 0) for left, good in own)
+        for left, good in own if goes else ():
+            left[0] -= 1
+            left[1] -= good
+        out.append(not goes)
+    return out
+
+
+def redundant_views(df: DataFrame, group: str, view: str, sample: str, weight: str, least: int = 3, near_best: float = 0.9, protected: Column | None = None) -> DataFrame:
+    """(group, view, kept): views go, smallest first, as long as each of their samples keeps min(its views, least) and a near-best one.
 
-def reverse_delete(view: np.ndarray, sample: np.ndarray, weight: np.ndarray, least: int = 3, near_best: float = 0.9, protected: frozenset = frozenset()) -> dict[int, bool]:
-    """Which views stay, from sparse positive (view, sample, weight): smallest views go first, as long as every sample keeps min(its views, least) and a near-best one."""
-    views, v = np.unique(view, return_inverse=True)
-    _, s = np.unique(sample, return_inverse=True)
-    best = np.zeros(s.max() + 1 if len(s) else 0)
-    np.maximum.at(best, s, weight)
-    good = weight >= best[s] * near_best
-    count, good_count = np.bincount(s, minlength=len(best)), np.bincount(s[good], minlength=len(best))
-    need = np.minimum(count, least)
-    order = np.argsort(v, kind="stable")
-    cuts = np.searchsorted(v[order], np.arange(len(views) + 1))
-    kept = np.ones(len(views), bool)
-    for k in sorted(range(len(views)), key=lambda k: (cuts[k + 1] - cuts[k], views[k])):
-        rows = order[cuts[k] : cuts[k + 1]]
-        own, own_good = s[rows], s[rows][good[rows]]
-        if views[k] in protected or (count[own] <= need[own]).any() or (good_count[own_good] <= 1).any():
-            continue
-        kept[k] = False
-        count[own] -= 1
-        good_count[own_good] -= 1
-    return dict(zip(views.tolist(), kept.tolist(), strict=True))
-
-
-def redundant_views(df: DataFrame, group: str, view: str, sample: str, weight: str, least: int = 3, near_best: float = 0.9) -> DataFrame:
-    """(group, view, kept): reverse deletion in each group."""
+    What a sample can spare and in which order views may go come from
+    aggregations and windows; only the pass over a group's views, in that
+    order, is sequential. df: one row per (view, sample) that it sees.
+    """
+    own = Window.partitionBy(group, sample)
+    seen = df.where(F.col(weight) > 0).select(group, view, sample, F.col(weight).alias("_w"), (F.lit(False) if protected is None else protected).alias("_p"))
+    seen = seen.withColumn("_good", (F.col("_w") >= near_best * F.max("_w").over(own)).cast("int"))
+    seen = seen.withColumns({"_spare": F.count(F.lit(1)).over(own) - F.least(F.count(F.lit(1)).over(own), F.lit(least)), "_spare_good": F.sum("_good").over(own) - 1})
+    views = seen.groupBy(group, view).agg(F.count(F.lit(1)).alias("_n"), F.max("_p").alias("_p"), F.collect_list(F.struct(F.col(sample).alias("s"), F.col("_good").alias("good"), F.col("_spare").alias("a"), F.col("_spare_good").alias("b"))).alias("_seen"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = reverse_delete(rows[view].to_numpy(), rows[sample].to_numpy(), rows[weight].to_numpy(), least, near_best)
-        return pd.DataFrame({group: rows[group].iloc[0], view: list(found), "kept": list(found.values())})
+        rows = rows.sort_values(["_n", view])
+        number: dict = {}
+        spare: dict[int, list[int]] = {}
+        seen = []
+        for all_ in rows["_seen"]:
+            at = np.array([2 * number.setdefault(x["s"], len(number)) + x["good"] for x in all_], np.int64)
+            spare |= {k >> 1: [x["a"], x["b"]] for k, x in zip(at.tolist(), all_, strict=True)}
+            seen.append(at)
+        return pd.DataFrame({group: rows[group], view: rows[view], "kept": thinned(rows["_p"].tolist(), seen, spare)})
 
     kinds = dict(df.dtypes)
-    return df.where(F.col(weight) > 0).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {view} {kinds[view]}, kept boolean")
+    return views.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {view} {kinds[view]}, kept boolean")
+
+
+def even_positions(count: int, n: int) -> np.ndarray:
+    return np.arange(n) * (count - 1) // max(n - 1, 1)
+
+
+def within_budget(taken: np.ndarray, pairs: np.ndarray, room: int) -> np.ndarray:
+    """taken with the positions of those pairs that fit whole, in order, into room more places.
+
+    Up to the first pair that doesn't fit all are taken at once; of those
+    after it only pairs with one new position can still fit.
+    """
+    flat, first = np.unique(pairs.ravel(), return_index=True)
+    new = np.zeros(pairs.size, bool)
+    new[first[~np.isin(flat, taken)]] = True
+    used = np.cumsum(new.reshape(pairs.shape).sum(axis=1))
+    fits = int(np.searchsorted(used, room, "right"))
+    taken = np.union1d(taken, pairs[:fits].ravel())
+    if fits < len(pairs) and room - (used[fits - 1] if fits else 0) == 1:
+        for pair in pairs[fits:]:
+            fresh = np.setdiff1d(pair, taken)
+            if len(fresh) == 1:
+                return np.union1d(taken, fresh)
+    return taken
+
+
+def halved_gaps(taken: np.ndarray, n: int) -> np.ndarray:
+    """taken with n more positions, each in the middle of the largest gap (the first of equal ones)."""
+    heap = [(a - b, a, b) for a, b in zip(taken[:-1].tolist(), taken[1:].tolist(), strict=True)]
+    heapq.heapify(heap)
+    more = []
+    for _ in range(n):
+        _, a, b = heapq.heappop(heap)
+        middle = (a + b) // 2
+        more.append(middle)
+        heapq.heappush(heap, (a - middle, a, middle))
+        heapq.heappush(heap, (middle - b, middle, b))
+    return np.union1d(taken, more).astype(np.int64)
 
 
 def keyframes(count: int, limit: int, hints: tuple[tuple[int, int], ...] = ()) -> list[int]:
     """limit of count positions: evenly spaced; with hints half evenly, then paired hints, then even ones again, then the middles of the largest gaps."""
-    even = lambda n: [int(k * (count - 1) / (n - 1)) for k in range(n)]
     limit = min(count, max(2, limit))
-    if count <= limit:
-        return list(range(count))
-    if not hints:
-        return even(limit)
-    taken = set(even(max(2, limit // 2)))
-    for pair in hints:
-        if len(taken | set(pair)) <= limit:
-            taken |= set(pair)
-    for k in even(limit):
-        if len(taken) < limit:
-            taken.add(k)
-    while len(taken) < limit:
-        own = sorted(taken)
-        _, a, b = max((b - a, -a, b) for a, b in zip(own, own[1:], strict=False))
-        taken.add((b - a) // 2)
-    return sorted(taken)
+    if not hints or count <= limit:
+        return even_positions(count, limit).tolist()
+    taken = np.unique(even_positions(count, max(2, limit // 2)))
+    taken = within_budget(taken, np.array(hints, np.int64), limit - len(taken))
+    more = np.setdiff1d(even_positions(count, limit), taken)[: limit - len(taken)]
+    taken = np.union1d(taken, more)
+    return halved_gaps(taken, limit - len(taken)).tolist()
 
 
 def tolerance_dedup(values: list[float], tolerance: float) -> list[bool]:
@@ -76,31 +120,32 @@ def tolerance_dedup(values: list[float], tolerance: float) -> list[bool]:
     return out
 
 
-def global_gains(edges: DataFrame, a: str, b: str, log_ratio: str, low: float = 2 / 3, high: float = 1.5) -> pd.DataFrame:
-    """(view, gain): least squares of view log gains from pairwise log ratios, one anchor per component, clipped.
+#: Views of a graph of gains that are solved at once, at most.
+MOST_VIEWS = 4_096
+
+
+def global_gains(edges: DataFrame, a: str, b: str, log_ratio: str, low: float = 2 / 3, high: float = 1.5) -> DataFrame:
+    """(view, gain): least squares of view log gains from pairwise log ratios, one anchor (the smallest view) per component, clipped.
 
-    Views are few (cameras of a scan); edges are aggregated medians before
-    they come here.
+    The normal equations of a component are summed in Spark, one row per
+    linked pair of views, and solved in the component's own task. A component
+    of more than MOST_VIEWS views is an error.
     """
-    pairs = [(r[a], r[b], r[log_ratio]) for r in edges.select(a, b, log_ratio).collect()]
-    views = sorted({v for p in pairs for v in p[:2]})
-    at = {v: k for k, v in enumerate(views)}
-    root = list(range(len(views)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for x, y, _ in pairs:
-        p, q = sorted((find(at[x]), find(at[y])))
-        root[q] = p
-    m = np.zeros((len(pairs) + len(views), len(views)))
-    r = np.zeros(len(m))
-    for k, (x, y, v) in enumerate(pairs):
-        m[k, at[y]], m[k, at[x]], r[k] = 1, -1, v
-    for k in range(len(views)):
-        if find(k) == k:
-            m[len(pairs) + k, k] = 1
-    log = np.linalg.lstsq(m, r, rcond=None)[0] if len(views) else np.zeros(0)
-    return pd.DataFrame({"view": views, "gain": np.clip(np.exp(log), low, high)})
+    known = edges.where(F.col(log_ratio).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(log_ratio).cast("double").alias("r"))
+    labels = connected_components(known.select("a", "b"), "a", "b")
+    both = known.unionAll(known.select(F.col("b"), F.col("a"), -F.col("r")))
+    sums = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r")).join(labels.withColumnRenamed("id", "a"), "a")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        views, at = np.unique(rows["a"], return_inverse=True)
+        if len(views) > MOST_VIEWS:
+            raise ValueError(f"{len(views)} views in one component")
+        to = np.searchsorted(views, rows["b"])
+        m, r = np.zeros((len(views), len(views))), np.zeros(len(views))
+        np.add.at(m, (at, at), rows["n"])
+        np.add.at(m, (at, to), -rows["n"])
+        np.add.at(r, to, rows["r"])
+        log = np.append(0.0, np.linalg.solve(m[1:, 1:], r[1:]))
+        return pd.DataFrame({"view": views, "gain": np.clip(np.exp(log), low, high)})
+
+    return sums.groupBy("component").applyInPandas(solve, f"view {dict(edges.dtypes)[a]}, gain double")

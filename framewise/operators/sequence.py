@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -80,10 +79,31 @@ def rolling_mean(df: DataFrame, keys: tuple[str, ...], value: str, order: str, r
 
 
 def asymmetric_ema(df: DataFrame, keys: tuple[str, ...], value: str, order: tuple[str, ...], up: float = 0.5, down: float = 0.1) -> DataFrame:
-    """Per key the last smoothed value: quick upwards, slow downwards; a previous 0 restarts."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"].cast("double"))
-    step = lambda a, v: F.when(a.isNull() | (a == 0), v).otherwise(a + F.when(v > a, up).otherwise(down) * (v - a))
-    return df.groupBy(*keys).agg(rows.alias("_all"), F.count(F.lit(1)).alias("n")).select(*keys, "n", F.aggregate("_all", F.lit(None).cast("double"), step).alias("smoothed"))
+    """Per key the rows and the last smoothed value: quick upwards, slow downwards; a previous 0 restarts.
+
+    Rows are sorted within partitions and folded as they stream by, so a hot
+    key is one task's, but never in its memory.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, *order, F.col(value).cast("double").alias("_v")).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        at, n, mean, done = None, 0, None, []
+        for b in batches:
+            for *key, v in zip(*(b[k].tolist() for k in (*keys, "_v")), strict=True):
+                if key != at:
+                    if at is not None:
+                        done.append((*at, n, mean))
+                    at, n, mean = key, 0, None
+                n += 1
+                if not math.isnan(v):
+                    mean = mean + (up if v > mean else down) * (v - mean) if mean else v
+            yield pd.DataFrame(done, columns=[*keys, "n", "smoothed"])
+            done = []
+        if at is not None:
+            yield pd.DataFrame([(*at, n, mean)], columns=[*keys, "n", "smoothed"])
+
+    return rows.mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["n long", "smoothed double"]))
 
 
 def travel_distance(df: DataFrame, keys: tuple[str, ...], axes: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -160,34 +180,49 @@ def interpolate(df: DataFrame, keys: tuple[str, ...], value: str, t: str = "t")
     return df.withColumn("filled", F.coalesce(between, F.col("_a.v"), F.col("_b.v"))).drop("_k", "_a", "_b")
 
 
-def gravity_rows(t: np.ndarray, v: np.ndarray, g: float = 9.80665, tau: float = 0.12, gap: float = 0.25, history: int = 8) -> list[tuple]:
-    """Per sample (valid, confidence, x, y, z): rolling median, then a time-constant mean; gaps and bad samples reset."""
-    kept: deque = deque(maxlen=history)
-    smooth, last, out = None, None, []
-    for now, a in zip(t, v, strict=True):
-        norm = float(np.linalg.norm(a)) if np.isfinite(a).all() else math.nan
-        if not 0.7 * g <= norm <= 1.3 * g:
-            kept.clear()
-            smooth = last = None
-            out.append((False, 0.0, None, None, None))
-            continue
-        step = None if last is None else now - last
-        if step is not None and (step <= 0 or step > gap):
-            kept.clear()
-            smooth = None
-        kept.append(a)
-        middle = np.median(kept, axis=0)
-        smooth = middle if smooth is None else smooth + (1 - math.exp(-max(step or 0.05, 0.001) / tau)) * (middle - smooth)
-        scatter = float(np.median(np.linalg.norm(np.asarray(kept) - middle, axis=1)))
-        sure = math.exp(-(((norm - g) / (0.07 * g)) ** 2) - (scatter / (0.08 * g)) ** 2) * min(1, len(kept) / 5)
-        size = float(np.linalg.norm(smooth))
-        if size < 0.25 * g:
-            kept.clear()
-            smooth = last = None
-            out.append((False, 0.0, None, None, None))
-            continue
-        last = now
-        out.append((sure >= 0.15, sure, *(smooth / size).tolist()))
+def recent(rows: np.ndarray, size: int) -> np.ndarray:
+    """(n, size, 3): each row with the size - 1 before it; what lies before the first is nan."""
+    padded = np.concatenate([np.full((size - 1, rows.shape[1]), np.nan), rows])
+    return np.lib.stride_tricks.sliding_window_view(padded, size, axis=0).transpose(0, 2, 1)
+
+
+def smoothed(middle: np.ndarray, step: np.ndarray, tau: float) -> np.ndarray:
+    """The time-constant mean of a run, from its first row on."""
+    out, stay = middle.copy(), np.exp(-np.maximum(step, 0.001) / tau)
+    for k in range(1, len(out)):
+        out[k] += stay[k] * (out[k - 1] - middle[k])
+    return out
+
+
+def gravity_rows(t: np.ndarray, v: np.ndarray, g: float = 9.80665, tau: float = 0.12, gap: float = 0.25, history: int = 8) -> pd.DataFrame:
+    """Per sample valid, confidence, up_x, up_y, up_z: rolling medians, smoothed within runs.
+
+    A run is broken by samples whose length is far from g, by gaps, and after a
+    smoothed vector that has all but vanished.
+    """
+    t, v = np.asarray(t, float), np.asarray(v, float).reshape(len(t), 3)
+    norm = np.linalg.norm(v, axis=1)
+    usable = np.abs(norm - g) <= 0.3 * g
+    step = np.diff(t, prepend=np.nan)
+    breaks = np.flatnonzero(~(usable & np.append(False, usable[:-1]) & (step > 0) & (step <= gap)))
+    out = pd.DataFrame({"valid": False, "confidence": 0.0, "up_x": np.nan, "up_y": np.nan, "up_z": np.nan}, index=range(len(t)))
+    todo = [(a, b) for a, b in zip(breaks, np.append(breaks, len(t))[1:], strict=True) if usable[a]]
+    while todo:
+        a, b = todo.pop()
+        window = recent(v[a:b], history)
+        middle = np.nanmedian(window, axis=1)
+        scatter = np.nanmedian(np.linalg.norm(window - middle[:, None], axis=2), axis=1)
+        up = smoothed(middle, step[a:b], tau)
+        size = np.linalg.norm(up, axis=1)
+        weak = np.flatnonzero(size < 0.25 * g)
+        end = a + int(weak[0]) if len(weak) else b
+        if end + 1 < b:
+            todo.append((end + 1, b))
+        n = end - a
+        sure = np.exp(-(((norm[a:end] - g) / (0.07 * g)) ** 2) - (scatter[:n] / (0.08 * g)) ** 2) * np.minimum(1, np.minimum(np.arange(1, n + 1), history) / 5)
+        out.iloc[a:end, 0] = sure >= 0.15
+        out.iloc[a:end, 1] = sure
+        out.iloc[a:end, 2:] = up[:n] / size[:n, None]
     return out
 
 
@@ -198,7 +233,7 @@ def gravity_filter(df: DataFrame, key: str, t: str = "t", axes: tuple[str, str,
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values([t, ident])
         found = gravity_rows(rows[t].to_numpy(), rows[list(axes)].to_numpy(float), tau=tau, gap=gap)
-        return pd.DataFrame({key: rows[key].to_numpy(), ident: rows[ident].to_numpy(), **{n: [x[k] for x in found] for k, n in enumerate(("valid", "confidence", "up_x", "up_y", "up_z"))}})
+        return pd.concat([rows[[key, ident]].reset_index(drop=True), found.astype(object).where(found.notna(), None)], axis=1)
 
     kinds = dict(df.dtypes)
     return cut.groupBy(key, "_island").applyInPandas(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, valid boolean, confidence double, up_x double, up_y double, up_z double")
@@ -261,3 +296,43 @@ def moved(t: list[float], x: list[float], distance: float, wait: float) -> list[
 
 def motion_triggered(df: DataFrame, key: str, position: str, distance: float, wait: float, t: str = "t", ident: str = "id") -> DataFrame:
     return fold(df, key, [t, ident], [t, position], ident, lambda a, b: moved(a, b, distance, wait), "taken", "boolean")
+
+
+def path_edges(df: DataFrame, keys: tuple[str, ...], index: str, accepted: str) -> DataFrame:
+    """(keys, from_index, to_index): accepted rows joined to the accepted row just before them, if that is the index before."""
+    own = Window.partitionBy(*keys).orderBy(index)
+    before = df.where(F.col(accepted)).withColumn("from_index", F.lag(index).over(own))
+    return before.where(F.col("from_index") == F.col(index) - 1).select(*keys, "from_index", F.col(index).alias("to_index"))
+
+
+def temporal_pairs(df: DataFrame, keys: tuple[str, ...], index: str, reach: int = 3) -> DataFrame:
+    """(keys, i, j) with i the 1st to reach-th row before j: offsets are exploded and met by an equi-join on the index."""
+    later = df.select(*keys, F.col(index).alias("j"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_d")).withColumn("i", F.col("j") - F.col("_d"))
+    return later.drop("_d").join(df.select(*keys, F.col(index).alias("i")), [*keys, "i"]).select(*keys, "i", "j")
+
+
+def bank_pairs(df: DataFrame, tag: str, index: str, first: int = 5, every: int = 4, spread: int = 27, last: int = 8) -> DataFrame:
+    """(tag, i, j): each observer j of a tag with earlier observers: the first ones, the last `spread` of every fourth, and the last ones before it.
+
+    Ranks turn the rule into offsets per row, so each row asks for at most
+    first + spread + last ranks, by an equi-join.
+    """
+    ranked = df.select(tag, F.col(index).alias("j")).distinct().withColumn("n", F.row_number().over(Window.partitionBy(tag).orderBy("j")) - 1)
+    n = F.col("n")
+    upto = lambda a, b, step=1: F.when(b >= a, F.sequence(a, b, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    every_k = F.floor((n - 1) / every).cast("int")
+    wanted = F.concat(upto(F.lit(0), F.least(n, F.lit(first)) - 1), F.transform(upto(F.greatest(every_k - spread + 1, F.lit(0)), every_k), lambda k: k * every), upto(F.greatest(n - last, F.lit(0)), n - 1))
+    asked = ranked.select(tag, "j", "n", F.explode(F.array_distinct(F.when(n > 0, wanted).otherwise(F.array().cast("array<int>")))).alias("_m"))
+    return asked.join(ranked.select(tag, F.col("j").alias("i"), F.col("n").alias("_m")), [tag, "_m"]).select(tag, "i", "j")
+
+
+def interval_complete(asked_from: Column, asked_to: Column, held_from: Column, held_to: Column, slack: float = 0.001) -> Column:
+    """Whether what is held covers what was asked for, to a slack of 1 ms."""
+    return F.coalesce((asked_from >= held_from - slack) & (asked_to <= held_to + slack), F.lit(False))
+
+
+def paced_interval(df: DataFrame, keys: tuple[str, ...], latency: str, order: tuple[str, ...], fps: float = 10.0, head_room: float = 1.15, rows: int = 8) -> DataFrame:
+    """df with interval: the median latency of the last rows times head_room, rounded up to whole frames."""
+    last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
+    wait = F.percentile(latency, F.lit(0.5)).over(last) * head_room
+    return df.withColumn("interval", F.ceil(wait * fps - 1e-9) / fps)

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import broadcast_if_small
+
 
 def neighbours(df: DataFrame, keys: tuple[str, ...], x: str, y: str, value: str) -> DataFrame:
     """df with left, right, up and down: the values of adjacent cells, null where there is none."""
@@ -64,3 +66,41 @@ def bilinear(samples: DataFrame, grid: DataFrame, ident: str, px: str, py: str,
     wy = F.when(F.col("_m.b") == 1, F.col(py) - F.floor(py)).otherwise(1 - (F.col(py) - F.floor(py)))
     met = own.withColumn("_w", wx * wy).where("_w > 0").join(grid.select("x", "y", value), ["x", "y"], "left")
     return met.groupBy(ident).agg(F.when(F.count_if(F.col(value).isNull()) == 0, F.sum(F.col("_w") * F.col(value))).alias(value))
+
+
+def sharpness(df: DataFrame, keys: tuple[str, ...], x: str, y: str, value: str) -> DataFrame:
+    """Per frame the variance of the four-neighbour Laplacian, and the mean absolute difference to the right and below. Cells at a border or a hole have no Laplacian."""
+    known = neighbours(df, keys, x, y, value)
+    bend = F.col("left") + F.col("right") + F.col("up") + F.col("down") - 4 * F.col(value)
+    step = lambda c: F.abs(F.col(c) - F.col(value))
+    n = F.count(step("right")) + F.count(step("down"))
+    return known.groupBy(*keys).agg(F.var_pop(bend).alias("laplacian"), ((F.coalesce(F.sum(step("right")), F.lit(0.0)) + F.coalesce(F.sum(step("down")), F.lit(0.0))) / n).alias("difference"))
+
+
+def colour_class(depth: Column, near: float, far: float) -> Column:
+    """How a depth is shown: missing, excluded (outside the range) or included."""
+    return F.when(depth.isNull() | (depth <= 0), "missing").when(~depth.between(near, far), "excluded").otherwise("included")
+
+
+def fusion_gate(z: Column, px: Column, py: Column, measured: Column, weight: Column, width: int, height: int, most: float, truncation: float) -> Column:
+    """Whether a sample may be folded in: before the camera, inside the picture, measured within range, trusted, and not far behind the surface."""
+    inside = px.between(0, width - 1) & py.between(0, height - 1)
+    return F.coalesce((z > 0) & inside & (measured > 0) & (measured <= most) & (weight > 0) & (measured - z >= -truncation), F.lit(False))
+
+
+def usable_views(df: DataFrame, view: str, depth: str, cloud: str, pixels: int = 1000, points: int = 100) -> DataFrame:
+    """Views with enough valid depths and enough distinct cloud cells."""
+    own = df.groupBy(view).agg(F.count_if(F.col(depth) > 0).alias("pixels"), F.count_distinct(F.when(F.col(depth) > 0, F.col(cloud))).alias("points"))
+    return own.where((F.col("pixels") >= pixels) & (F.col("points") >= points))
+
+
+def box_in_view(boxes: DataFrame, planes: DataFrame, ident: str) -> DataFrame:
+    """(ident, view): boxes (x0..z1) that a view's planes (view, plane, a, b, c, d; a x + b y + c z + d >= 0 is inside) don't cut off whole.
+
+    Of each plane the box's farthest corner decides, so eight corners are one
+    expression. planes: six a view; they meet every box by design.
+    """
+    far = sum((F.greatest(F.col(n) * F.col(f"{a}0"), F.col(n) * F.col(f"{a}1")) for n, a in zip("abc", "xyz", strict=True)), F.col("d"))
+    views = planes.groupBy("view").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("_p"))
+    met = boxes.crossJoin(broadcast_if_small(views)).withColumn("_q", F.explode("_p")).select(ident, "view", *(f"{a}{k}" for a in "xyz" for k in "01"), "_q.*")
+    return met.groupBy(ident, "view").agg(F.min(far).alias("_least")).where("_least >= 0").select(ident, "view")

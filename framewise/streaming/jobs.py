@@ -31,6 +31,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", at.name).option("recursiveFileLookup", "false").parquet(parent)
 
 
+def with_end(stream: DataFrame, end) -> DataFrame:
+    """A finite stream with one more row behind it, null but for ts = end, that moves the watermark past all windows still open.
+
+    Drop it by a key that is null.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
+    row = spark.createDataFrame([(end,)], "ts timestamp").select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields))
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now (availableNow) into Parquet files, and reads them."""
     spark = stream.sparkSession
@@ -84,9 +96,9 @@ def stream_pairing(stream: DataFrame, key: str, tolerance: float, quiet: str = "
 
 
 def stream_gap_sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
-    """Sessions per key that a gap without rows ends: key, start, end, n. Stream: ts timestamp. A session is out once the watermark passed it."""
+    """Sessions per key that a gap without rows ends: key, start, end, n. Stream: ts timestamp. A session is out once the watermark passed it; for a finite stream see with_end. Rows without a key take no part."""
     sessions = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
-    return sessions.select(key, "start", "end", "n")
+    return sessions.where(F.col(key).isNotNull()).select(key, "start", "end", "n")
 
 
 def stream_rate_limit(stream: DataFrame, key: str, interval: float) -> DataFrame:

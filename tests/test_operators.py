@@ -112,8 +112,15 @@ def test_smoothing_and_state(spark):
     assert sequence.moved([0, 1, 2, 3], [0, 5, 12, 13], 10, 1) == [True, False, True, False]
     t = np.arange(6) * 0.05
     found = sequence.gravity_rows(t, np.tile([0, -9.80665, 0.0], (6, 1)))
-    assert found[-1][0] and found[-1][1] == pytest.approx(1.0) and found[-1][3] == pytest.approx(-1)
-    assert not sequence.gravity_rows([0.0], np.array([[0, 0, 1.0]]))[0][0]
+    assert found.valid.iloc[-1] and found.confidence.iloc[-1] == pytest.approx(1.0) and found.up_y.iloc[-1] == pytest.approx(-1)
+    assert not sequence.gravity_rows([0.0], np.array([[0, 0, 1.0]])).valid[0]
+    down = np.array([[0, -9.8, 0.0]] * 8 + [[0, 9.8, 0.0]] * 12 + [[np.nan, 0, 0], [0, 9.8, 0], [0, 9.8, 0]])
+    at = np.append(np.arange(21) * 0.05, [5.0, 5.05])
+    turned = sequence.gravity_rows(at, down)
+    # The median flips after half of its eight rows; the mean all but vanishes on the way, and starts anew.
+    assert (turned.up_y[:8].dropna() < 0).all() and turned.up_y[19] == pytest.approx(1) and not turned.valid[20] and turned.up_y[22] == pytest.approx(1)
+    assert turned.up_y[8:20].isna().sum() == 1
+    assert len(sequence.gravity_rows([], np.zeros((0, 3)))) == 0
 
 
 def test_loss_changes_and_trails(spark):
@@ -217,16 +224,40 @@ def test_graphs(spark):
     assert {r.id: r.world[3] for r in graph.propagate(tree, 0).collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
 
 
-def test_redundancy_selection():
-    view, sample = np.repeat(np.arange(5), 10), np.tile(np.arange(10), 5)
-    assert sum(select.reverse_delete(view, sample, np.ones(50)).values()) == 3
-    assert select.keyframes(10, 4) == [0, 3, 6, 9] and len(select.keyframes(100, 9, ((3, 50),))) == 9
+def test_redundancy_selection(spark):
+    rows = spark.createDataFrame([(g, v, s, 1.0) for g in (0, 1) for v in range(5) for s in range(10)] + [(2, 0, 0, 1.0), (2, 1, 0, 0.5), (2, 2, 0, 0.5), (2, 3, 0, 0.5), (2, 3, 1, 1.0)], "g long, v long, s long, w double")
+    kept = {(r.g, r.v): r.kept for r in select.redundant_views(rows, "g", "v", "s", "w").collect()}
+    assert [kept[0, v] for v in range(5)] == [False, False, True, True, True]
+    assert [kept[2, v] for v in range(4)] == [True, False, True, True]
+    kept = {(r.g, r.v): r.kept for r in select.redundant_views(rows, "g", "v", "s", "w", protected=F.col("v") == 0).collect()}
+    assert [kept[0, v] for v in range(5)] == [True, False, False, True, True]
     assert select.tolerance_dedup([0, 0.5, 1.2], 1.0) == [True, False, True]
 
 
+def test_keyframes():
+    assert select.keyframes(10, 4) == [0, 3, 6, 9] and select.keyframes(3, 9, ((0, 1),)) == [0, 1, 2]
+    found = select.keyframes(100, 9, ((3, 50), (3, 4)))
+    assert len(found) == 9 and {0, 33, 66, 99, 3, 50, 4} <= set(found)
+    # Four even ones and four of two pairs leave one place: only a pair with one new position fits.
+    assert {3, 50, 7, 60, 8} <= set(select.keyframes(100, 9, ((3, 50), (7, 60), (20, 21), (7, 8))))
+    assert select.halved_gaps(np.array([0, 10, 16]), 3).tolist() == [0, 2, 5, 10, 13, 16]
+
+
 def test_global_gains(spark):
-    edges = spark.createDataFrame([(0, 1, math.log(1.25)), (1, 2, math.log(0.8 / 0.7))], "a long, b long, r double")
-    assert select.global_gains(edges, "a", "b", "r").gain.tolist() == pytest.approx([1.0, 1.25, 1 / 0.7])
+    edges = spark.createDataFrame([(0, 1, math.log(1.25)), (1, 2, math.log(0.8 / 0.7)), (8, 9, 5.0), (9, 8, None)], "a long, b long, r double")
+    assert {r.view: r.gain for r in select.global_gains(edges, "a", "b", "r").collect()} == pytest.approx({0: 1.0, 1: 1.25, 2: 1 / 0.7, 8: 1.0, 9: 1.5})
+
+
+def test_pairs_of_tags_and_times(spark):
+    rows = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 5), (1, 9)], "k long, i long")
+    near = {(r.k, r.i, r.j) for r in sequence.temporal_pairs(rows, ("k",), "i").collect()}
+    assert near == {(0, j - d, j) for j in range(40) for d in (1, 2, 3) if j >= d}
+    bank = {(r.i, r.j) for r in sequence.bank_pairs(rows.where("k = 0"), "k", "i").collect()}
+    for j in range(40):
+        want = set(range(min(j, 5))) | set(list(range(0, j, 4))[-27:]) | set(range(max(0, j - 8), j))
+        assert {i for i, y in bank if y == j} == want
+    edges = sequence.path_edges(rows.withColumn("ok", F.col("i") != 7), ("k",), "i", "ok").where("k = 0").collect()
+    assert {(r.from_index, r.to_index) for r in edges} == {(i, i + 1) for i in range(39) if 7 not in (i, i + 1)}
 
 
 def test_sources(spark, tmp_path):
