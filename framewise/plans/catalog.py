@@ -14,6 +14,7 @@ from ..functions.geometry import cell, observation_weight, wrap_delta
 from ..operators import asof, dedup, graph, knn, pairing, robust, sampling, score, select, sequence, stencil, voxel
 from ..sources import io
 from ..streaming import jobs
+from . import catalog_state as state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -587,7 +588,7 @@ def reachability(spark, d):
     return graph.reachable(_knn_edges(spark, d), spark.range(1)).select("id")
 
 
-@query("max_spanning_tree")
+@query("max_spanning_tree", state.SPANNING)
 def max_spanning_tree(spark, d):
     rows = io.table(spark, d, "embeddings").select("vec_id", "embedding")
     near = knn.nearest_k(rows, rows, 4, "vec_id", "embedding", other=True)
@@ -600,47 +601,47 @@ def _sides(spark, d):
     return e
 
 
-@query("greedy_one_to_one")
+@query("greedy_one_to_one", state.GREEDY)
 def greedy_one_to_one(spark, d):
     e = _sides(spark, d)
     return pairing.one_to_one(e.where("event_type = 'view'").select("key", "id", "t"), e.where("event_type = 'error'").select("key", "id", "t"), 600.0, "key", "greedy")
 
 
-@query("nearest_unused")
+@query("nearest_unused", state.NEAREST_UNUSED)
 def nearest_unused(spark, d):
     e = _sides(spark, d)
     return pairing.one_to_one(e.where("event_type = 'view'").select("key", "id", "t"), e.where("event_type = 'error'").select("key", "id", "t"), 600.0, "key")
 
 
-@query("gravity_filter")
+@query("gravity_filter", state.GRAVITY)
 def gravity_filter(spark, d):
     e = _events(spark, d).select("user_id", F.col("event_id").alias("id"), "t", *((F.lit(9.8) * f(F.col("value") / 50)).alias(n) for f, n in ((F.sin, "ax"), (F.cos, "ay"))), F.lit(0.1).alias("az"))
     return _r(sequence.gravity_filter(e, "user_id", gap=40000.0, tau=20000.0), "confidence", "up_x", "up_y", "up_z")
 
 
-@query("hysteresis")
+@query("hysteresis", state.HYSTERESIS)
 def hysteresis(spark, d):
     e = _events(spark, d).select("user_id", F.col("event_id").alias("id"), "t", (F.col("value") * 3.6).alias("angle"))
     return sequence.hysteresis(e, "user_id", "angle", hold=20000.0)
 
 
-@query("rate_limited")
+@query("rate_limited", state.RATE_LIMITED + " SELECT user_id, event_id AS id, taken FROM s")
 def rate_limited(spark, d):
     return sequence.rate_limit(_events(spark, d).select("user_id", F.col("event_id").alias("id"), "t"), "user_id", 86400.0)
 
 
-@query("reverse_delete_cover")
+@query("reverse_delete_cover", state.REVERSE_DELETE)
 def reverse_delete_cover(spark, d):
     seen = io.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 16).alias("block"), "l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("weight"))
     return select.redundant_views(seen, "block", "l_suppkey", "l_partkey", "weight")
 
 
-@query("global_gains")
+@query("global_gains", state.GAINS)
 def global_gains(spark, d):
     seen = io.table(spark, d, "lineitem").groupBy("l_partkey", (F.col("l_suppkey") % 6).alias("view")).agg(F.avg("l_extendedprice").alias("v"))
     a, b = seen.select("l_partkey", F.col("view").alias("a"), F.col("v").alias("va")), seen.select("l_partkey", F.col("view").alias("b"), F.col("v").alias("vb"))
     ratios = a.join(b, "l_partkey").where("a < b").groupBy("a", "b").agg(F.percentile(F.ln(F.col("va") / F.col("vb")), F.lit(0.5)).alias("ratio"))
-    return _r(spark.createDataFrame(select.global_gains(ratios, "a", "b", "ratio")), "gain")
+    return _r(select.global_gains(ratios, "a", "b", "ratio"), "gain")
 
 
 def _event_stream(spark, d):
@@ -648,18 +649,21 @@ def _event_stream(spark, d):
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", F.unix_micros("ts") / 1e6)
 
 
-@query("stream_pairing")
+@query("stream_pairing", state.STREAM_PAIRS)
 def stream_pairing(spark, d):
     rows = _event_stream(spark, d).where("event_type in ('view', 'error')").select("user_id", F.col("event_id").alias("id"), "t", "ts", F.when(F.col("event_type") == "view", "a").otherwise("b").alias("kind"))
     return jobs.run_to_table(jobs.stream_pairing(rows, "user_id", 43200.0), "pairs")
 
 
-@query("stream_gap_sessions")
+@query("stream_gap_sessions", state.STREAM_SESSIONS)
 def stream_gap_sessions(spark, d):
-    return jobs.run_to_table(jobs.stream_gap_sessions(_event_stream(spark, d).select("user_id", "ts"), "user_id", "2 hours", "1 hour"), "sessions")
+    rows = _event_stream(spark, d).select("user_id", "ts")
+    end = io.table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).first()[0]
+    out = jobs.run_to_table(jobs.stream_gap_sessions(jobs.with_end(rows, end), "user_id", "2 hours", "1 hour"), "sessions").where("user_id is not null")
+    return _r(out.select("user_id", *((F.unix_micros(c) / 1e6).alias(c) for c in ("start", "end")), "n"), "start", "end")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", state.RATE_LIMITED + " SELECT user_id AS key, event_id AS id, t FROM s WHERE taken")
 def stream_rate_limit(spark, d):
     return jobs.run_to_table(jobs.stream_rate_limit(_event_stream(spark, d).select("user_id", F.col("event_id").alias("id"), "t"), "user_id", 86400.0), "taken")
 

@@ -34,7 +34,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def with_end(stream: DataFrame, end) -> DataFrame:
     """A finite stream with one more row behind it, null but for ts = end, that moves the watermark past all windows still open.
 
-    Drop it by a key that is null.
+    Drop it, by its null key, from what was written: a filter in the stream
+    would move before the watermark.
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
@@ -96,9 +97,9 @@ def stream_pairing(stream: DataFrame, key: str, tolerance: float, quiet: str = "
 
 
 def stream_gap_sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
-    """Sessions per key that a gap without rows ends: key, start, end, n. Stream: ts timestamp. A session is out once the watermark passed it; for a finite stream see with_end. Rows without a key take no part."""
+    """Sessions per key that a gap without rows ends: key, start, end, n. Stream: ts timestamp. A session is out once the watermark passed it; for a finite stream see with_end."""
     sessions = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
-    return sessions.where(F.col(key).isNotNull()).select(key, "start", "end", "n")
+    return sessions.select(key, "start", "end", "n")
 
 
 def stream_rate_limit(stream: DataFrame, key: str, interval: float) -> DataFrame:
