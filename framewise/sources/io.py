@@ -64,8 +64,10 @@ def delta_decode(df: DataFrame, keys: list[str], x: str, delta: str = "delta", b
 
 
 def raw_to_mm(df: DataFrame, lookup: DataFrame, code: str = "code") -> DataFrame:
-    """Raw codes to millimetres by a table of 2,048 (code, mm) rows; codes outside it or without distance give null. Code 0 is a code."""
-    return df.join(F.broadcast(lookup.limit(2048)), code, "left")
+    """Raw codes to millimetres by a table of up to 2,048 (code, mm) rows (a larger one is an error); codes outside it or without distance give null. Code 0 is a code."""
+    if lookup.count() > 2048:
+        raise ValueError("more than 2048 codes")
+    return df.join(F.broadcast(lookup), code, "left")
 
 
 def report(df: DataFrame, path: str) -> None:
