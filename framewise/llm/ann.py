@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Trees, bits of a tree's hash strings, and the share of a shard's rows that the trees offer together before the ascent ends (distinct rows).
-TREES, BITS, OFFERED = 64, 32, 0.75
+from .common import broadcast_if_small, materialise, shared_dir
+from .elias_fano import Levels, pack, write_shared
+
+#: Trees, bits of a tree's hash strings, and the power of a shard's rows that the trees offer together, with MORE, before the ascent ends (distinct rows).
+TREES, BITS, POWER, MORE = 64, 32, 0.9, 128
 #: Rows of a shard, and queries that meet a shard at once, at most about.
 SHARD, QUERIES = 32_768, 4_096
 
@@ -25,14 +29,29 @@ class Forest:
     """
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 7):
-        self.exact, vectors = vectors, vectors.astype(np.float32)
-        self.vectors = vectors
-        self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * BITS), np.float32)
-        squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.exact, self.vectors = vectors, vectors.astype(np.float32)
+        self.planes = self._planes(vectors.shape[1], trees, seed)
+        squares = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
         rest = np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0)).astype(np.float32)
-        keys = self._strings(vectors, rest)
+        keys = self._strings(self.vectors, rest)
         self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
-        self.keys = np.take_along_axis(keys.T, self.order, axis=1).astype(np.int64)
+        self.keys = np.take_along_axis(keys.T, self.order, axis=1)
+
+    @staticmethod
+    def _planes(dimensions: int, trees: int, seed: int) -> np.ndarray:
+        return np.random.default_rng(seed).standard_normal((dimensions + 1, trees * BITS), np.float32)
+
+    def image(self, ids: np.ndarray) -> bytes:
+        """The forest and its rows' ids as a file that Forest.mapped reads."""
+        return pack(ids=ids, exact=self.exact, vectors=self.vectors, order=self.order, keys=self.keys)
+
+    @classmethod
+    def mapped(cls, path: str, seed: int = 7) -> tuple[Forest, np.ndarray]:
+        """A forest in a file of the shared folder, memory-mapped, and its rows' ids."""
+        own, level = cls.__new__(cls), Levels.from_path(path)
+        own.exact, own.vectors, own.order, own.keys = level.exact, level.vectors, level.order, level.keys
+        own.planes = cls._planes(own.vectors.shape[1], len(own.keys), seed)
+        return own, level.ids
 
     def _strings(self, vectors: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = []
@@ -42,16 +61,16 @@ class Forest:
             out.append(np.packbits(bits.reshape(len(part), -1, BITS), axis=2).view(">u4")[..., 0].astype(np.uint32))
         return np.concatenate(out) if out else np.zeros((0, self.planes.shape[1] // BITS), np.uint32)
 
-    def candidates(self, queries: np.ndarray, offered: float, own: list[np.ndarray], k: int):
+    def candidates(self, queries: np.ndarray, power: float, own: list[np.ndarray], k: int):
         """Yields each query's candidate rows, without its own ones (row numbers).
 
         Each tree is descended to the longest prefix that it shares with the
         query; then all trees ascend together, a bit at a time, until they
-        offer k distinct rows and 64 above the wished share, or all there
-        are. A level is taken whole.
+        offer k distinct rows, and MORE and the shard's rows to the power
+        given, or all there are. A level is taken whole.
         """
         n, trees = len(self.vectors), len(self.keys)
-        depths = range(min(BITS, 24), 0, -1)
+        depths = range(BITS, 0, -1)
         seen = np.zeros(n, bool)
         for first in range(0, len(queries), 256):
             part = queries[first : first + 256]
@@ -67,7 +86,7 @@ class Forest:
             sums = (hi - lo).sum(axis=1, dtype=np.int64)
             for q in range(len(part)):
                 mine = own[first + q]
-                need = min(n - len(mine), max(k, math.ceil(offered * n) + 64))
+                need = min(n - len(mine), max(k, math.ceil(n**power) + MORE))
                 level = int(np.argmax(sums[:, q] >= need))  # fewer offers can't be enough distinct rows
                 old_lo = old_hi = lo[level, :, q]
                 while True:
@@ -83,14 +102,14 @@ class Forest:
                 seen[found] = False
                 yield found
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, offered: float = OFFERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, power: float = POWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, score) of each query's k best candidates, by double-precision inner products, ties to smaller ids."""
         out_q, out_i, out_s = [], [], []
         spread = 4e-6 * float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
         order = np.argsort(ids, kind="stable")
         left, right = (np.searchsorted(ids, query_ids, side, sorter=order) for side in ("left", "right"))
         own = [order[a:b] for a, b in zip(left, right, strict=True)]
-        for q, found in enumerate(self.candidates(queries, offered, own, k)):
+        for q, found in enumerate(self.candidates(queries, power, own, k)):
             rough = self.vectors[found] @ queries[q].astype(np.float32)
             if len(found) > k:
                 least = np.partition(rough, -k)[-k]
@@ -109,34 +128,54 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", offered: float = OFFERED) -> DataFrame:
+def build_forests(rows: DataFrame) -> DataFrame:
+    """(dim, shard, path): every row indexed once; each shard of about SHARD rows, dealt by a hash, is a forest in a file of the shared folder."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
+    shards = max(1, math.ceil(rows.count() / SHARD))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+
+    def build(group: pa.Table) -> pa.Table:
+        dim, shard = group.column("dim")[0].as_py(), group.column("shard")[0].as_py()
+        ids, v = group.column("id").to_numpy(), _vectors(group)
+        path = f"{folder}/{dim}-{shard}"
+        write_shared(path, Forest(v).image(ids))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [path]})
+
+    return materialise(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, path string"), "forests")
+
+
+def _vectors(group: pa.Table) -> np.ndarray:
+    v = group.column("v").combine_chunks()
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy().reshape(group.num_rows, -1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", power: float = POWER) -> DataFrame:
     """Each query's k nearest rows by inner product: query_id, rank, vec_id, score.
 
-    Every row is indexed: shards of rows, dealt by a hash, each get a forest,
-    and blocks of queries visit every shard of their dimension; the k best of
-    each shard meet in a ranking by query. A query's own id is no candidate.
-    With fewer candidates than k all are returned. Equal vectors share their
-    hash strings, and a prefix is taken with all its rows, so ties are whole.
-    Null, zero and non-finite vectors take no part; rows that repeat an id are
-    searched each by itself; empty tables give no rows; extra columns are not
-    read.
+    Every row is indexed, once. Blocks of queries visit the forests of their
+    dimension, which are mapped from the shared folder, so that only queries
+    are copied to shards; the k best of each shard meet in a ranking by query.
+    A query's own id is no candidate. With fewer candidates than k all are
+    returned. Equal vectors share their hash strings, and a prefix is taken
+    with all its rows, so ties are whole. Null, zero and non-finite vectors
+    take no part; queries that repeat an id are searched each by its own
+    vector, equal ones once, and none of them is a candidate of another; empty
+    tables give no rows; extra columns are not read.
     """
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    shards, blocks = max(1, math.ceil(rows.count() / SHARD)), max(1, math.ceil(asked.count() / QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("query"), "id", "v")
-    sides = sides.unionByName(asked.select("dim", every(shards).alias("shard"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "id", "v"))
+    forests, asked = build_forests(usable(vectors, id_col, vector_col)), usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
+    blocks = max(1, math.ceil(asked.count() / QUERIES))
+    visits = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).join(broadcast_if_small(forests), "dim")
 
     def visit(group: pa.Table) -> pa.Table:
-        asks = group.column("query").to_numpy()
-        ids = group.column("id").to_numpy()
-        v = group.column("v").combine_chunks()
-        v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy().reshape(len(ids), -1)
-        q, i, s = Forest(v[~asks]).search(ids[~asks], v[asks], ids[asks], k, offered) if asks.any() and not asks.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in v[asks]], np.uint64).view(np.int64) if asks.any() else np.zeros(0, np.int64)
-        return pa.table({"query_id": ids[asks][q], "mark": mark[q] if len(q) else np.zeros(0, np.int64), "vec_id": i, "score": s})
-
-    found = sides.groupBy("dim", "shard", "block").applyInArrow(visit, "query_id long, mark long, vec_id long, score double")
+        forest, rows = Forest.mapped(group.column("path")[0].as_py())
+        ids, v = group.column("id").to_numpy(), _vectors(group)
+        q, i, s = forest.search(rows, v, ids, k, power)
+        mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
+        return pa.table({"query_id": ids[q], "mark": mark[q], "vec_id": i, "score": s})
+
+    found = visits.groupBy("path", "block").applyInArrow(visit, "query_id long, mark long, vec_id long, score double")
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -173,6 +173,22 @@ def test_forest_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_on_the_embeddings(spark):
+    """Recall on the whole table against brute force, every hash bit in use, and repeated ids."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got, v = ann.query(spark, SF).toPandas(), rows.toPandas().set_index("vec_id").embedding
+    x = np.stack(v.to_numpy()).astype(np.float64)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[v.index.get_loc(q)]
+        s[v.index.get_loc(q)] = -np.inf
+        hits += len(set(v.index[np.lexsort((v.index, -s))[:20]]) & set(own.vec_id))
+    assert len(got) == 25 * 20 and hits / len(got) >= 0.95
+    twice = rows.where("vec_id < 3").unionAll(rows.where("vec_id = 0")).unionAll(rows.where("vec_id = 1").selectExpr("0L", "embedding", "label"))
+    found = ann.nearest(twice, twice.where("vec_id = 0")).toPandas()
+    assert sorted(found.vec_id) == [1, 1, 2, 2] and sorted(found["rank"]) == [1, 1, 2, 2]
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
 @pytest.mark.parametrize("n", [5, 15, 21, 30, 60, 100, 200])
 def test_small_forests_against_brute_force(n, spread):
