@@ -22,23 +22,27 @@ from .elias_fano import Levels, Monotone, pack, write_shared
 KAPPA = 8.0
 #: Tokens of a chunk of documents, and of a shard of the trie at most about.
 CHUNK, SHARD = 1_000_000, 1_250_000
-#: Words whose hashes a worker caches.
-CACHE = 200_000
+#: Bytes of the words whose hashes a worker caches, at most about.
+CACHE = 24 << 20
 #: Word pairs beyond this share of the tokens in the heads of the partitions are counted apart, so that no shard holds one of them.
 HOT_SHARE, HOT_DOCS = 5e-4, 64
 #: Hashes of the end of a text and of what stands before its first word; no word holds a blank.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n end", b"\n begin"))
-#: Steps of the quantised log10 probabilities: one byte for words, two for pairs.
-STEP1, STEP2 = 12.0 / 255, 12.0 / 65535
+#: Quantised log10 probabilities down to -TOP, one byte for words and two for pairs, finer towards 0, where errors of long texts add up.
+TOP, BYTE, WORD = 18.0, 255, 65535
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _WordHash(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
+        self.held += len(word) + 130
+        if self.held > CACHE:
             self.clear()
+            self.held = len(word) + 130
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -89,7 +93,7 @@ def _cut(shard: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _hot_pairs(rows: DataFrame) -> np.ndarray:
-    """Hashes of word pairs that are frequent in the heads of the partitions: at most 1 / HOT_SHARE. Only balance depends on them."""
+    """Hashes of word pairs that are frequent in the heads of the partitions: at most 1 / HOT_SHARE. Only balance depends on them, and no score: they are scored as the trie would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (b.slice(0, HOT_DOCS) for b in itertools.islice(batches, 1))
@@ -183,9 +187,26 @@ class _Words:
         return out
 
 
-def _down(x: np.ndarray, step: float) -> np.ndarray:
-    """Steps of a log10 probability, rounded so that it never grows."""
-    return np.ceil(-x / step)
+def _quantised(log: np.ndarray, top: int) -> np.ndarray:
+    """Codes of log10 probabilities, rounded so that none grows."""
+    return np.minimum(np.ceil(top * np.sqrt(-log / TOP)), top)
+
+
+def _decoded(codes: np.ndarray, top: int) -> np.ndarray:
+    return 10 ** (-TOP * (codes.astype(np.float64) / top) ** 2)
+
+
+def _codes(n: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The trie's codes of a pair's count over its context's count + KAPPA."""
+    return _quantised(np.log10(n / (above + KAPPA)), WORD).astype(np.uint16)
+
+
+def _stored(n: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """What the trie gives for pairs with these counts; 0 for unseen ones."""
+    out = np.zeros(len(n))
+    some = n > 0
+    out[some] = _decoded(_codes(n[some], above[some]), WORD)
+    return out
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -217,14 +238,14 @@ def _requests(rows: DataFrame, files: list[tuple], shards: int, hot: np.ndarray,
             above = np.empty_like(count)
             above[1:] = count[:-1]
             above[first] = starts
-            p1 = 10 ** (-STEP1 * _down(np.log10((count + 1) / room), STEP1))
+            p1 = _decoded(_quantised(np.log10((count + 1) / room), BYTE), BYTE)
             add = KAPPA * p1 / (above + KAPPA)
-            # Hot pairs are scored here.
+            # Hot pairs are scored here, with the trie's quantised probabilities.
             pairs = _pair(before, t)
             where = _in_sorted(pairs, hot)
             is_hot = where >= 0
             seen = np.where(is_hot, hot_counts[where], 0) if len(hot) else np.zeros(len(t), np.int64)
-            hot_part = np.bincount(doc[is_hot], np.log10(seen[is_hot] / (above[is_hot] + KAPPA) + add[is_hot]), len(own))
+            hot_part = np.bincount(doc[is_hot], np.log10(_stored(seen[is_hot], above[is_hot]) + add[is_hot]), len(own)).astype(np.float64)
             meta = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(out, pa.bool_()), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base), "part": pa.array(hot_part)})
             number, blobs, head = [seq % shards], [_ipc(meta)], [True]
             # A context with more than an eighth of a shard's tokens is dealt by its words too.
@@ -238,7 +259,7 @@ def _requests(rows: DataFrame, files: list[tuple], shards: int, hot: np.ndarray,
             starts_at = np.flatnonzero(new)
             times = np.diff(np.append(starts_at, len(order)))
             order, s, b, w, d = order[starts_at], s[starts_at], b[starts_at], w[starts_at], d[starts_at]
-            code = _down(np.log10((count[order] + 1) / room), STEP1).astype(np.uint8)
+            code = _quantised(np.log10((count[order] + 1) / room), BYTE).astype(np.uint8)
             train = ~np.array(out, bool)
             cuts = _cut(s, shards)
             for x in range(shards):
@@ -258,7 +279,7 @@ def _requests(rows: DataFrame, files: list[tuple], shards: int, hot: np.ndarray,
                             spread.astype(np.uint32).tobytes(),
                             w[lo:hi].tobytes(),
                             d[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
-                            np.minimum(times[lo:hi], 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
+                            times[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
                             code[lo:hi].tobytes(),
                             train[d[lo:hi]].tobytes(),
                         )
@@ -296,7 +317,7 @@ def _build(before: np.ndarray, word: np.ndarray, times: np.ndarray, above: np.nd
     b, w, a = before[first], word[first], above[first]
     heads = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
     rank = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(b))))
-    code = np.minimum(_down(np.log10(n / (a + KAPPA)), STEP2), 65535).astype(np.uint16) if len(b) else np.zeros(0, np.uint16)
+    code = _codes(n, a)
     return Levels.from_bytes(
         pack(
             contexts=Monotone.build(b[heads]),
@@ -319,7 +340,7 @@ def _look_up(trie: Levels, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         at, equal = trie.successors.successor(rank[some].astype(np.uint64) << np.uint64(32) | word[some])
         end = trie.pointers.get(rank[some] + 1).astype(np.int64)
         hit = equal & (at < end)
-        out[some[hit]] = 10 ** (-STEP2 * trie.probability[at[hit]].astype(np.float64))
+        out[some[hit]] = _decoded(trie.probability[at[hit]], WORD)
     return out
 
 
@@ -345,7 +366,7 @@ def _score_shard(group: pa.Table) -> pa.Table:
         new = np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1]))
         first = np.flatnonzero(new)
         stored = _look_up(trie, before[first], word[first])[np.cumsum(new) - 1]
-        p = stored + KAPPA * 10 ** (-STEP1 * code[order].astype(np.float64)) / (above + KAPPA)
+        p = stored + KAPPA * _decoded(code[order], BYTE) / (above + KAPPA)
         value = (np.log10(p))[back] * times
         at = 0
         for (chunk, n_docs, cols), m in zip(parts, sizes, strict=True):
@@ -376,12 +397,15 @@ def score_documents(docs: DataFrame, out_of_training: str = "held_out", id_col:
 
     Tokens are words with A-Z lowered, then one end. Unigrams: (count + 1) /
     (N + V + 1). Pairs: (count of the pair + KAPPA * unigram) / (count of the
-    context + KAPPA), which sums to 1 (unigrams are rounded down to STEP1 in
-    it, so to a little less). Level 1 (words and their counts) lies in files by
+    context + KAPPA), which sums to 1 (both are rounded down in it, so to
+    a little less). Level 1 (words and their counts) lies in files by
     ranges of hashes in the shared folder and is memory-mapped by every
     worker; level 2 lies in shards by context, each built, mapped and searched
     where its pairs meet. Frequent contexts are dealt by their words too, and
-    very frequent pairs are counted apart. Null and empty texts are the one
+    very frequent pairs are counted apart and scored alike, so that scores
+    don't depend on how rows are partitioned. Words of one context are told
+    apart by 32 bits of their hashes: of 100,000 unlike words after one word
+    about one pair is taken for one. Null and empty texts are the one
     end token; repeated rows count and score each by itself; a null flag
     counts as not held out; an empty table gives no rows; extra columns are
     not read. Returns doc_id, held_out, n_tokens, n_known, train_tokens,

@@ -25,8 +25,8 @@ SLACK = 5
 GROUP, BLOCK, TILE = 64, 4096, 256
 #: Shingles that are compared at once in a tile.
 COLUMNS = 4096
-#: Characters of the words whose hashes a worker caches.
-CACHE = 8_000_000
+#: Bytes of the words whose hashes a worker caches, at most about.
+CACHE = 24 << 20
 
 _rng = np.random.default_rng(1)
 _MUL = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,10 +40,10 @@ class _WordHash(dict):
     held = 0
 
     def __missing__(self, word: bytes) -> int:
-        self.held += len(word) + 32
+        self.held += len(word) + 130
         if self.held >= CACHE:
             self.clear()
-            self.held = len(word) + 32
+            self.held = len(word) + 130
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 

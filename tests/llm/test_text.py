@@ -244,3 +244,16 @@ def test_language_model_against_counts(spark):
         assert got[k].base_score == pytest.approx(base, rel=1e-9)
         assert got[k].score == pytest.approx(full, rel=0.02, abs=0.02)
     assert language_model.score_documents(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).count() == 0
+
+
+def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Nor on which pairs are hot: none, or all that any partition holds."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", "cat", "sat", f"x{k % 30}"]) for _ in range(30)) for k in range(120)] + ["hot pair " * 400, "never seen there"]
+    docs = spark.createDataFrame([(k, t, k % 7 == 2) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    scores = []
+    for parts, share in ((1, 5e-4), (7, 5e-4), (3, 1.0)):
+        monkeypatch.setattr(language_model, "HOT_SHARE", share)
+        scores.append({r.doc_id: r.score for r in language_model.score_documents(docs.repartition(parts)).collect()})
+    for k in range(len(texts)):
+        assert scores[0][k] == pytest.approx(scores[1][k], rel=1e-9) and scores[0][k] == pytest.approx(scores[2][k], rel=1e-9)
