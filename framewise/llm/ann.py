@@ -16,8 +16,8 @@ from .elias_fano import Levels, pack, write_shared
 
 #: Trees, bits of a tree's hash strings, and the power of a shard's rows that the trees offer together, with MORE, before the ascent ends (distinct rows).
 TREES, BITS, POWER, MORE = 64, 32, 0.9, 128
-#: Rows of a shard, and queries that meet a shard at once, at most about.
-SHARD, QUERIES = 32_768, 4_096
+#: Rows of a shard, and queries that meet a shard at once, at most about; partitions of their meetings, at most.
+SHARD, QUERIES, VISITS = 32_768, 4_096, 10_000
 
 
 class Forest:
@@ -175,6 +175,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
         return pa.table({"query_id": ids[q], "mark": mark[q], "vec_id": i, "score": s})
 
+    # As many tasks as visits, which are few rows but much work.
+    visits = visits.repartition(min(max(1, forests.count() * blocks), VISITS), "path", "block")
     found = visits.groupBy("path", "block").applyInArrow(visit, "query_id long, mark long, vec_id long, score double")
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
