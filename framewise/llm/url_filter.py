@@ -65,9 +65,9 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ends = F.coalesce(F.date_sub("until", 1), F.lit(span.hi))
     buckets = F.sequence(F.floor(day(F.greatest("since", F.lit(span.lo))) / BUCKET), F.floor(day(F.least(ends, F.lit(span.hi))) / BUCKET))
     valid = materialise(valid.withColumn("bucket", F.explode(buckets)), "list-intervals")
-    met = keys.join(broadcast_if_small(valid, 96), ["pattern", "bucket"]).where("day >= since and (until is null or day < until)")
+    met = keys.join(broadcast_if_small(valid), ["pattern", "bucket"]).where("day >= since and (until is null or day < until)")
     found = materialise(met.groupBy("url", "day").agg(F.max(F.struct("place", "action", "pattern")).alias("best")).select(F.col("url").alias("_url"), F.col("day").alias("_day"), F.col("best.action").alias("_verdict"), F.col("best.pattern").alias("_matched")), "url-verdicts")
-    joined = base.join(broadcast_if_small(found, 256), (F.col("url") == F.col("_url")) & (F.col("fetched_on") == F.col("_day")), "left")
+    joined = base.join(broadcast_if_small(found), (F.col("url") == F.col("_url")) & (F.col("fetched_on") == F.col("_day")), "left")
     return joined.select(*base.columns, F.coalesce("_verdict", F.lit("none")).alias("verdict"), F.col("_matched").alias("matched"))
 
 
