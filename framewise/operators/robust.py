@@ -7,11 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialise
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Per key exact percentiles of value with linear interpolation, one column for each entry of `at`.
+
+    No task holds a key: equal values are counted first, (key, value) is
+    range-partitioned, and each partition's counts (one row a key and
+    partition) say which partitions hold a wanted rank; only these are ranked.
+    Null values don't count; a key without values gives nulls, a null key is a
+    key, and an empty table gives no rows.
+    """
+    key = F.struct(F.lit(0).alias("_0"), *keys)
+    counts = df.groupBy(key.alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count(F.col(value)).alias("_c"))
+    parted = materialise(counts.repartitionByRange("_k", "_v").withColumn("_part", F.spark_partition_id()), "ranked")
+    own = Window.partitionBy("_k")
+    before = F.sum("_size").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = parted.groupBy("_k", "_part").agg(F.sum("_c").alias("_size")).select("_k", "_part", "_size", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(own).alias("_n"))
+    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in at.items()}
+    wanted = [end(x).cast("long") for x in place.values() for end in (F.floor, F.ceil)]
+    within = lambda rank, low, high: (rank >= low) & (rank < high)
+    held = sizes.where(reduce(lambda x, y: x | y, (within(r, F.col("_before"), F.col("_before") + F.col("_size")) for r in wanted)))
+    last = F.sum("_c").over(Window.partitionBy("_part", "_k").orderBy("_v")) + F.col("_before")
+    ranked = parted.where("_c > 0").join(held.drop("_size"), ["_k", "_part"]).withColumn("_last", last)
+    value_at = lambda rank: F.max(F.when(within(rank.cast("long"), F.col("_last") - F.col("_c"), F.col("_last")), F.col("_v")))
+    ends = [end for name, x in place.items() for end in (value_at(F.floor(x)).alias(f"_lo_{name}"), value_at(F.ceil(x)).alias(f"_hi_{name}"), F.max(x - F.floor(x)).alias(f"_at_{name}"))]
+    picked = ranked.groupBy("_k").agg(*ends)
+    between = [F.when(F.col(f"_at_{name}") == 0, F.col(f"_lo_{name}")).otherwise(F.col(f"_lo_{name}") * (1 - F.col(f"_at_{name}")) + F.col(f"_hi_{name}") * F.col(f"_at_{name}")).alias(name) for name in at]
+    return sizes.select("_k").distinct().join(picked, "_k", "left").select(*(F.col("_k")[k].alias(k) for k in keys), *between)
+
+
+def with_percentiles(own: DataFrame, df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """own (one row a key) with percentiles of df's value; null keys meet."""
+    ranks = percentiles(df, keys, value, at).select(F.struct(F.lit(0).alias("_0"), *keys).alias("_k"), *at)
+    return own.withColumn("_k", F.struct(F.lit(0).alias("_0"), *keys)).join(ranks, "_k", "left").drop("_k")
+
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, min, median, mean, p90, p95 and max with linear interpolation."""
-    at = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), at(0.5).alias("median"), F.avg(value).alias("mean"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max(value).alias("max"))
+    own = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_percentiles(own, df, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}).select(*keys, "n", "min", "median", "mean", "p90", "p95", "max")
 
 
 def rmse(error: Column) -> Column:
@@ -44,8 +80,9 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def median_mad(df: DataFrame, keys: list[str], value: str, limit: float, least: int = 1) -> DataFrame:
     """Per key the median and the median absolute deviation, and whether the latter stays within limit over least rows."""
-    middle = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
-    spread = df.join(middle, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    middle = with_percentiles(df.groupBy(*keys).agg(F.count(value).alias("n")), df, keys, value, {"median": 0.5}).select(*keys, "median", "n")
+    middle = materialise(middle, "medians")
+    spread = percentiles(df.join(middle, keys).withColumn("_d", F.abs(F.col(value) - F.col("median"))), keys, "_d", {"mad": 0.5})
     return middle.join(spread, keys).withColumn("accepted", (F.col("mad") <= limit) & (F.col("n") >= least))
 
 
@@ -90,7 +127,7 @@ def vote_cells(df: DataFrame, cells: list[Column], names: list[str], index: str,
 
 def stage_summary(df: DataFrame, stage: str, value: str) -> DataFrame:
     """Per stage the total, count, p50, p95 and its share of everything."""
-    own = df.groupBy(stage).agg(F.sum(value).alias("total"), F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    own = with_percentiles(df.groupBy(stage).agg(F.sum(value).alias("total"), F.count(value).alias("n")), df, [stage], value, {"p50": 0.5, "p95": 0.95})
     whole = own.agg(F.sum("total").alias("_all"))
     return own.crossJoin(F.broadcast(whole)).select(stage, "total", "n", "p50", "p95", (F.col("total") / F.col("_all")).alias("share"))
 
@@ -105,7 +142,7 @@ def baseline_speedup(df: DataFrame, variant: str, run: str, value: str, baseline
 
 def bounds(df: DataFrame, keys: list[str], axes: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Percentile bounds of each axis, their centre, and half the diagonal."""
-    own = df.groupBy(*keys).agg(*(F.percentile(a, F.lit(p)).alias(f"{a}_{n}") for a in axes for n, p in (("lo", low), ("hi", high))))
+    own = reduce(lambda own, a: with_percentiles(own, df, keys, a, {f"{a}_lo": low, f"{a}_hi": high}), axes, df.select(*keys).distinct())
     centre = [((F.col(f"{a}_lo") + F.col(f"{a}_hi")) / 2).alias(f"{a}_centre") for a in axes]
     half = F.sqrt(reduce(lambda x, y: x + y, (F.pow(F.col(f"{a}_hi") - F.col(f"{a}_lo"), 2) for a in axes))) / 2
     return own.select(*own.columns, *centre, half.alias("half_diagonal"))

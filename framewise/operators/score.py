@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .robust import capped_rmse, distribution, f_score, rmse, share
+from .robust import capped_rmse, distribution, f_score, rmse, share, with_percentiles
 
 
 def first_reason(rules: list[tuple[str, Column]], accepted: str = "accepted") -> Column:
@@ -69,7 +69,8 @@ def edge_events(df: DataFrame, keys: list[str], low: Column, order: list[str]) -
 
 def lag_evidence(df: DataFrame, keys: list[str], lag: str, limit: float = 20.0) -> DataFrame:
     """p95 of |lag|, how many are over limit, and the share that is known."""
-    return df.groupBy(*keys).agg(F.percentile(F.abs(F.col(lag)), F.lit(0.95)).alias("p95"), F.count_if(F.abs(F.col(lag)) > limit).alias("over"), F.avg(F.col(lag).isNotNull().cast("double")).alias("known"))
+    own = df.groupBy(*keys).agg(F.count_if(F.abs(F.col(lag)) > limit).alias("over"), F.avg(F.col(lag).isNotNull().cast("double")).alias("known"))
+    return with_percentiles(own, df.withColumn("_lag", F.abs(F.col(lag))), keys, "_lag", {"p95": 0.95}).select(*keys, "p95", "over", "known")
 
 
 def session_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

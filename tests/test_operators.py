@@ -333,3 +333,20 @@ def test_registration(spark):
     source = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(src)], "id long, x double, y double, z double")
     found = fit.icp(source, target, radii=(0.12, 0.06), rounds=(3, 3))
     assert np.allclose(found @ move, np.eye(4), atol=2e-3)
+
+
+def test_percentiles_of_hot_and_odd_keys(spark):
+    from framewise.operators import robust
+
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in rng.integers(0, 700, 3000)] + [("one", 5.0), ("none", None), (None, 1.0), (None, 2.0)] + [("ties", 7.0)] * 50
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: (r.m, r.p) for r in robust.percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.93}).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = [v for n, v in rows if n == k and v is not None]
+        want[k] = tuple(float(np.percentile(own, 100 * p)) for p in (0.5, 0.93)) if own else (None, None)
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] or np.allclose(got[k], want[k]) for k in want)
+    assert robust.percentiles(df.where("false"), ["k"], "v", {"m": 0.5}).count() == 0
+    assert [r.m for r in robust.percentiles(df.where("k = 'ties'"), [], "v", {"m": 0.5}).collect()] == [7.0]
