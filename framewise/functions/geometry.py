@@ -170,3 +170,49 @@ def canonical_digest(*parts: Column) -> Column:
     """SHA-256 over length-prefixed parts, so that no two lists of parts run together."""
     said = [F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in (F.coalesce(q.cast("string"), F.lit("")) for q in parts)]
     return F.sha2(F.concat(*said).cast("binary"), 256)
+
+
+def middle_eigenvalue(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """The second of the three eigenvalues of a symmetric matrix, in closed form."""
+    mean = (xx + yy + zz) / 3
+    a, b, c = xx - mean, yy - mean, zz - mean
+    size = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    turn = F.acos(F.least(F.greatest(det / (2 * size * size * size), F.lit(-1.0)), F.lit(1.0))) / 3
+    return F.when(size > 0, mean + 2 * size * F.cos(turn - 2 * math.pi / 3)).otherwise(mean)
+
+
+def log_gains(target: tuple[Column, ...], source: tuple[Column, ...], most: float = 2.0) -> list[Column]:
+    """Per channel the log gain that brings source to target, within 1 / most and most. Dark channels say little and follow the luminance."""
+    luma = (0.2126, 0.7152, 0.0722)  # fixed values: shares of red, green and blue
+    light = lambda rgb: F.greatest(sum((w * v for w, v in zip(luma[1:], rgb[1:], strict=True)), luma[0] * rgb[0]), F.lit(0.02))
+    whole = F.ln(light(target) / light(source))
+    out = []
+    for t, s in zip(target, source, strict=True):
+        dark = F.least(t, s) * F.least(t, s)
+        own = F.ln(F.greatest(t, F.lit(0.01)) / F.greatest(s, F.lit(0.01)))
+        gain = whole + dark / (dark + 0.0036) * (own - whole)
+        out.append(F.least(F.greatest(gain, F.lit(-math.log(most))), F.lit(math.log(most))))
+    return out
+
+
+def turned_pixel(x: Column, y: Column, width: int, height: int, degrees: int) -> Column:
+    """Where a pixel lies after the picture is turned clockwise by a number of quarter turns."""
+    places = {0: (x, y), 90: (height - 1 - y, x), 180: (width - 1 - x, height - 1 - y), 270: (y, width - 1 - x)}
+    return F.struct(places[degrees][0].alias("x"), places[degrees][1].alias("y"))
+
+
+def gravity_blend(seen: Column, held: Column, sure: Column, verified: Column, lag_ms: Column, limit: float = 3.0) -> Column:
+    """How far a predicted pose is turned towards gravity: (disagreement, weight, correction) in degrees; null where it isn't.
+
+    seen and held: unit directions of gravity by the prediction and by the
+    pose before. Half of the confidence (0.4 to 1) is the weight, a quarter of
+    that without a verified calibration; stale samples (150 ms) and
+    disagreements over 25 degrees give no correction, none exceeds limit.
+    """
+    dot = sum((seen[i] * held[i] for i in (1, 2)), seen[0] * held[0])
+    cross = [seen[i] * held[j] - seen[j] * held[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    angle = F.degrees(F.atan2(F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]), F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))))
+    weight = 0.5 * sure * F.when(verified, 1.0).otherwise(0.25)
+    usable = sure.between(0.4, 1.0) & (F.abs(lag_ms) <= 150) & (angle <= 25)
+    return F.when(usable, F.struct(angle.alias("disagreement"), weight.alias("weight"), F.least(angle * weight, F.lit(limit)).alias("correction")))

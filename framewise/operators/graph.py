@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import cell, middle_eigenvalue, transform
 from ..plans.shared import materialise
 
 
@@ -123,3 +124,51 @@ def large_components(edges: DataFrame, least: int, src: str = "src", dst: str =
     """(id, component, size) of vertices in components of least vertices or more."""
     labels = connected_components(edges, src, dst)
     return labels.join(component_sizes(labels).where(F.col("size") >= least), "component").select("id", "component", "size")
+
+
+def smooth(values: DataFrame, edges: DataFrame, weight: str, own: float = 3.0, rounds: int = 2) -> DataFrame:
+    """(id, value) after rounds of weighted means over a vertex itself (weight `own`) and its neighbours.
+
+    edges: src, dst and a weight, each edge once. An edge whose other end has
+    no value doesn't count, and a vertex without edges keeps its value.
+    """
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("_near"), F.col(weight).alias("_w"))
+    both = materialise(both.unionAll(both.select(F.col("_near").alias("id"), F.col("id").alias("_near"), "_w")), "adjacency")
+    for _ in range(rounds):
+        met = both.join(values.select(F.col("id").alias("_near"), F.col("value").alias("_v")), "_near").where("_v is not null")
+        sums = met.groupBy("id").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
+        mean = (own * F.col("value") + F.coalesce("_s", F.lit(0.0))) / (own + F.coalesce("_w", F.lit(0.0)))
+        values = materialise(values.join(sums, "id", "left").select("id", mean.alias("value")), "smoothed")
+    return values
+
+
+def gauge_connected(sightings: DataFrame, root: int, size: tuple[float, float], least: int = 20, bend: float = 0.002, extent: float = 0.04) -> DataFrame:
+    """(id, hops): the views that shared landmarks tie to root.
+
+    sightings: landmark, view, px, py and the measured point x, y, z. A
+    landmark ties its first view to each other one (a star, so its links grow
+    with its views and not with their pairs). Two views are tied by at least
+    `least` landmarks that, seen from either side, spread in two directions
+    (the middle eigenvalue's share of the scatter exceeds bend) and over
+    `extent` of the picture. A landmark counts once a view.
+    """
+    point = F.struct("px", "py", "x", "y", "z")
+    once = sightings.groupBy("landmark", "view").agg(F.min(point).alias("_p"))
+    first = once.groupBy("landmark").agg(F.min(F.struct("view", "_p")).alias("_f"))
+    star = once.join(first, "landmark").where("view <> _f.view").select(F.col("_f.view").alias("src"), F.col("view").alias("dst"), F.col("_f._p").alias("a"), F.col("_p").alias("b"))
+    spread = [f(f"{side}.{axis}").alias(f"_{n}_{side}_{axis}") for side in "ab" for axis in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max))]
+    scatter = [F.covar_samp(f"{side}.{c[0]}", f"{side}.{c[1]}").alias(f"_c_{side}_{c}") for side in "ab" for c in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    pairs = star.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"), *spread, *scatter).where(F.col("_n") >= least)
+    for side in "ab":
+        xx, xy, xz, yy, yz, zz = (F.col(f"_c_{side}_{c}") for c in ("xx", "xy", "xz", "yy", "yz", "zz"))
+        width, height = (F.col(f"_hi_{side}_{a}") - F.col(f"_lo_{side}_{a}") for a in ("px", "py"))
+        pairs = pairs.where((middle_eigenvalue(xx, xy, xz, yy, yz, zz) > bend * F.greatest(xx + yy + zz, F.lit(1e-9))) & (width / size[0] * height / size[1] >= extent))
+    return reachable(pairs.select("src", "dst"), sightings.sparkSession.range(root, root + 1))
+
+
+def component_clouds(components: DataFrame, points: DataFrame, ident: str, pose: str, axes: tuple[str, str, str], size: float) -> DataFrame:
+    """Per component the points of its members, moved by their poses, as means of cells of a size: one shuffle, partial sums first."""
+    members = components.select(F.col("id").alias(ident), "component")
+    moved = points.join(members, ident).select("component", transform(F.col(pose), *(F.col(a) for a in axes)).alias("_q"))
+    cells = [cell(F.col("_q")[a], size).alias(f"i_{a}") for a in "xyz"]
+    return moved.groupBy("component", *cells).agg(*(F.avg(F.col("_q")[a]).alias(a) for a in "xyz"), F.count(F.lit(1)).alias("n"))

@@ -128,3 +128,13 @@ def surface_agreement(near: DataFrame, a: DataFrame, b: DataFrame, distance: flo
     side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), *(F.col(f"n{x}").alias(f"_{n}{x}") for x in "xyz"))
     dot = F.abs(F.col("_ax") * F.col("_bx") + F.col("_ay") * F.col("_by") + F.col("_az") * F.col("_bz"))
     return near.join(side(a, "a"), "a_id").join(side(b, "b"), "b_id").select("a_id", "b_id", "distance", ((F.col("distance") < distance) & (dot > cosine)).alias("agrees"))
+
+
+def cloud_gap(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: float, ident: str) -> DataFrame:
+    """One row: the mean distance from each cloud to the nearest point of the other (radius where none is nearer), and the mean of both."""
+
+    def mean(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        near = radius_nearest(one, other, axes, radius, ident).select(F.col("a_id").alias(ident), "distance")
+        return one.select(ident).join(near, ident, "left").agg(F.avg(F.coalesce("distance", F.lit(radius))).alias(name))
+
+    return mean(a, b, "forward").crossJoin(mean(b, a, "backward")).withColumn("symmetric", (F.col("forward") + F.col("backward")) / 2)

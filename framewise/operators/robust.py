@@ -182,3 +182,9 @@ def normal_scatter(faces: DataFrame, key: str, normal: tuple[str, str, str], are
     """Per vertex the area-weighted scatter of the normals of its faces: sums of the six products."""
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     return faces.groupBy(key).agg(*(F.sum(F.col(area) * F.col(normal[i]) * F.col(normal[j])).alias(f"s_{i}{j}") for i, j in pairs), F.sum(area).alias("area"))
+
+
+def face_means(faces: DataFrame, scores: DataFrame) -> DataFrame:
+    """(face, score): the mean score of a face's corners (face, a, b, c) that have one (id, score); null without any."""
+    corners = faces.select("face", F.explode(F.array("a", "b", "c")).alias("id"))
+    return corners.join(scores.select("id", "score"), "id", "left").groupBy("face").agg(F.avg("score").alias("score"))

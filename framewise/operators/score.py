@@ -114,3 +114,24 @@ def disagreement(before: DataFrame, after: DataFrame, ident: str, support: str)
     a, b = before.select(ident, F.col(support).alias("_a"), F.lit(True).alias("_x")), after.select(ident, F.col(support).alias("_b"), F.lit(True).alias("_y"))
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     return a.join(b, ident, "full").agg(F.count_if(both).alias("both"), F.count_if(both & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("differ"), F.count_if(~both).alias("one_only"))
+
+
+def fallback(primary: DataFrame, second: DataFrame, ident: str, result: str, names: tuple[str, str] = ("primary", "second")) -> DataFrame:
+    """(ident, result, method): primary's result, or else the second method's; null without either."""
+    a, b = primary.select(ident, F.col(result).alias("_a")), second.select(ident, F.col(result).alias("_b"))
+    method = F.when(F.col("_a").isNotNull(), names[0]).when(F.col("_b").isNotNull(), names[1])
+    return a.join(b, ident, "left").select(ident, F.coalesce("_a", "_b").alias(result), method.alias("method"))
+
+
+def method_counts(results: DataFrame, names: tuple[str, str] = ("primary", "second")) -> DataFrame:
+    """One row: how often the second method was tried, and how often it gave a result."""
+    tried = F.coalesce(F.col("method") != names[0], F.lit(True))
+    return results.agg(F.count_if(tried).alias("attempts"), F.count_if(F.col("method") == names[1]).alias("verified"))
+
+
+def run_comparison(a: DataFrame, b: DataFrame, ident: str, axes: tuple[str, ...]) -> DataFrame:
+    """One row: positions in both runs, in one only, and the mean and largest distance between them."""
+    left, right = a.select(ident, F.struct(*axes).alias("_a")), b.select(ident, F.struct(*axes).alias("_b"))
+    gap = F.sqrt(sum((F.pow(F.col("_a")[x] - F.col("_b")[x], 2) for x in axes[1:]), F.pow(F.col("_a")[axes[0]] - F.col("_b")[axes[0]], 2)))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return left.join(right, ident, "full").agg(F.count_if(both).alias("both"), F.count_if(~both).alias("one_only"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("largest_gap"))

@@ -104,3 +104,19 @@ def box_in_view(boxes: DataFrame, planes: DataFrame, ident: str) -> DataFrame:
     views = planes.groupBy("view").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("_p"))
     met = boxes.crossJoin(broadcast_if_small(views)).withColumn("_q", F.explode("_p")).select(ident, "view", *(f"{a}{k}" for a in "xyz" for k in "01"), "_q.*")
     return met.groupBy(ident, "view").agg(F.min(far).alias("_least")).where("_least >= 0").select(ident, "view")
+
+
+def triangles(df: DataFrame, keys: tuple[str, ...], x: str, y: str, depth: str, width: int, floor: float = 0.03, share: float = 0.02) -> DataFrame:
+    """(keys, a, b, c): two triangles a grid square whose four depths are known and differ by max(floor, share * nearest) at most.
+
+    Corners are numbered y * width + x. Each depth is handed to the four
+    squares that it is a corner of, so one aggregation finds them.
+    """
+    given = df.where(F.col(depth) > 0)
+    moves = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in itertools.product((0, 1), repeat=2))))
+    corners = given.select(*keys, x, y, F.col(depth).alias("_d"), moves.alias("_m")).select(*keys, (F.col(x) - F.col("_m.a")).alias(x), (F.col(y) - F.col("_m.b")).alias(y), "_d")
+    squares = corners.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    whole = squares.where((F.col("_n") == 4) & (F.col("_hi") - F.col("_lo") <= F.greatest(F.lit(floor), F.col("_lo") * share)))
+    at = lambda dx, dy: (F.col(y) + dy) * width + F.col(x) + dx
+    face = lambda *c: F.struct(*(at(*p).cast("long").alias(n) for n, p in zip("abc", c, strict=True)))
+    return whole.select(*keys, F.explode(F.array(face((0, 0), (0, 1), (1, 0)), face((1, 0), (0, 1), (1, 1)))).alias("_f")).select(*keys, "_f.*")

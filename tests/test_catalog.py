@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from framewise.plans import catalog, catalog_more  # noqa: F401
+from framewise.plans import catalog, catalog_more, catalog_session  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
