@@ -350,3 +350,50 @@ def test_percentiles_of_hot_and_odd_keys(spark):
     assert all(got[k] == want[k] or np.allclose(got[k], want[k]) for k in want)
     assert robust.percentiles(df.where("false"), ["k"], "v", {"m": 0.5}).count() == 0
     assert [r.m for r in robust.percentiles(df.where("k = 'ties'"), [], "v", {"m": 0.5}).collect()] == [7.0]
+
+
+def test_gauge_ties_need_spread(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for mark in range(60):
+        px, py = rng.uniform(0, 640), rng.uniform(0, 480)
+        x, y, z = rng.normal(size=3)
+        rows += [(mark, view, px, py, x, y, z) for view in (0, 1)] + [(mark, 1, px, py, x, y, z)]  # a repeated sighting counts once
+        rows += [(100 + mark, view, px, py, x, x, x) for view in (1, 2)]  # points on a line tie nothing
+        rows += [(200 + mark, view, px, py, x, y, z) for view in (1, 3)]
+        rows += [(300 + mark, view, px / 100, py / 100, x, y, z) for view in (3, 4)]  # one corner of the picture ties nothing
+    rows += [(400 + mark, view, 30.0 * mark, 25.0 * (mark % 7), *rng.normal(size=3)) for mark in range(19) for view in (3, 5)]  # too few
+    df = spark.createDataFrame([(a, b, *map(float, c)) for a, b, *c in rows], "landmark long, view long, px double, py double, x double, y double, z double")
+    assert {(r.id, r.hops) for r in graph.gauge_connected(df, 0, (640.0, 480.0)).collect()} == {(0, 0), (1, 1), (3, 2)}
+    assert [r.id for r in graph.gauge_connected(df.where("false"), 0, (640.0, 480.0)).collect()] == [0]
+
+
+def test_mark_gate_and_shared_candidates(spark):
+    from framewise.operators import marks
+
+    box = lambda x, y, s: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s))]
+    turned = lambda c: c[1:] + c[:1]
+    rows = [(0, 1, "a", box(0, 0, 30)), (0, 2, "b", turned(box(1, 2, 31))), (0, 3, "c", box(100, 0, 30)), (0, 4, "d", box(200, 0, 10)), (0, 5, "e", box(300, 0, 30)), (0, 6, "e", box(400, 0, 30)), (1, 7, "a", box(0, 0, 30)), (1, 8, "b", None)]
+    df = spark.createDataFrame(rows, "frame long, id long, mark string, corners array<struct<x: double, y: double>>")
+    got = {r.id: r.state for r in marks.mark_gate(df, "frame", "id", "mark", "corners").collect()}
+    assert got == {1: "overlapping", 2: "overlapping", 3: "usable", 4: "small", 5: "repeated", 6: "repeated", 7: "usable", 8: "small"}
+    assert marks.mark_gate(df.where("false"), "frame", "id", "mark", "corners").isEmpty()
+    assert [(r.j, r.i, r.shared) for r in marks.shared_candidates(df, "frame", "mark").collect()] == [(1, 0, 2)]
+
+
+def test_smoothing_and_triangles_at_borders(spark):
+    values = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 2.0)], "id long, value double")
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 9, 4.0)], "src long, dst long, w double")
+    assert {r.id: r.value for r in graph.smooth(values, edges, "w", rounds=1).collect()} == {1: 2.0, 2: 4.0, 3: 2.0}
+    grid = spark.createDataFrame([(0, x, y, 1.0 if (x, y) != (2, 0) else 9.0) for x in range(3) for y in range(2)] + [(1, 0, 0, None)], "frame long, x long, y long, z double")
+    assert {(r.a, r.b, r.c) for r in stencil.triangles(grid, ("frame",), "x", "y", "z", 3).collect()} == {(0, 3, 1), (1, 3, 4)}
+
+
+def test_replay_without_samples_or_modes(spark):
+    from framewise.plans.replay import replay
+
+    pictures = spark.createDataFrame([("s", 1, 0.0), ("s", 2, 1.0)], "segment string, id long, t double")
+    samples = spark.createDataFrame([], "segment string, id long, t double, ax double, ay double, az double")
+    modes = spark.createDataFrame([("s", 0.5, "fixed"), ("r", 0.0, "other")], "segment string, t double, mode string")
+    got = replay(pictures, pictures.withColumn("t", F.col("t") + 0.01), samples, modes, "segment", 0.02, 0.15, 10.0).collect()
+    assert sorted((r.a_id, r.b_id, r.sample, r.valid, r.mode) for r in got) == [(1, 1, None, False, "auto"), (2, 2, None, False, "fixed")]
