@@ -51,10 +51,10 @@ def gauge_views(spark, d):
     return graph.gauge_connected(rows, 0, (640.0, 480.0))
 
 
-@query("component_clouds", _P + """, q AS (SELECT p_partkey % 10 AS component, 10 + cos(angle) * l_quantity - sin(angle) * (l_extendedprice / 1000) AS x, 10 + sin(angle) * l_quantity + cos(angle) * (l_extendedprice / 1000) AS y, l_tax / 3 + 3 AS z FROM lineitem JOIN p ON l_partkey = p_partkey)
+@query("component_clouds", _P + """, q AS (SELECT p_partkey % 10 AS component, 10.1234567::DOUBLE + cos(angle) * l_quantity - sin(angle) * (l_extendedprice / 1000) AS x, 10.1234567::DOUBLE + sin(angle) * l_quantity + cos(angle) * (l_extendedprice / 1000) AS y, l_tax / 3 + 3 AS z FROM lineitem JOIN p ON l_partkey = p_partkey)
     SELECT component, CAST(floor(x / 31.415::DOUBLE) AS BIGINT) AS i_x, CAST(floor(y / 31.415::DOUBLE) AS BIGINT) AS i_y, CAST(floor(z / 31.415::DOUBLE) AS BIGINT) AS i_z, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM q GROUP BY 1, 2, 3, 4""")
 def component_clouds(spark, d):
-    poses = _part(spark, d).select(F.col("p_partkey").alias("l_partkey"), _pose(F.col("angle"), 10, 10, 3).alias("pose"))
+    poses = _part(spark, d).select(F.col("p_partkey").alias("l_partkey"), _pose(F.col("angle"), 10.1234567, 10.1234567, 3).alias("pose"))
     points = io.table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").cast("double").alias("qx"), (F.col("l_extendedprice") / 1000).alias("qy"), (F.col("l_tax") / 3).alias("qz")).join(poses, "l_partkey")
     parts = io.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 10).alias("component"))
     return _r(graph.component_clouds(parts, points, "l_partkey", "pose", ("qx", "qy", "qz"), 31.415), "x", "y", "z")
