@@ -134,8 +134,8 @@ def stage_summary(df: DataFrame, stage: str, value: str) -> DataFrame:
 
 def baseline_speedup(df: DataFrame, variant: str, run: str, value: str, baseline) -> DataFrame:
     """The median over runs of each run's median per variant, and the baseline's over it."""
-    runs = df.groupBy(variant, run).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    own = runs.groupBy(variant).agg(F.percentile("_m", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("runs"))
+    runs = materialise(percentiles(df, [variant, run], value, {"_m": 0.5}), "run-medians")
+    own = with_percentiles(runs.groupBy(variant).agg(F.count(F.lit(1)).alias("runs")), runs, [variant], "_m", {"median": 0.5})
     base = own.where(F.col(variant) == baseline).select(F.col("median").alias("_base"))
     return own.crossJoin(F.broadcast(base)).select(variant, "median", "runs", (F.col("_base") / F.col("median")).alias("speedup"))
 
@@ -159,8 +159,8 @@ def stationary(df: DataFrame, keys: list[str], value: str, t: str = "t") -> Data
 
 def landmarks(df: DataFrame, keys: list[str], view: str, axes: list[str], least: int = 2) -> DataFrame:
     """Per landmark the median of each axis over the views that see it, and their number; fewer views than least make none."""
-    own = df.groupBy(*keys).agg(F.count_distinct(view).alias("views"), *(F.percentile(a, F.lit(0.5)).alias(a) for a in axes))
-    return own.where(F.col("views") >= least)
+    views = df.groupBy(*keys).agg(F.count_distinct(view).alias("views")).where(F.col("views") >= least)
+    return reduce(lambda own, a: with_percentiles(own, df, keys, a, {a: 0.5}), axes, views).select(*keys, "views", *axes)
 
 
 def mean_direction(df: DataFrame, keys: list[str], axes: tuple[str, str, str], weight: str, limit: float = 15.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap_delta
+from .robust import with_percentiles
 
 
 #: Unbroken runs of a key that one task folds at once.
@@ -42,10 +43,15 @@ def interval_stats(df: DataFrame, keys: tuple[str, ...], long_gap: float, t: str
 
 
 def adaptive_segments(df: DataFrame, keys: tuple[str, ...], floor: float = 2.0, factor: float = 3.0, least: int = 4, t: str = "t", ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with limit and segment; a key's limit is max(floor, factor * median positive interval) with least intervals, else floor."""
+    """df with limit and segment; a key's limit is max(floor, factor * median positive interval) with least intervals, else floor.
+
+    Medians come from range-partitioned ranks; the running cut count is a
+    window per key, which spills. Rows of a null key take no part.
+    """
     known = gaps(df, keys, t, ties)
-    positive = F.when(F.col("gap") > 0, F.col("gap"))
-    limits = known.groupBy(*keys).agg(F.when(F.count(positive) >= least, F.greatest(F.lit(float(floor)), factor * F.percentile(positive, F.lit(0.5)))).otherwise(float(floor)).alias("limit"))
+    positive = known.select(*keys, F.when(F.col("gap") > 0, F.col("gap")).alias("_gap"))
+    own = with_percentiles(positive.groupBy(*keys).agg(F.count("_gap").alias("_n")), positive, list(keys), "_gap", {"_median": 0.5})
+    limits = own.select(*keys, F.when(F.col("_n") >= least, F.greatest(F.lit(float(floor)), factor * F.col("_median"))).otherwise(float(floor)).alias("limit"))
     joined = known.join(limits, list(keys))
     own = _order(keys, t, ties).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("segment", F.sum(F.when(F.col("gap") > F.col("limit"), 1).otherwise(0)).over(own)).drop("gap")

@@ -507,7 +507,7 @@ def trajectory_score(spark, d):
     return _r(score.trajectory_score(rows, ["user_id"], [("value", "truth")], ["ts", "event_id"]), "rmse")
 
 
-@query("content_fingerprint", "WITH r AS (SELECT source, sha256(coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(text, '~')) AS h FROM documents) SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint, count(*) AS n FROM r GROUP BY 1")
+@query("content_fingerprint", "WITH r AS (SELECT source, sha256(coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(text, '~')) AS h FROM documents) SELECT source, sha256(concat_ws('-', " + ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT)::VARCHAR" for k in range(4)) + ")) AS fingerprint, count(*) AS n FROM r GROUP BY 1")
 def content_fingerprint(spark, d):
     return dedup.fingerprint(io.table(spark, d, "documents"), ["source"], [F.col("doc_id"), F.col("text")])
 
