@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cell, middle_eigenvalue, transform
+from ..functions.geometry import cell, compose, inverse, is_rigid, middle_eigenvalue, transform, travel, turn_degrees
 from ..plans.shared import materialise
+from .score import first_reason
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
@@ -82,8 +83,6 @@ def spanning_forest(edges: DataFrame, score: str, src: str = "src", dst: str = "
 
 def propagate(tree: DataFrame, root: int, src: str = "src", dst: str = "dst", pose: str = "pose", rounds: int = 1000) -> DataFrame:
     """(id, world): poses composed along a tree from root; an edge's pose carries source points to its target."""
-    from ..functions.geometry import compose, inverse
-
     identity = F.array(*(F.lit(float(k % 5 == 0)) for k in range(16)))
     links = tree.select(F.col(src).alias("a"), F.col(dst).alias("b"), inverse(F.col(pose)).alias("m")).unionAll(tree.select(F.col(dst), F.col(src), F.col(pose)))
     links = materialise(links, "links")
@@ -172,3 +171,64 @@ def component_clouds(components: DataFrame, points: DataFrame, ident: str, pose:
     moved = points.join(members, ident).select("component", transform(F.col(pose), *(F.col(a) for a in axes)).alias("_q"))
     cells = [cell(F.col("_q")[a], size).alias(f"i_{a}") for a in "xyz"]
     return moved.groupBy("component", *cells).agg(*(F.avg(F.col("_q")[a]).alias(a) for a in "xyz"), F.count(F.lit(1)).alias("n"))
+
+
+def _disagrees(a: Column, b: Column, distance: float, degrees: float) -> Column:
+    """Whether two poses lie further apart than a distance or an angle."""
+    between = compose(inverse(a), b)
+    return (travel(between) > distance) | (turn_degrees(between) > degrees)
+
+
+def boundary_checks(ties: DataFrame, poses: DataFrame, ident: str, old: str, new: str, distance: float = 0.03, degrees: float = 3.0) -> DataFrame:
+    """ties (src, dst) with moved, turned and reason: how far new poses change the relative pose that a tie was measured at.
+
+    reason: missing (a pose that is null or not there), not_rigid, too_far, or
+    kept. Two equi-joins; repeated ties are judged alike.
+    """
+    own = poses.select(F.col(ident).alias("_id"), F.col(old).alias("_old"), F.col(new).alias("_new"))
+    met = ties
+    for side in ("src", "dst"):
+        met = met.join(own.select(F.col("_id").alias(side), F.col("_old").alias(f"_old_{side}"), F.col("_new").alias(f"_new_{side}")), side, "left")
+    met = met.withColumns({f"_{k}": compose(inverse(F.col(f"_{k}_dst")), F.col(f"_{k}_src")) for k in ("old", "new")})
+    known = F.forall(F.concat("_old", "_new"), lambda v: v.isNotNull())
+    change = compose(inverse(F.col("_old")), F.col("_new"))
+    met = met.withColumns({"moved": F.when(known, travel(change)), "turned": F.when(known, turn_degrees(change))})
+    broken = [("missing", ~known), ("not_rigid", ~is_rigid(F.col("_new"))), ("too_far", (F.col("moved") > distance) | (F.col("turned") > degrees))]
+    return met.withColumn("reason", first_reason(broken, "kept")).select(*ties.columns, "moved", "turned", "reason")
+
+
+def witnessed_ties(witnesses: DataFrame, held: DataFrame, a: str, b: str, order: list[Column], pose: str, distance: float = 0.03, degrees: float = 3.0) -> DataFrame:
+    """(a, b, witnesses, pose, state) for each pair of parts that some witness measured.
+
+    The first witness in order gives the pose. state: ambiguous, where another
+    witness or the tie that is held (a, b, pose) disagrees with it; held, where
+    that tie agrees; else added. Both steps are aggregations by pair; held has
+    one row a pair. Witnesses without a pair or a pose take no part.
+    """
+    ranked = F.min(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)), F.col(pose).alias("_pose")))
+    known = witnesses.where(F.col(pose).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    best = known.groupBy(a, b).agg(ranked.alias("_b")).select(a, b, F.col("_b._pose").alias("_best"))
+    met = known.join(best, [a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("witnesses"), F.first("_best").alias(pose), F.max(_disagrees(F.col("_best"), F.col(pose), distance, degrees)).alias("_unlike"))
+    met = met.join(held.select(a, b, F.col(pose).alias("_held")), [a, b], "left")
+    against = F.coalesce(_disagrees(F.col(pose), F.col("_held"), distance, degrees), F.lit(False))
+    return met.select(a, b, "witnesses", pose, F.when(F.col("_unlike") | against, "ambiguous").when(F.col("_held").isNotNull(), "held").otherwise("added").alias("state"))
+
+
+def bridge_visibility(bridges: DataFrame, labels: DataFrame, evidence: DataFrame, least: int = 500, veto: float = 0.4, most: float = 0.12) -> DataFrame:
+    """bridges (src, dst) with tested, fraction, conflicts and reason from what all views of both components see of each other.
+
+    labels: (id, component); evidence: src, dst, tested and fraction (of tests
+    that meet free space) per ordered pair of views. Evidence is summed by
+    pair of components first, so bridges between the same components share it.
+    A pair of views with `least` tests and a fraction above veto is a conflict.
+    reason: unknown (an end without a component), same_component, conflict
+    (one of these, or a fraction above most), or supported.
+    """
+    sides = lambda df: df.join(labels.select(F.col("id").alias("src"), F.col("component").alias("_a")), "src", "left").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("_b")), "dst", "left")
+    pair = {"_low": F.least("_a", "_b"), "_high": F.greatest("_a", "_b")}
+    bad = (F.col("tested") >= least) & (F.col("fraction") > veto)
+    sums = sides(evidence).where("_a <> _b").withColumns(pair).groupBy("_low", "_high").agg(F.sum("tested").alias("_n"), F.sum(F.col("tested") * F.col("fraction")).alias("_free"), F.count_if(bad).alias("_bad"))
+    met = sides(bridges).withColumns(pair).join(sums, ["_low", "_high"], "left")
+    met = met.withColumns({"tested": F.coalesce("_n", F.lit(0)), "conflicts": F.coalesce("_bad", F.lit(0))}).withColumn("fraction", F.coalesce("_free", F.lit(0.0)) / F.greatest("tested", F.lit(1)))
+    reason = F.when(F.col("_a").isNull() | F.col("_b").isNull(), "unknown").when(F.col("_a") == F.col("_b"), "same_component").when((F.col("conflicts") > 0) | (F.col("fraction") > most), "conflict").otherwise("supported")
+    return met.select(*bridges.columns, "tested", "fraction", "conflicts", reason.alias("reason"))

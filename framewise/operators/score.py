@@ -135,3 +135,12 @@ def run_comparison(a: DataFrame, b: DataFrame, ident: str, axes: tuple[str, ...]
     gap = F.sqrt(sum((F.pow(F.col("_a")[x] - F.col("_b")[x], 2) for x in axes[1:]), F.pow(F.col("_a")[axes[0]] - F.col("_b")[axes[0]], 2)))
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return left.join(right, ident, "full").agg(F.count_if(both).alias("both"), F.count_if(~both).alias("one_only"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("largest_gap"))
+
+
+def measurement_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Per key and metric count, min, median, mean, p90, p95 and max of known values; metrics without a known value stay, with n = 0.
+
+    Metrics are unpivoted first, so one pass ranks them all.
+    """
+    long = df.unpivot(keys, metrics, "metric", "value") if keys else df.select(*metrics).unpivot([], metrics, "metric", "value")
+    return distribution(long, [*keys, "metric"], "value")

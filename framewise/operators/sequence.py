@@ -342,3 +342,20 @@ def paced_interval(df: DataFrame, keys: tuple[str, ...], latency: str, order: tu
     last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
     wait = F.percentile(latency, F.lit(0.5)).over(last) * head_room
     return df.withColumn("interval", F.ceil(wait * fps - 1e-9) / fps)
+
+
+def batches(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], batchable: Column, origin: str, size: int = 100) -> DataFrame:
+    """df with batch: a number per key of what is sent at once.
+
+    Only neighbours in order that are batchable and of one origin share a
+    batch, of at most size rows; any other row is a barrier and goes alone. A
+    null test isn't batchable, and null origins are alike.
+    """
+    own = Window.partitionBy(*keys).orderBy(*order)
+    flags = df.withColumn("_ok", F.coalesce(batchable, F.lit(False)))
+    joins = F.col("_ok") & F.coalesce(F.lag("_ok").over(own), F.lit(False)) & F.lag(origin).over(own).eqNullSafe(F.col(origin))
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    runs = flags.withColumn("_new", (~joins).cast("int")).withColumn("_run", F.sum("_new").over(so_far))
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order)) - 1
+    cut = runs.withColumn("_start", (F.pmod(place, F.lit(size)) == 0).cast("int"))
+    return cut.withColumn("batch", F.sum("_start").over(so_far) - 1).drop("_ok", "_new", "_run", "_start")

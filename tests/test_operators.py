@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.functions import geometry as g
-from framewise.operators import asof, dedup, graph, knn, pairing, robust, sampling, score, select, sequence, stencil, voxel
+from framewise.operators import asof, dedup, graph, knn, pairing, robust, sampling, score, select, sequence, stencil, surface, voxel
 from framewise.plans.ship import ship
 from framewise.sources import io
 from framewise.streaming import jobs
@@ -397,3 +397,45 @@ def test_replay_without_samples_or_modes(spark):
     modes = spark.createDataFrame([("s", 0.5, "fixed"), ("r", 0.0, "other")], "segment string, t double, mode string")
     got = replay(pictures, pictures.withColumn("t", F.col("t") + 0.01), samples, modes, "segment", 0.02, 0.15, 10.0).collect()
     assert sorted((r.a_id, r.b_id, r.sample, r.valid, r.mode) for r in got) == [(1, 1, None, False, "auto"), (2, 2, None, False, "fixed")]
+
+
+def test_ties_with_nulls_and_empty_tables(spark):
+    turn = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    far = turn[:3] + [0.5] + turn[4:]
+    poses = spark.createDataFrame([(1, turn, turn), (2, turn, far), (3, turn, None), (4, turn, turn)], "id long, old array<double>, new array<double>")
+    ties = spark.createDataFrame([(1, 4), (1, 4), (1, 2), (1, 3), (1, 9), (None, 1)], "src long, dst long")
+    got = [(r.src, r.dst, r.reason) for r in graph.boundary_checks(ties, poses, "id", "old", "new").collect()]
+    assert sorted(got, key=str) == sorted([(1, 4, "kept"), (1, 4, "kept"), (1, 2, "too_far"), (1, 3, "missing"), (1, 9, "missing"), (None, 1, "missing")], key=str)
+    seen = spark.createDataFrame([(1, 2, 5, turn), (1, 2, 3, turn), (1, 3, 5, turn), (1, 3, 4, far), (2, 3, 1, far), (2, 4, 1, None), (None, 4, 1, turn)], "a long, b long, n int, pose array<double>")
+    held = spark.createDataFrame([(2, 3, turn), (1, 2, turn)], "a long, b long, pose array<double>")
+    state = {(r.a, r.b): (r.witnesses, r.state) for r in graph.witnessed_ties(seen, held, "a", "b", [-F.col("n")], "pose").collect()}
+    assert state == {(1, 2): (2, "held"), (1, 3): (2, "ambiguous"), (2, 3): (1, "ambiguous")}
+    assert graph.witnessed_ties(seen.limit(0), held, "a", "b", [-F.col("n")], "pose").isEmpty()
+
+
+def test_bridges_see_both_sides(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, component long")
+    seen = spark.createDataFrame([(1, 3, 600, 0.5), (2, 3, 100, 0.0), (1, 4, 400, 0.1), (4, 2, 400, 0.1), (1, 2, 900, 0.9), (1, None, 9, 0.1)], "src long, dst long, tested long, fraction double")
+    bridges = spark.createDataFrame([(2, 3), (4, 1), (1, 2), (3, 4), (1, 8), (None, 1)], "src long, dst long")
+    got = {(r.src, r.dst): (r.tested, r.conflicts, r.reason) for r in graph.bridge_visibility(bridges, labels, seen).collect()}
+    assert got == {(2, 3): (700, 1, "conflict"), (4, 1): (800, 0, "supported"), (1, 2): (0, 0, "same_component"), (3, 4): (0, 0, "supported"), (1, 8): (0, 0, "unknown"), (None, 1): (0, 0, "unknown")}
+    assert graph.bridge_visibility(bridges, labels, seen.limit(0)).count() == 6
+
+
+def test_batches_stop_at_barriers(spark):
+    rows = spark.createDataFrame([(1, True, "a"), (2, True, "a"), (3, True, "a"), (4, False, "a"), (5, True, "a"), (6, True, "b"), (7, None, "b"), (8, True, None), (9, True, None)], "t int, ok boolean, o string").withColumn("k", F.lit(1))
+    assert [r.batch for r in sequence.batches(rows, ("k",), ("t",), F.col("ok"), "o", 2).orderBy("t").collect()] == [0, 0, 1, 2, 3, 4, 5, 6, 6]
+
+
+def test_planes_and_pages(spark):
+    flat = [(k, float(k % 9), float(k * 7 % 11), 2.0) for k in range(60)] + [(100 + k, 5.0, float(k), 10.0 + k * k % 13) for k in range(40)] + [(900, None, 1.0, 2.0)]
+    points = spark.createDataFrame(flat, "id long, x double, y double, z double").withColumn("k", F.lit("s"))
+    got = surface.segment_planes(points, "k", "id", ("x", "y", "z"), 0.01, least=30, rounds=3).orderBy("round").collect()
+    assert [r.n for r in got] == [60, 40] and abs(got[0].nz) == pytest.approx(1) and abs(got[1].nx) == pytest.approx(1)
+    assert surface.segment_planes(points.limit(0), "k", "id", ("x", "y", "z"), 0.01).isEmpty()
+    faces = spark.createDataFrame([(k, float(k), 0.0, 1) for k in range(8)] + [(8, 100.0, 0.0, 50), (9, 1.0, 0.0, None)], "id long, x double, y double, a int")
+    pages = {r.id: r.page for r in surface.face_pages(faces, "id", ("x", "y"), "a", 4).collect()}
+    assert pages == {0: 4, 1: 4, 2: 4, 3: 4, 4: 5, 5: 5, 6: 5, 7: 5, 8: 3}
+    assert surface.face_pages(faces.limit(0), "id", ("x", "y"), "a", 4).isEmpty()
+    rows = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None)], "k string, u double, v double")
+    assert {(r.metric, r.n, r["median"]) for r in score.measurement_summary(rows, ["k"], ["u", "v"]).collect()} == {("u", 2, 2.0), ("v", 0, None)}
