@@ -173,10 +173,15 @@ def component_clouds(components: DataFrame, points: DataFrame, ident: str, pose:
     return moved.groupBy("component", *cells).agg(*(F.avg(F.col("_q")[a]).alias(a) for a in "xyz"), F.count(F.lit(1)).alias("n"))
 
 
-def _disagrees(a: Column, b: Column, distance: float, degrees: float) -> Column:
-    """Whether two poses lie further apart than a distance or an angle."""
-    between = compose(inverse(a), b)
-    return (travel(between) > distance) | (turn_degrees(between) > degrees)
+def _between(a: Column, b: Column) -> Column:
+    """The pose from a to b; the slice of all of it keeps the optimizer from writing its sums out again at each use."""
+    return F.slice(compose(inverse(a), b), 1, 16)
+
+
+def _disagree(df: DataFrame, name: str, a: str, b: str, distance: float, degrees: float) -> DataFrame:
+    """df with name: whether two poses lie further apart than a distance or an angle."""
+    between = df.withColumn("_between", _between(F.col(a), F.col(b)))
+    return between.withColumn(name, (travel(F.col("_between")) > distance) | (turn_degrees(F.col("_between")) > degrees)).drop("_between")
 
 
 def boundary_checks(ties: DataFrame, poses: DataFrame, ident: str, old: str, new: str, distance: float = 0.03, degrees: float = 3.0) -> DataFrame:
@@ -189,10 +194,10 @@ def boundary_checks(ties: DataFrame, poses: DataFrame, ident: str, old: str, new
     met = ties
     for side in ("src", "dst"):
         met = met.join(own.select(F.col("_id").alias(side), F.col("_old").alias(f"_old_{side}"), F.col("_new").alias(f"_new_{side}")), side, "left")
-    met = met.withColumns({f"_{k}": compose(inverse(F.col(f"_{k}_dst")), F.col(f"_{k}_src")) for k in ("old", "new")})
+    met = met.withColumns({f"_{k}": _between(F.col(f"_{k}_dst"), F.col(f"_{k}_src")) for k in ("old", "new")})
     known = F.forall(F.concat("_old", "_new"), lambda v: v.isNotNull())
-    change = compose(inverse(F.col("_old")), F.col("_new"))
-    met = met.withColumns({"moved": F.when(known, travel(change)), "turned": F.when(known, turn_degrees(change))})
+    met = met.withColumn("_change", _between(F.col("_old"), F.col("_new")))
+    met = met.withColumns({"moved": F.when(known, travel(F.col("_change"))), "turned": F.when(known, turn_degrees(F.col("_change")))})
     broken = [("missing", ~known), ("not_rigid", ~is_rigid(F.col("_new"))), ("too_far", (F.col("moved") > distance) | (F.col("turned") > degrees))]
     return met.withColumn("reason", first_reason(broken, "kept")).select(*ties.columns, "moved", "turned", "reason")
 
@@ -208,10 +213,10 @@ def witnessed_ties(witnesses: DataFrame, held: DataFrame, a: str, b: str, order:
     ranked = F.min(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)), F.col(pose).alias("_pose")))
     known = witnesses.where(F.col(pose).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
     best = known.groupBy(a, b).agg(ranked.alias("_b")).select(a, b, F.col("_b._pose").alias("_best"))
-    met = known.join(best, [a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("witnesses"), F.first("_best").alias(pose), F.max(_disagrees(F.col("_best"), F.col(pose), distance, degrees)).alias("_unlike"))
+    met = _disagree(known.join(best, [a, b]), "_differs", "_best", pose, distance, degrees).groupBy(a, b).agg(F.count(F.lit(1)).alias("witnesses"), F.first("_best").alias(pose), F.max("_differs").alias("_unlike"))
     met = met.join(held.select(a, b, F.col(pose).alias("_held")), [a, b], "left")
-    against = F.coalesce(_disagrees(F.col(pose), F.col("_held"), distance, degrees), F.lit(False))
-    return met.select(a, b, "witnesses", pose, F.when(F.col("_unlike") | against, "ambiguous").when(F.col("_held").isNotNull(), "held").otherwise("added").alias("state"))
+    met = _disagree(met, "_against", pose, "_held", distance, degrees)
+    return met.select(a, b, "witnesses", pose, F.when(F.col("_unlike") | F.coalesce("_against", F.lit(False)), "ambiguous").when(F.col("_held").isNotNull(), "held").otherwise("added").alias("state"))
 
 
 def bridge_visibility(bridges: DataFrame, labels: DataFrame, evidence: DataFrame, least: int = 500, veto: float = 0.4, most: float = 0.12) -> DataFrame:
