@@ -1,6 +1,6 @@
 """Queries of the training-text operators, and the SQL of those that SQL can express."""
 
-from . import ann, exact_dedup, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, url_filter
+from . import ann, decontamination, exact_dedup, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_hash_prefix_forest": ann.query,
     "op9_language_model": language_model.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_winnowing": decontamination.query,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op4_secret_scan": secrets.SQL,
     "op5_url_temporal_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_winnowing": decontamination.SQL,
 }
