@@ -1,6 +1,6 @@
 """Queries of the training-text operators, and the SQL of those that SQL can express."""
 
-from . import ann, decontamination, exact_dedup, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, url_filter
+from . import ann, clusters, decontamination, exact_dedup, language_model, line_dedup, mixing, near_dedup, packing, quality, secrets, spelling, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_language_model": language_model.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_winnowing": decontamination.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_yinyang": clusters.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op5_url_temporal_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
     "op11_winnowing": decontamination.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_yinyang": clusters.SQL,
 }
