@@ -38,7 +38,8 @@ def _with_minima(df: DataFrame, length: int) -> DataFrame:
     k, mask = _gram(length), _mask(length)
     grams = F.transform("_h", lambda x, i: F.xxhash64(F.lit(length), x, *(F.get("_h", i + j) for j in range(1, k))).bitwiseAND(F.lit(~mask)).bitwiseOR(i.bitwiseAND(F.lit(mask)).cast("long")))
     least = F.transform("_v", lambda x, i: _parts([x, *(F.get("_v", i + j) for j in range(1, length - k + 1))]))
-    return df.withColumn("_v", grams).withColumn("_m", F.slice(least, 1, F.greatest(F.size("_h") - (length - 1), F.lit(0))))
+    whole = lambda c, words: F.slice(c, 1, F.greatest(F.size("_h") - (words - 1), F.lit(0)))
+    return df.withColumn("_v", whole(grams, k)).withColumn("_m", whole(least, length))
 
 
 def _print(m: Column, length: int) -> Column:
@@ -89,7 +90,7 @@ def runs(df: DataFrame, lengths: list[int], text: str) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
     """The distinct (item, win, x, length) of a benchmark: windows of that many words, or all words of a shorter item."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
     sized = materialise(items.withColumn("n", F.least(F.size(_words("text")), F.lit(window))).where("n > 0"), "benchmark-items")
     out = None
     for (n,) in sorted(sized.select("n").distinct().collect()):  # window numbers at most
