@@ -21,8 +21,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 TYPO = 31
 #: Rarest bigrams of a word that are joined: one edit changes at most two.
 PREFIX = 3
-#: Words of a cell that meet each other directly; larger cells are cut finer.
-CELL = 32
+#: Words of a cell that one task compares at once; larger cells are cut finer.
+CELL = 4096
 #: Bytes of the words that a task counts before it hands them on, at most about; rows of a batch.
 HELD, ROWS = 24 << 20, 32_768
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -136,19 +136,73 @@ def _mapped(df: DataFrame, keys) -> DataFrame:
     return df.mapInArrow(run, "cell long, side int, word string, n long")
 
 
-def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows whose cell holds up to CELL words, and the others."""
+def _split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows whose cell holds up to CELL words, and the others, if there are any."""
     full = materialise(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL), f"{name}-full")
+    if full.isEmpty():
+        return rows, None
     marked = join_by_count(rows, full, "cell", "size", "word", "left")
     return marked.where("size is null").drop("size"), marked.where("size is not null").drop("size")
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words, the first not longer, differ by exactly one replaced or inserted code point."""
+    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def _near(same: list[str], short: list[str], long: list[str]) -> Iterator[tuple[str, str]]:
+    """The near pairs of a cell, in time linear in its words: these are looked up by what is left of them without one code point. Few or very long words are compared one by one."""
+    if len(same) <= len(same[0] if same else ""):
+        yield from ((a, b) for k, a in enumerate(same) for b in same[:k] if one_edit(a, b))
+    else:
+        left: dict[int, list[str]] = {}
+        for w in same:
+            for i in range(len(w)):
+                others = left.setdefault(hash((i, w[:i], w[i + 1 :])), [])
+                yield from ((w, v) for v in others if one_edit(w, v))
+                others.append(w)
+    if short and len(short) <= len(short[0]):
+        yield from ((a, b) for b in long for a in short if one_edit(a, b))
+    elif short:
+        known = set(short)
+        for w in long:
+            yield from ((v, w) for v in {w[:i] + w[i + 1 :] for i in range(len(w))} if v in known)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each cell, of rows that are sorted by it; only one cell is held."""
+    found: list[tuple] = []
+
+    def flush(held: dict[str, int], sides: tuple[list[str], ...]) -> None:
+        found.extend((*sorted(p), *(held[w] for w in sorted(p))) for p in _near(*sides))
+
+    def out() -> pa.RecordBatch:
+        a, b, na, nb = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], ["a", "b", "na", "nb"])
+
+    at, held, sides = None, {}, ([], [], [])
+    for b in batches:
+        for cell, side, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if cell != at:
+                if len(held) > 1:
+                    flush(held, sides)
+                    if len(found) >= ROWS:
+                        yield out()
+                        found.clear()
+                at, held, sides = cell, {}, ([], [], [])
+            if word not in sides[side][-1:]:
+                held[word] = n
+                sides[side].append(word)
+    if len(held) > 1:
+        flush(held, sides)
+    if found:
+        yield out()
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Verified pairs (a, b, na, nb) of words that meet in a cell."""
-    a = rows.where(F.col("side") != LONG).select("cell", F.col("side").alias("s"), F.col("word").alias("a"), F.col("n").alias("na"))
-    b = rows.where(F.col("side") != SHORT).select("cell", F.col("side").alias("t"), F.col("word").alias("b"), F.col("n").alias("nb"))
-    meet = ((F.col("s") == SAME) & (F.col("t") == SAME) & (F.col("a") < F.col("b"))) | ((F.col("s") == SHORT) & (F.col("t") == LONG))
-    return a.join(b, "cell").where(meet & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "na", "nb")
+    """Near pairs (a, b, na, nb) of words that meet in a cell, once for each cell."""
+    return rows.select("cell", "side", "word", "n").repartition("cell").sortWithinPartitions("cell", "side", "word").mapInArrow(_compare, "a string, b string, na long, nb long")
 
 
 def near_words(counts: DataFrame) -> DataFrame:
@@ -158,19 +212,21 @@ def near_words(counts: DataFrame) -> DataFrame:
     this order; letters bound it to about 8,100 entries). One edit changes two
     bigrams at most and moves the others by one place at most, so two near
     words share one of their three rarest at the same place or the next. Only
-    those are joined, in cells of bigram, place and length. A cell of more
-    than CELL words is cut by unchanged halves of words, and by words without
-    one code point where that isn't enough; near words meet in each of these.
+    those are joined, in cells of bigram, place and length, and the words of a
+    cell are verified by exact comparison. A cell of more than CELL words is
+    cut by unchanged halves of words, and by words without one code point
+    where that isn't enough; near words meet in each of these.
     """
     grams = counts.select("word").mapInArrow(_bigram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     rank = {g: k for k, (_, g) in enumerate(sorted((n, g) for g, n in grams))}
-    rows = materialise(_mapped(counts.select("word", "n"), _cells(rank)), "spelling-cells")
-    few, many = _split(rows, "spelling-cells")
-    out = _pairs(few)
-    halves = materialise(_mapped(many.select("cell", "side", "word", "n"), _halves), "spelling-halves")
-    few, many = _split(halves, "spelling-halves")
-    last = materialise(_mapped(many.select("cell", "side", "word", "n"), _deletions), "spelling-deletions")
-    return out.unionAll(_pairs(few)).unionAll(_pairs(last)).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
+    rows, out = materialise(_mapped(counts.select("word", "n"), _cells(rank)), "spelling-cells"), None
+    for finer in (_halves, _deletions, None):
+        few, many = _split(rows, "spelling-cells") if finer else (rows, None)
+        out = _pairs(few) if out is None else out.unionAll(_pairs(few))
+        if many is None:
+            break
+        rows = materialise(_mapped(many.select("cell", "side", "word", "n"), finer), "spelling-cells")
+    return out.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
