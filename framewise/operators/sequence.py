@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap_delta
+from ..plans.shared import materialise
 from .robust import with_percentiles
 
 
@@ -245,21 +246,6 @@ def gravity_filter(df: DataFrame, key: str, t: str = "t", axes: tuple[str, str,
     return cut.groupBy(key, "_island").applyInPandas(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, valid boolean, confidence double, up_x double, up_y double, up_z double")
 
 
-def quarter_turns(t: list[float], angle: list[float], hold: float = 0.3, least: float = 60.0) -> list[int]:
-    """The display turn after each sample: a new quarter must lie least degrees off and persist for hold."""
-    turn, wish, since, out = 0, None, 0.0, []
-    for now, a in zip(t, angle, strict=True):
-        quarter = int(math.floor((a % 360 + 45) / 90)) * 90 % 360
-        if quarter == turn or abs((a - turn + 180) % 360 - 180) < least:
-            wish = None
-        elif quarter != wish:
-            wish, since = quarter, now
-        elif now - since >= hold:
-            turn, wish = quarter, None
-        out.append(turn)
-    return out
-
-
 def fold(df: DataFrame, key: str, order: list[str], values: list[str], ident: str, function, result: str, kind: str) -> DataFrame:
     """(key, ident, result) by a sequential function of each key's ordered columns; for state that no window can express."""
 
@@ -271,23 +257,68 @@ def fold(df: DataFrame, key: str, order: list[str], values: list[str], ident: st
     return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, {result} {kind}")
 
 
-def hysteresis(df: DataFrame, key: str, angle: str, t: str = "t", ident: str = "id", hold: float = 0.3, least: float = 60.0) -> DataFrame:
-    return fold(df, key, [t, ident], [t, angle], ident, lambda a, b: quarter_turns(a, b, hold, least), "turn", "int")
+def followed(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at): the rows that starts (keys, at) reach along links (keys, at, next).
 
+    Links double in length each round, so rounds grow with the logarithm of
+    the longest way; each is written to the shared folder.
+    """
+    jump = materialise(links.where("next is not null"), "links")
+    known = materialise(starts.select(*keys, "at").distinct(), "followed")
+    while not jump.isEmpty():
+        ahead = known.join(jump, [*keys, "at"]).select(*keys, F.col("next").alias("at"))
+        known = materialise(known.unionAll(ahead).distinct(), "followed")
+        then = jump.select(*keys, F.col("at").alias("next"), F.col("next").alias("_then"))
+        jump = materialise(jump.join(then, [*keys, "next"]).select(*keys, "at", F.col("_then").alias("next")), "links")
+    return known
 
-def paced(t: list[float], interval: float, fps: float | None = None) -> list[bool]:
-    """Which rows are taken when each must follow the last taken by interval, rounded up to whole frames."""
-    wait = math.ceil(interval * fps - 1e-9) / fps if fps else interval
-    last, out = None, []
-    for now in t:
-        take = last is None or now - last + 1e-9 >= wait
-        last = now if take else last
-        out.append(take)
-    return out
+
+def hysteresis(df: DataFrame, key: str, angle: str, t: str = "t", ident: str = "id", hold: float = 0.3, least: float = 60.0) -> DataFrame:
+    """(key, ident, turn): the display turn after each row, 0 at first; another quarter must lie least degrees off and last for hold.
+
+    For each of the four turns that may be in force, rows of one quarter that
+    lie far enough off form runs, and the first row past the hold would turn
+    to that quarter. From such a row on, the next one under its own quarter
+    follows, and the real turns are those that the first one under 0 leads to.
+    Windows are per key and spill; no row's state is carried in Python.
+    """
+    own = Window.partitionBy(key).orderBy(t, ident)
+    back = Window.partitionBy(key).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select(key, ident, t, F.col(angle).alias("_a")).withColumn("at", F.row_number().over(own))
+    rows = rows.withColumn("_q", (F.floor((F.pmod("_a", F.lit(360)) + 45) / 90) * 90 % 360).cast("int"))
+    turns = (0, 90, 180, 270)
+    for k in turns:
+        far = (F.col("_q") != k) & (F.abs(F.pmod(F.col("_a") - k + 180, F.lit(360)) - 180) >= least)
+        rows = rows.withColumn("_w", F.when(far, F.col("_q"))).withColumn("_s", F.col("_w").isNotNull() & ~F.col("_w").eqNullSafe(F.lag("_w").over(own)))
+        rows = rows.withColumn("_since", F.last(F.when(F.col("_s"), F.col(t)), True).over(own))
+        rows = rows.withColumn("_due", F.col("_w").isNotNull() & ~F.col("_s") & (F.col(t) - F.col("_since") >= hold))
+        rows = rows.withColumn(f"_e{k}", F.col("_due") & ~F.coalesce(F.lag("_due").over(own), F.lit(False)))
+    rows = materialise(rows.drop("_w", "_s", "_since", "_due", "_a"), "turns")
+    some = rows.where(" or ".join(f"_e{k}" for k in turns)).select(key, "at", "_q", *(f"_e{k}" for k in turns))
+    ahead = F.coalesce(*(F.when(F.col("_q") == k, F.last(F.when(F.col(f"_e{k}"), F.col("at")), True).over(back)) for k in turns))
+    links = some.withColumn("next", ahead).select(key, "at", "next")
+    real = followed(links, some.where("_e0").groupBy(key).agg(F.min("at").alias("at")), [key]).withColumn("_real", F.lit(True))
+    met = rows.join(real, [key, "at"], "left")
+    turn = F.last(F.when(F.col("_real"), F.col("_q")), True).over(Window.partitionBy(key).orderBy("at"))
+    return met.select(key, ident, F.coalesce(turn, F.lit(0)).alias("turn"))
 
 
 def rate_limit(df: DataFrame, key: str, interval: float, t: str = "t", ident: str = "id", fps: float | None = None) -> DataFrame:
-    return fold(df, key, [t, ident], [t], ident, lambda a: paced(a, interval, fps), "taken", "boolean")
+    """(key, ident, taken): whether a row is the key's first or follows the last taken one by interval, rounded up to whole frames.
+
+    Each row's next taken one, were it taken, is the first row past the
+    interval: found by one window over rows and their own times plus interval.
+    The taken rows are those that the first one leads to.
+    """
+    wait = math.ceil(interval * fps - 1e-9) / fps if fps else interval
+    rows = df.select(key, ident, t).withColumn("at", F.row_number().over(_order((key,), t, (ident,))))
+    rows = materialise(rows, "limited")
+    asked = rows.select(key, (F.col(t) + wait - 1e-9).alias("_t"), F.col("at").alias("_from"))
+    both = rows.select(key, F.col(t).alias("_t"), "at").unionByName(asked, allowMissingColumns=True)
+    down = Window.partitionBy(key).orderBy(F.desc("_t"), F.col("at").isNull(), F.desc("at"))
+    links = both.withColumn("next", F.last("at", True).over(down)).where("_from is not null and next > _from").select(key, F.col("_from").alias("at"), "next")
+    taken = followed(links, rows.where("at = 1"), [key]).withColumn("_taken", F.lit(True))
+    return rows.join(taken, [key, "at"], "left").select(key, ident, F.coalesce("_taken", F.lit(False)).alias("taken"))
 
 
 def moved(t: list[float], x: list[float], distance: float, wait: float) -> list[bool]:

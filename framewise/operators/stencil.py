@@ -120,3 +120,81 @@ def triangles(df: DataFrame, keys: tuple[str, ...], x: str, y: str, depth: str,
     at = lambda dx, dy: (F.col(y) + dy) * width + F.col(x) + dx
     face = lambda *c: F.struct(*(at(*p).cast("long").alias(n) for n, p in zip("abc", c, strict=True)))
     return whole.select(*keys, F.explode(F.array(face((0, 0), (0, 1), (1, 0)), face((1, 0), (0, 1), (1, 1)))).alias("_f")).select(*keys, "_f.*")
+
+
+def patch_moments(df: DataFrame, keys: tuple[str, ...], x: str, y: str, value: str, sizes: tuple[int, ...]) -> DataFrame:
+    """df with mean_s, dx_s and dy_s for each odd size s: the least-squares plane of value over the s x s patch around a cell, null unless all its cells are there.
+
+    Sums over a patch are differences of running sums, first along rows, then
+    along columns, so the cost doesn't depend on the sizes, and all sizes share
+    two windows. A row or column of a frame is the most that a window holds.
+    """
+    row, column = Window.partitionBy(*keys, y).orderBy(x), Window.partitionBy(*keys, x).orderBy(y)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def span(w, total: str, item: str, r: int) -> Column:
+        return F.lead(total, r).over(w) - F.lag(total, r).over(w) + F.lag(item, r).over(w)
+
+    whole = lambda w, at, r: F.coalesce(F.lead(at, r).over(w) - F.lag(at, r).over(w) == 2 * r, F.lit(False))
+    out = df.withColumns({"_v": F.col(value).cast("double"), "_xv": F.col(value).cast("double") * F.col(x)})
+    out = out.withColumns({"_tv": F.sum("_v").over(upto(row)), "_txv": F.sum("_xv").over(upto(row))})
+    for s in sizes:
+        r = s // 2
+        ok = whole(row, x, r)
+        out = out.withColumns({f"_n{s}": ok.cast("int"), f"_a{s}": F.when(ok, span(row, "_tv", "_v", r)).otherwise(0.0), f"_b{s}": F.when(ok, span(row, "_txv", "_xv", r) - F.col(x) * span(row, "_tv", "_v", r)).otherwise(0.0)})
+        out = out.withColumn(f"_c{s}", F.col(y) * F.col(f"_a{s}"))
+    out = out.withColumns({f"_t{m}{s}": F.sum(f"_{m}{s}").over(upto(column)) for s in sizes for m in "nabc"})
+    for s in sizes:
+        r = s // 2
+        square = s * sum(2 * k * k for k in range(1, r + 1))
+        total = {m: span(column, f"_t{m}{s}", f"_{m}{s}", r) for m in "nabc"}
+        ok = whole(column, y, r) & (total["n"] == s)
+        out = out.withColumns({f"mean_{s}": F.when(ok, total["a"] / (s * s)), f"dx_{s}": F.when(ok, total["b"] / square), f"dy_{s}": F.when(ok, (total["c"] - F.col(y) * total["a"]) / square)})
+    return out.select(*df.columns, *(f"{m}_{s}" for s in sizes for m in ("mean", "dx", "dy")))
+
+
+def incidence(df: DataFrame, keys: tuple[str, ...], x: str, y: str, z: str, camera: tuple[float, float, float, float], sizes: tuple[int, ...] = (7, 3), floor: float = 0.02, share: float = 0.02) -> DataFrame:
+    """df with edge, fitted and cosine: how squarely a local plane of inverse depth meets the ray (camera: fx, fy, cx, cy).
+
+    The first size whose patch is whole, without a hole or an edge, gives the
+    plane; where none is, cosine is 0.5 and fitted false. A cell without depth has no plane.
+    """
+    fx, fy, cx, cy = camera
+    flagged = edge_flags(df, keys, x, y, z, floor, share)
+    usable = F.coalesce((F.col(z) > 0) & ~F.col("edge"), F.lit(False))
+    good = patch_moments(flagged.where(usable).withColumn("_inverse", 1 / F.col(z)), keys, x, y, "_inverse", sizes)
+    rx, ry = (F.col(x) - cx) / fx, (F.col(y) - cy) / fy
+    angles = []
+    for s in sizes:
+        a, b, mean = F.col(f"dx_{s}") * fx, F.col(f"dy_{s}") * fy, F.col(f"mean_{s}")
+        c = mean - a * rx - b * ry
+        size = F.sqrt(a * a + b * b + c * c) * F.sqrt(1 + rx * rx + ry * ry)
+        angles.append(F.when(mean.isNotNull(), F.least(F.greatest(mean / F.greatest(size, F.lit(1e-10)), F.lit(0.0)), F.lit(1.0))))
+    fitted = F.coalesce(*angles)
+    good = good.select(*flagged.columns, fitted.isNotNull().alias("fitted"), F.coalesce(fitted, F.lit(0.5)).alias("cosine"))
+    return good.unionByName(flagged.where(~usable).withColumns({"fitted": F.lit(False), "cosine": F.lit(0.5)}))
+
+
+def depth_weights(df: DataFrame, keys: tuple[str, ...], x: str, y: str, z: str, camera: tuple[float, float, float, float]) -> DataFrame:
+    """incidence with weight: the observation weight by depth and angle; 0 for a hole, on an edge, or where a fitted plane is seen too flatly."""
+    found = incidence(df, keys, x, y, z, camera)
+    none = ~F.coalesce(F.col(z) > 0, F.lit(False)) | F.col("edge") | (F.col("fitted") & (F.col("cosine") < 0.25))
+    near = F.pow(0.003 / (0.001 + 0.002 * F.col(z) * F.col(z)), F.lit(2))
+    return found.withColumn("weight", F.when(none, 0.0).otherwise(F.least(F.greatest(near, F.lit(0.05)), F.lit(1.0)) * F.col("cosine") * F.col("cosine")))
+
+
+def smooth_depth(df: DataFrame, keys: tuple[str, ...], x: str, y: str, z: str, sizes: tuple[int, ...] = (9, 5, 3), floor: float = 0.03, share: float = 0.02, most: float = 0.01) -> DataFrame:
+    """df with smooth: depths by local planes of inverse depth, whose centre is the mean inverse depth.
+
+    The first size whose patch is whole and crosses no jump, and that moves the
+    depth by max(most, most * depth) at most, counts; other cells, holes and edges stay as they are.
+    """
+    known = neighbours(df, keys, x, y, z)
+    jump = lambda n: F.coalesce((F.col(n) > 0) & (F.abs(F.col(n) - F.col(z)) > F.greatest(F.lit(floor), share * F.least(n, z))), F.lit(False))
+    sides = ("left", "right", "up", "down")
+    known = known.withColumn("_edge", jump(sides[0]) | jump(sides[1]) | jump(sides[2]) | jump(sides[3])).drop(*sides)
+    usable = F.coalesce((F.col(z) > 0) & ~F.col("_edge"), F.lit(False))
+    good = patch_moments(known.where(usable).withColumn("_inverse", 1 / F.col(z)), keys, x, y, "_inverse", sizes)
+    near = [F.when(F.abs(1 / F.col(f"mean_{s}") - F.col(z)) <= F.greatest(F.lit(most), most * F.col(z)), 1 / F.col(f"mean_{s}")) for s in sizes]
+    good = good.select(*df.columns, F.coalesce(*near, F.col(z).cast("double")).alias("smooth"))
+    return good.unionByName(known.where(~usable).select(*df.columns, F.col(z).cast("double").alias("smooth")))

@@ -77,16 +77,44 @@ def test_asof_against_brute_force(spark, parts):
         assert back[i] == (max(before)[1] if before else None)
 
 
+def pairs_by_hand(a, b, tolerance, method):
+    """Over the whole table of gaps: the least one left, or row by row the least one behind the last."""
+    gap = np.abs(np.array([t for t, _ in a])[:, None] - np.array([t for t, _ in b])[None, :])
+    out, last = set(), -1
+    for i in range(len(a)):
+        at = sum(t < a[i][0] for t, _ in b)
+        far = np.ones(len(b), bool)
+        far[max(at - 1, 0) : at + (method != "greedy") + 1] = False
+        gap[i, far | (gap[i] > tolerance)] = np.inf
+    if method == "greedy":
+        while np.isfinite(gap).any():
+            i, j = np.unravel_index(gap.argmin(), gap.shape)
+            out.add((a[i][1], b[j][1]))
+            gap[i], gap[:, j] = np.inf, np.inf
+        return out
+    for i in range(len(a)):
+        left = np.where(np.arange(len(b)) > last, gap[i], np.inf)
+        if np.isfinite(left).any():
+            last = int(left.argmin())
+            out.add((a[i][1], b[last][1]))
+    return out
+
+
 def test_pairing_scenarios(spark):
-    assert pairing.greedy_pairs([(1.0, 0), (1.01, 1), (2.0, 2)], [(1.009, 0)], 0.02) == [(1, 0)]
-    assert pairing.nearest_unused([(0.0, 0), (1.0, 1)], [(0.4, 0), (0.6, 1)], 0.5) == [(0, 0), (1, 1)]
-    assert pairing.nearest_unused([(0.0, 0), (0.1, 1)], [(0.05, 0)], 0.5) == [(0, 0)]
     rng = np.random.default_rng(1)
-    a, b = (sorted((float(t), k) for k, t in enumerate(rng.uniform(0, 300, 120))) for _ in range(2))
-    for method, f in (("greedy", pairing.greedy_pairs), ("nearest_unused", pairing.nearest_unused)):
-        sides = [spark.createDataFrame([(1, k, t) for t, k in x], "key long, id long, t double") for x in (a, b)]
-        got = {(r.a_id, r.b_id) for r in pairing.one_to_one(*sides, 1.0, "key", method).collect()}
-        assert got == {(a[i][1], b[j][1]) for i, j in f(a, b, 1.0)}
+    drawn = [sorted((float(t), k) for k, t in enumerate(rng.uniform(0, 300, 120))) for _ in range(2)]
+    dense = [sorted((float(t), k) for k, t in enumerate(rng.integers(0, 60, 90) / 2)) for _ in range(2)]
+    widening = [[(k * (k + 1) / 40, k) for k in range(0, 30, 2)], [(k * (k + 1) / 40, k) for k in range(1, 30, 2)]]
+    scenes = [([(1.0, 0), (1.01, 1), (2.0, 2)], [(1.009, 0)], 0.02), ([(0.0, 0), (1.0, 1)], [(0.4, 0), (0.6, 1)], 0.5), ([(0.0, 0), (0.1, 1)], [(0.05, 0)], 0.5), (*drawn, 1.0), (*dense, 2.0), (*widening, 9.0)]
+    kinds = "key long, id long, t double"
+    for method in ("greedy", "nearest_unused"):
+        sides = [spark.createDataFrame([(n, 1000 * n + k, t) for n, scene in enumerate(scenes) for t, k in scene[side]], kinds) for side in (0, 1)]
+        for tolerance in {s[2] for s in scenes}:
+            got = {(r.a_id, r.b_id) for r in pairing.one_to_one(*sides, tolerance, "key", method).collect()}
+            want = {(1000 * n + i, 1000 * n + j) for n, (a, b, _) in enumerate(scenes) for i, j in pairs_by_hand(a, b, tolerance, method)}
+            assert got == want
+        assert pairing.one_to_one(sides[0], sides[1].limit(0), 1.0, "key", method).count() == 0
+    assert pairing.in_order([[(0.1, 1.0, 5)], [(0.0, 1.0, 5)], [(0.2, 1.5, 6), (0.2, 2.0, 7)]]) == [(0.1, 1.0, 5), None, (0.2, 1.5, 6)]
 
 
 def events(spark, rows):
@@ -103,12 +131,21 @@ def test_segments_and_history(spark):
     assert [r.n_recent for r in h] == [1, 2, 2, 2, 2, 1, 2] and h[2].recent_from == 1.0
 
 
+def test_display_turns(spark):
+    angles = {1: [90, 90, 90, 90], 2: [50, 50, 50, 50], 3: [90, 180, 180, 180, 180, 10, 10, 10, 10], 4: [90, 90, 30, 90, 90, 90, 90]}
+    rows = events(spark, [(k, 100 * k + i, 0.2 * i, a) for k, own in angles.items() for i, a in enumerate(own)])
+    got = {}
+    for r in sequence.hysteresis(rows, "k", "v").orderBy("k", "id").collect():
+        got.setdefault(r.k, []).append(r.turn)
+    assert got == {1: [0, 0, 90, 90], 2: [0, 0, 0, 0], 3: [0, 0, 0, 180, 180, 180, 180, 0, 0], 4: [0, 0, 0, 0, 0, 90, 90]}
+    assert sequence.hysteresis(rows.limit(0), "k", "v").count() == 0 and sequence.rate_limit(rows.limit(0), "k", 1.0).count() == 0
+
+
 def test_smoothing_and_state(spark):
     rows = events(spark, [(1, 0, 0.0, 1.61), (1, 1, 1.0, 2.0), (1, 2, 2.0, 1.0)])
     assert sequence.asymmetric_ema(rows, ("k",), "v", ("t",)).first().smoothed == pytest.approx(1.805 - 0.1 * 0.805)
-    assert sequence.quarter_turns([0, 0.1, 0.2, 0.5], [90, 90, 90, 90]) == [0, 0, 0, 90]
-    assert sequence.quarter_turns([0, 0.1, 0.5], [50, 50, 50]) == [0, 0, 0]
-    assert sequence.paced([0, 0.1, 0.2, 0.3, 0.4], 0.15, 10) == [True, False, True, False, True]
+    found = sequence.rate_limit(events(spark, [(1, i, t / 10, 0.0) for i, t in enumerate(range(5))]), "k", 0.15, fps=10)
+    assert [r.taken for r in found.orderBy("id").collect()] == [True, False, True, False, True]
     assert sequence.moved([0, 1, 2, 3], [0, 5, 12, 13], 10, 1) == [True, False, True, False]
     t = np.arange(6) * 0.05
     found = sequence.gravity_rows(t, np.tile([0, -9.80665, 0.0], (6, 1)))
