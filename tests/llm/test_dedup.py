@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from framewise.llm import near_dedup
 from framewise.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from framewise.llm.line_dedup import line_dedup
@@ -28,7 +30,7 @@ def test_index_persists_and_appends(spark):
     second = spark.createDataFrame([(3, "A"), (4, "c"), (5, None), (None, "N")], "doc_id long, text string")
     assert index.ingest(digests(first)).count() == 3
     assert sorted(r.keep_id for r in index.ingest(digests(second)).collect()) == [4, 5]
-    index = DigestIndex(spark, index.name, index.path)  # opened again
+    index = DigestIndex(spark, index.base, index.path)  # opened again
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(second.limit(2), index).collect()}
     assert index.buckets == 4 and got == {(3, 3, 3, True), (4, 4, 2, True)}
     before = sorted(map(str, index.entries().collect()))
@@ -37,6 +39,34 @@ def test_index_persists_and_appends(spark):
     assert index.ingest(digests(first)).count() == 0
 
 
+def test_index_in_a_later_session(spark):
+    rows = spark.createDataFrame([(k, f"text {k % 37}") for k in range(90)], "doc_id long, text string")
+    more = spark.createDataFrame([(k, f"text {k % 45}") for k in range(100, 160)], "doc_id long, text string")
+    index = DigestIndex(spark, buckets=16)
+    assert index.ingest(digests(rows)).count() == 37
+    for step in range(3):
+        spark.sql(f"DROP TABLE {index.name}")  # the files stay, the catalogue forgets them
+        index = DigestIndex(spark, path=index.path)
+        assert index.buckets == (16 if step < 2 else 5)
+        before = sorted(map(str, index.entries().collect()))
+        assert index.ingest(digests(rows)).count() == (37 if step == 0 else 0)
+        assert sorted(map(str, index.entries().collect())) == before
+        fresh = index.ingest(digests(more), "later").count()
+        assert fresh == (8 if step < 2 else 0)
+        after = {r.keep_id: r.group_size for r in index.entries().collect()}
+        assert len(after) == 45 and sum(after.values()) == 150 and max(after) == 159
+        if step == 0:
+            again = spark.table(index.name).where("batch = 'later'").limit(3)  # rows that a failed attempt left behind
+            index._append(again)
+            assert {r.keep_id: r.group_size for r in index.entries().collect()} == after
+            index.ingest(digests(rows).union(digests(more)).limit(0))
+        if step == 1:
+            index.compact(buckets=5)
+            assert {r.keep_id: r.group_size for r in index.entries().collect()} == after
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path=index.path, buckets=4)
+
+
 def test_batches_give_what_one_gives(spark, monkeypatch):
     from framewise.llm import common, exact_dedup as module
     from framewise.plans import shared
