@@ -17,8 +17,9 @@ PARTS = 16
 
 
 def _key():
-    """A line's hash; white space at its ends doesn't count, and blank lines have none."""
-    return F.when(F.trim("line") != "", F.xxhash64(F.trim("line")))
+    """A line's hash (64 bits stand for the line); spaces, tabs and carriage returns at its ends don't count, and blank lines have none."""
+    line = F.trim("line", F.lit(" \t\r"))
+    return F.when(line != "", F.xxhash64(line))
 
 
 def site_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -68,9 +69,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+_TRIM = "trim(line, ' ' || chr(9) || chr(13))"
 SQL = f"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-b AS (SELECT trim(line) AS k FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
-g AS (SELECT doc_id, count(*) AS n, count(b.k) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.k IS NULL), '') AS t FROM l LEFT JOIN b ON trim(l.line) = b.k GROUP BY 1)
+b AS (SELECT {_TRIM} AS k FROM l WHERE {_TRIM} <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
+g AS (SELECT doc_id, count(*) AS n, count(b.k) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.k IS NULL), '') AS t FROM l LEFT JOIN b ON {_TRIM} = b.k GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE t END AS text FROM documents d LEFT JOIN g USING (doc_id)
 """

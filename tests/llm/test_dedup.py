@@ -246,3 +246,17 @@ def test_line_dedup_of_hot_and_long_texts(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == want
     assert {r.text for r in got.where("doc_id >= 50 and doc_id < 90").collect()} == {"hot"}
     assert got.where("doc_id = 99").first().n_lines == 20_001 and got.where("doc_id = 99").first().n_removed == 1
+
+
+def test_line_ends_do_not_count(spark):
+    from framewise.llm.line_dedup import SQL, line_dedup
+
+    ends = ["", "\r", "\t", " \r", "\t \r"]
+    rows = [(k, f"own {k}\n{' ' * (k % 2)}The footer{ends[k % 5]}\n\r", f"site {k}") for k in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup(docs).collect()}
+    assert got == {k: f"own {k}\n\r" for k in range(16)}
+    import duckdb
+
+    documents = docs.toPandas()  # noqa: F841
+    assert {r[0]: r[3] for r in duckdb.sql(SQL).fetchall()} == got
