@@ -29,14 +29,22 @@ def patterns(url, depth: int = DEPTH):
     return F.when(h != "", F.array_distinct(F.concat(parents, F.filter(steps, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
 
 
+def named(entry):
+    """What a list entry names, in the form of patterns(): its host as host() has it, and its path's segments. Null without a host."""
+    url = F.when(F.trim(entry).rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.trim(entry)).otherwise(F.concat(F.lit("http://"), F.trim(entry)))
+    path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+    return F.when(host(url) != "", F.array_join(F.concat(F.array(host(url)), path), "/"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Dated entries (pattern, action, listed_on) to validity intervals (pattern, action, since, until).
 
-    An entry holds until the pattern's next entry; the action remove ends an
+    Entries may be written as hosts or URLs, with or without a scheme, user,
+    port, leading www or closing slash; see named(). An entry holds until the pattern's next entry; the action remove ends an
     interval and opens none. Of several entries of a pattern on one day the
     last by name counts. until is null where the last entry is still active.
     """
-    days = entries.where("pattern is not null and action is not null and listed_on is not null").groupBy("pattern", "listed_on").agg(F.max("action").alias("action"))
+    days = entries.withColumn("pattern", named(F.col("pattern"))).where("pattern is not null and action is not null and listed_on is not null").groupBy("pattern", "listed_on").agg(F.max("action").alias("action"))
     own = Window.partitionBy("pattern").orderBy("listed_on")
     return days.withColumn("until", F.lead("listed_on").over(own)).where("action <> 'remove'").select("pattern", "action", F.col("listed_on").alias("since"), "until")
 
@@ -54,7 +62,7 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     replaced.
     """
     base = captures.drop("verdict", "matched")
-    depth = max(1, entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0)  # segments of the list's deepest entry
+    depth = max(1, entries.agg(F.max(F.size(F.split(named(F.col("pattern")), "/")) - 1)).first()[0] or 0)  # segments of the list's deepest entry
     asked = base.select("url", F.col("fetched_on").alias("day")).where("url is not null and day is not null").distinct()
     day = lambda c: F.datediff(c, F.lit("1970-01-01"))
     keys = asked.select("url", "day", F.floor(day(F.col("day")) / BUCKET).alias("bucket"), F.posexplode(patterns(F.col("url"), depth)).alias("place", "pattern"))

@@ -257,3 +257,14 @@ def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
         scores.append({r.doc_id: r.score for r in language_model.score_documents(docs.repartition(parts)).collect()})
     for k in range(len(texts)):
         assert scores[0][k] == pytest.approx(scores[1][k], rel=1e-9) and scores[0][k] == pytest.approx(scores[2][k], rel=1e-9)
+
+
+def test_list_entries_in_any_form(spark):
+    forms = ["Evil.com", "www.evil.com", "http://evil.com/", "evil.com/", "https://user@EVIL.com:8080", " evil.com "]
+    urls = ["http://www.evil.com/a/b?q", "https://sub.evil.com", "http://good.com/Bad/page", "http://good.com/other", None]
+    captures = spark.createDataFrame([(u, "2024-03-01") for u in urls], "url string, day string").selectExpr("url", "cast(day as date) as fetched_on")
+    for form in forms:
+        rows = [(form, "block", "2024-01-01"), ("http://www.good.com/Bad/", "block", "2024-01-01"), ("", "block", "2024-01-01"), (None, "block", "2024-01-01")]
+        entries = spark.createDataFrame(rows, "pattern string, action string, day string").selectExpr("pattern", "action", "cast(day as date) as listed_on")
+        got = {r.url: (r.verdict, r.matched) for r in url_filter.url_verdicts(captures, entries).collect()}
+        assert got == {urls[0]: ("block", "evil.com"), urls[1]: ("block", "evil.com"), urls[2]: ("block", "good.com/Bad"), urls[3]: ("none", None), None: ("none", None)}
