@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import rounds, stencil
 from ..sources import io
+from ..streaming import jobs, tag_map
+from . import catalog_state as state
 from .catalog import _r, query
 
 _CAMERA = (30.0, 32.0, 11.5, 9.5)
@@ -121,3 +123,12 @@ def potts_labels(spark, d):
     k = F.col("p_partkey")
     edges = io.table(spark, d, "part").select(k.alias("a"), F.explode(F.array(k + 1, k + 10)).alias("b"))
     return rounds.potts_labels(seen, edges, diffusions=3, passes=4)[0]
+
+
+@query("live_tag_map", state.TAG_MAP)
+def live_tag_map(spark, d):
+    i, v = F.col("event_id"), F.col("value")
+    place = {"x": i * 37 % 11 * 0.004 + F.when(v > 70, 1).otherwise(0), "y": v * 0.0002, "z": 1 + i % 5 * 0.1}
+    rows = jobs.read_table(spark, f"{d}/events.parquet").where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp")).withColumns(place)
+    rows = rows.select(F.col("user_id").alias("session"), i.alias("view"), (F.length("event_type") % 3).cast("long").alias("mark"), "x", "y", "z", (F.col("z") * 2).alias("range_m"), F.lit(False).alias("repeated"), "ts")
+    return jobs.run_to_table(tag_map.live_tag_map(rows, "60 days", 60 * 86_400_000), "tag-map")

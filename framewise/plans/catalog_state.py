@@ -96,3 +96,16 @@ SELECT user_id AS key, pair.a.id AS a_id, pair.b.id AS b_id, pair.a.t AS a_t, pa
 STREAM_SESSIONS = """WITH g AS MATERIALIZED (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events WHERE user_id IS NOT NULL),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, round(min(epoch_us(ts)) / 1e6, 6) AS start, round(max(epoch_us(ts)) / 1e6, 6) AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+
+#: A mark's samples as lists; conflicts in a row count as strikes.
+TAG_MAP = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, length(event_type) % 3 AS mark, event_id, (event_id * 37 % 11) * 0.004::DOUBLE + CASE WHEN value > 70 THEN 1 ELSE 0 END AS x, value * 0.0002::DOUBLE AS y, 1 + (event_id % 5) * 0.1::DOUBLE AS z, row_number() OVER (PARTITION BY user_id, length(event_type) % 3 ORDER BY event_id) AS rn FROM events),
+s AS (SELECT user_id, mark, 0::BIGINT AS event_id, 0::BIGINT AS rn, []::DOUBLE[] AS xs, []::DOUBLE[] AS ys, []::DOUBLE[] AS zs, 0 AS strikes, false AS gone, '' AS state FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.mark, e.event_id, e.rn,
+    CASE WHEN out_ THEN []::DOUBLE[] WHEN far THEN s.xs WHEN len(s.xs) < 8 THEN list_append(s.xs, e.x) ELSE list_append(s.xs[1:2] || s.xs[4:8], e.x) END,
+    CASE WHEN out_ THEN []::DOUBLE[] WHEN far THEN s.ys WHEN len(s.ys) < 8 THEN list_append(s.ys, e.y) ELSE list_append(s.ys[1:2] || s.ys[4:8], e.y) END,
+    CASE WHEN out_ THEN []::DOUBLE[] WHEN far THEN s.zs WHEN len(s.zs) < 8 THEN list_append(s.zs, e.z) ELSE list_append(s.zs[1:2] || s.zs[4:8], e.z) END,
+    CASE WHEN far THEN s.strikes + 1 ELSE 0 END, out_, CASE WHEN out_ THEN 'excluded' WHEN far THEN 'conflict' ELSE 'added' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.mark = s.mark AND e.rn = s.rn + 1,
+  LATERAL (SELECT len(s.xs) > 0 AND sqrt(pow(e.x - list_aggregate(s.xs, 'median'), 2) + pow(e.y - list_aggregate(s.ys, 'median'), 2) + pow(e.z - list_aggregate(s.zs, 'median'), 2)) > 0.04::DOUBLE + 0.006::DOUBLE * e.z * e.z * 4 AS far) a,
+  LATERAL (SELECT s.gone OR (far AND s.strikes >= 1) AS out_) b)
+SELECT user_id AS session, event_id AS view, mark::BIGINT AS mark, state, len(xs)::INTEGER AS n_samples FROM s WHERE rn > 0"""

@@ -40,9 +40,9 @@ def checkpointed(rows: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def timestamp_text(spark: SparkSession, path: str) -> DataFrame:
-    """(t, fields) of text files with a time first in each line; comments and blank lines are skipped."""
+    """(t, fields) of text files with a time first in each line; comments and blank lines are skipped, and a time that is no number is null."""
     parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(parts[0].cast("double").alias("t"), F.slice(parts, 2, 1 << 20).alias("fields"))
+    return spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(parts[0].try_cast("double").alias("t"), F.slice(parts, 2, 1 << 20).alias("fields"))
 
 
 def strided(df: DataFrame, index: str, stride: int = 1, offset: int = 0, limit: int | None = None) -> DataFrame:
