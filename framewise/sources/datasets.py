@@ -49,7 +49,7 @@ def recorded_frames(spark: SparkSession, path: str, stride: int = 1, offset: int
 
 def trajectory(spark: SparkSession, path: str, fps: float = 30.0) -> DataFrame:
     """(frame, t, pose, error) of trajectory logs: for each frame a line of numbers and four rows of a pose. A pose of other than 16 numbers is an error row."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("line", "said"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("line", "said"))
     rows = lines.where("line % 5 > 0").select(F.floor(F.col("line") / 5).alias("frame"), "line", F.transform(F.split(F.trim("said"), r"\s+"), lambda x: x.try_cast("double")).alias("row"))
     poses = rows.groupBy("frame").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "row"))), lambda x: x["row"])).alias("pose"))
     whole = (F.size("pose") == 16) & F.forall("pose", lambda x: x.isNotNull())
