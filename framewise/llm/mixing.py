@@ -21,8 +21,8 @@ TARGETS = (0.90, 0.05, 0.04, 0.01)
 GROWTH = 1.1
 #: Labelled rows of each domain that the classifier is fitted on, at most, and its steps and ridge.
 SAMPLE, STEPS, RIDGE = 1024, 200, 1e-4
-#: Newton steps at most (a miss is reported), the error relative to its own target at which each target is met, and how softly targets hold (for those out of reach).
-ROUNDS, CLOSE, SOFT = 500, 1e-4, 1e-8
+#: Gradient steps at most (a miss is reported), the error relative to its own target at which each target is met, the curvature's ridge, and the share of the squared error that steps must take off to go on.
+ROUNDS, CLOSE, SOFT, GAIN = 500, 1e-4, 1e-8, 1e-5
 BLOCK = 256
 
 
@@ -32,21 +32,29 @@ class TargetsMissed(UserWarning):
 
 @dataclass
 class Fit:
-    """Rates as 1 + posterior @ dual, cut to 0 to most; the domains' expected tokens, those asked for, and those aimed at."""
+    """The steps of the projected gradient (a row of one number per domain each), the bound of rates; the domains' expected tokens, those asked for, and those aimed at."""
 
-    dual: np.ndarray
+    steps: np.ndarray
     most: float
     have: np.ndarray
     asked: np.ndarray
     want: np.ndarray
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return np.clip(1.0 + p @ self.dual, 0.0, self.most)
+        return walked(p, self.steps, self.most)
 
     def missed(self) -> list[int]:
         return [k for k in range(len(self.have)) if abs(self.have[k] - self.asked[k]) > CLOSE * max(self.asked[k], 1e-9 * self.have.sum())]
 
 
+def walked(p: np.ndarray, steps: np.ndarray, most: float) -> np.ndarray:
+    """Rates from 1 on along the steps: each moves a rate against its gradient, posterior @ step, and projects it to 0 to most."""
+    r = np.ones(len(p))
+    for s in steps:
+        np.clip(r + p @ s, 0.0, most, out=r)
+    return r
+
+
 @dataclass
 class Classifier:
     """Softmax regression on text features; a few MB at most."""
@@ -118,35 +126,37 @@ def memberships(docs: DataFrame, classifier: Classifier, text_col: str = "text")
 
 
 def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: float = GROWTH, lift: float | None = None, most: float | None = None, rounds: int = ROUNDS) -> Fit:
-    """Rates of 0 or more whose expected domain tokens are the targets.
-
-    rows: materialised (posterior, tokens). Of all rates that meet the targets
-    those nearest to 1 (least squares, by tokens) are 1 + posterior @ duals, cut
-    at 0, with one dual for each domain. Newton steps with a line search find
-    the duals, until each target is met within CLOSE of itself. A document's
-    rate follows from its posterior and the duals, so a round is one
-    aggregation (of the slopes at all tried lengths of a step) and nothing per
-    document is kept or collected.
+    """Rates of 0 or more whose expected domain tokens match the targets, by projected gradient least squares.
+
+    rows: materialised (posterior, tokens). The squared error of the domains'
+    expected tokens falls, for a document's rate, along its posterior times
+    the domains' errors. Each round moves all rates that way and projects them
+    to 0 or more; the curvature over the rates that can move, a matrix of
+    domains by domains, scales the errors, and of several lengths of the step
+    the longest that doesn't go beyond the least error along it is taken. It
+    ends when each target is met within CLOSE of itself, or when the steps no
+    longer lower the error. A document's rate follows from its posterior and the
+    steps so far, so a round is one aggregation (for all lengths at once), and
+    no rate is collected. Starting from 1, rates stay near it.
 
     lift (off by default) lowers a target above that many times what a domain
     has, and most (off by default) bounds a rate, so that a domain that is
     hardly there doesn't repeat its few documents without end. Where no rates
-    meet all targets, the steps end at the least squares of the errors relative
-    to the targets' sizes. Lowered and missed targets are in the result, and a
-    warning names them.
+    meet all targets, the steps end at a least squares of the errors. Lowered
+    and missed targets are in the result, and a warning names them.
     """
     n, top = len(targets), np.inf if most is None else float(most)
 
-    def sums(duals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of duals the expected domain tokens, and their derivatives by the duals."""
-        c = len(duals)
+    def sums(steps: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each step tried after the steps so far the expected domain tokens, and the curvature over the rates within the bounds."""
+        c = len(tried)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have, slopes = np.zeros((c, n)), np.zeros((c, n * n))
             for b in batches:
                 p = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
                 w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
-                r = 1.0 + p @ duals.T
+                r = walked(p, steps, top)[:, None] + p @ tried.T
                 have += (w * np.clip(r, 0.0, top)).T @ p
                 slopes += (w * ((r > 0) & (r < top))).T @ (p[:, :, None] * p[:, None, :]).reshape(-1, n * n)
             total = np.concatenate([have.ravel(), slopes.ravel()])
@@ -157,26 +167,26 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, growth: flo
             found[k] = v
         return found[: c * n].reshape(c, n), found[c * n :].reshape(c, n, n)
 
-    dual, done = np.zeros(n), 0
-    (have,), (slope,) = sums(dual[None])
+    steps, done = np.zeros((0, n)), 0
+    (have,), (slope,) = sums(steps, np.zeros((1, n)))
     share = np.array(targets) / sum(targets)
     asked = share * growth * have[0] / share[0]
     want = asked if lift is None else np.minimum(asked, np.append(np.inf, lift * have[1:]))
     size = np.maximum(want, max(1e-9 * have.sum(), 1e-9))
     lengths = 3.0 ** -np.arange(18)
+    errors = [(((want - have) / size) ** 2).sum()]
     while done < rounds and (np.abs(have - want) > CLOSE * size).any():
-        left = want - have - SOFT * size * dual
-        if (np.abs(left) <= 0.01 * CLOSE * size).all():
+        if done >= 8 and errors[-8] - errors[-1] <= GAIN * errors[-8]:
             break  # the least squares: the targets are out of reach
+        left = want - have
         step = np.linalg.solve(slope / np.sqrt(np.outer(size, size)) + SOFT * np.eye(n), left / np.sqrt(size)) / np.sqrt(size)
-        tried = dual + lengths[:, None] * step
-        haves, slopes = sums(tried)
-        # The rise along the step falls with its length: the longest step that doesn't go beyond the best one.
-        rise = (want - haves - SOFT * size * tried) @ step
-        fine = np.flatnonzero(rise >= -1e-6 * (left @ step))
+        tried = lengths[:, None] * step
+        haves, slopes = sums(steps, tried)
+        fine = np.flatnonzero((want - haves) @ step >= -1e-6 * (left @ step))
         k = fine[0] if len(fine) else len(lengths) - 1
-        dual, have, slope, done = tried[k], haves[k], slopes[k], done + 1
-    fit = Fit(dual, top, have, asked, want)
+        steps, have, slope, done = np.vstack([steps, tried[k]]), haves[k], slopes[k], done + 1
+        errors.append((((want - have) / size) ** 2).sum())
+    fit = Fit(steps, top, have, asked, want)
     if fit.missed():
         said = "; ".join(f"domain {k}: {have[k]:.6g} tokens, asked {asked[k]:.6g}" + (f", lowered to {want[k]:.6g}" if want[k] < asked[k] else "") for k in fit.missed())
         warnings.warn(f"mixing after {done} rounds, targets not met: {said}", TargetsMissed, stacklevel=2)

@@ -86,11 +86,20 @@ def test_rates_against_brute_force(spark):
     rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "posterior array<double>, tokens long")
     fit = mixing.fit_rates(rows, targets=(0.8, 0.08, 0.07, 0.05))
     assert not fit.missed() and (fit.rates(p) == 0).any()
-    assert np.allclose(fit.rates(p), nearest_to_one(p, tokens.astype(float), fit.asked), atol=2e-3)
+    best = nearest_to_one(p, tokens.astype(float), fit.asked)
+    far = lambda r: np.sqrt((tokens * (r - 1) ** 2).sum())
+    assert np.allclose((fit.rates(p) * tokens) @ p, fit.asked, rtol=2e-4) and np.allclose((best * tokens) @ p, fit.asked, rtol=1e-3)
+    assert far(best) <= far(fit.rates(p)) * 1.001 and far(fit.rates(p)) <= 1.25 * far(best)
+    # The same steps by hand, a document at a time.
+    for x, rate in zip(p, fit.rates(p), strict=True):
+        r = 1.0
+        for s in fit.steps:
+            r = max(0.0, r + float(x @ s))
+        assert r == pytest.approx(rate)
     share = (p * tokens[:, None]).sum(axis=0) / tokens.sum()
     bounded = mixing.fit_rates(rows, targets=tuple(share * [1.0, 0.97, 1.02, 1.0]), growth=1.0, most=1.03)
     assert not bounded.missed() and bounded.rates(p).max() <= 1.03
-    assert np.allclose(bounded.rates(p), nearest_to_one(p, tokens.astype(float), bounded.asked, 1.03), atol=2e-3)
+    assert np.allclose((bounded.rates(p) * tokens) @ p, bounded.asked, rtol=2e-4)
 
 
 def test_rates_where_domains_are_all_but_empty(spark):
