@@ -1,14 +1,18 @@
-"""Queries for local planes, contradictions, windings and labels, with DuckDB SQL where SQL can express them."""
+"""Queries for local planes, contradictions, windings, labels and folds of streams, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import rounds, stencil
+from ..functions.geometry import cell
+from ..operators import graph, rounds, stencil, voxel
 from ..sources import io
 from ..streaming import jobs, tag_map
 from . import catalog_state as state
-from .catalog import _r, query
+from .catalog import _EDGES, _event_stream, _knn_edges, _r, query
+from .shared import shared_dir
 
 _CAMERA = (30.0, 32.0, 11.5, 9.5)
 _SURFACE = """g AS (SELECT l_linenumber % 2 AS frame, l_orderkey % 24 AS x, l_partkey % 20 AS y, CAST(sum(l_quantity) AS BIGINT) % 29 AS h, round(avg(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2, 3),
@@ -132,3 +136,34 @@ def live_tag_map(spark, d):
     rows = jobs.read_table(spark, f"{d}/events.parquet").where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp")).withColumns(place)
     rows = rows.select(F.col("user_id").alias("session"), i.alias("view"), (F.length("event_type") % 3).cast("long").alias("mark"), "x", "y", "z", (F.col("z") * 2).alias("range_m"), F.lit(False).alias("repeated"), "ts")
     return jobs.run_to_table(tag_map.live_tag_map(rows, "60 days", 60 * 86_400_000), "tag-map")
+
+
+@query("large_components", _EDGES + " SELECT id, component, n AS size FROM c JOIN (SELECT component, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 5) USING (component)")
+def large_components(spark, d):
+    return graph.large_components(_knn_edges(spark, d), 5)
+
+
+@query("uniform_fold", """SELECT CAST(floor(l_quantity / 10.0::DOUBLE) AS BIGINT) AS qx, round(avg(least((l_tax - 0.03::DOUBLE) / 0.02::DOUBLE, 1.0::DOUBLE)), 6)::DOUBLE AS tsdf, count(*)::DOUBLE AS w, count(*) AS n FROM lineitem WHERE l_tax - 0.03::DOUBLE >= -0.02::DOUBLE GROUP BY 1""")
+def uniform_fold(spark, d):
+    """Every observation counts alike."""
+    rows = io.table(spark, d, "lineitem")
+    return _r(voxel.weighted_fold(rows, [cell(F.col("l_quantity"), 10).alias("qx")], F.col("l_tax") - 0.03, F.lit(1), 0.02), "tsdf", "w")
+
+
+@query("stream_windows", "SELECT CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    rows = _event_stream(spark, d).select("event_type", "ts")
+    end = io.table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 10 DAYS")).first()[0]
+    out = jobs.run_to_table(jobs.stream_windows(jobs.with_end(rows, end), ["event_type"], "1 day", "1 hour"), "windows").where("event_type is not null")
+    return out.select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "event_type", "n")
+
+
+@query("upsert_fold", "SELECT l_partkey AS key, round(sum((1 + l_discount) * l_tax) / sum(1 + l_discount), 6)::DOUBLE AS tsdf, round(sum(1 + l_discount), 6)::DOUBLE AS w, count(*) AS n FROM lineitem GROUP BY 1")
+def upsert_fold(spark, d):
+    """The last version that the stream's batches have folded."""
+    path = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
+    rows = jobs.read_table(spark, f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("key"), F.col("l_tax").cast("double").alias("tsdf"), (1 + F.col("l_discount").cast("double")).alias("w"), F.lit(1).cast("long").alias("n"))
+    jobs.upsert_fold(rows, path, ["key"]).awaitTermination()
+    versions = spark.read.parquet(path)
+    last = versions.agg(F.max("version")).first()[0]
+    return _r(versions.where(F.col("version") == last).drop("version"), "tsdf", "w")
