@@ -14,14 +14,26 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialise, shared_dir
 from .elias_fano import Levels, pack, write_shared
 
-#: Trees, bits of a tree's hash strings, and the power of a shard's rows that the trees offer together, with MORE, before the ascent ends (distinct rows).
+#: Trees, bits of a tree's hash strings, and the power of a band's rows that the trees offer together, with MORE, before the ascent ends (distinct rows).
 TREES, BITS, POWER, MORE = 64, 32, 0.9, 128
 #: Rows of a shard, and queries that meet a shard at once, at most about; partitions of their meetings, at most.
 SHARD, QUERIES, VISITS = 32_768, 4_096, 10_000
+#: A band of a shard has rows down to 1 / RATIO of its longest one's length, and LEAST rows at least, if there are.
+RATIO, LEAST = 1.25, 256
+
+
+def band_ends(lengths: np.ndarray) -> np.ndarray:
+    """Where the bands of rows by falling length end."""
+    ends, start = [], 0
+    while start < len(lengths):
+        alike = int(np.searchsorted(-lengths, -lengths[start] / RATIO, side="right"))
+        start = min(max(alike, start + LEAST), len(lengths))
+        ends.append(start)
+    return np.array(ends, np.int64)
 
 
 class Forest:
-    """Sorted arrays of long hash strings, one per tree, over one shard's vectors.
+    """Sorted arrays of long hash strings, one per tree, over vectors of about one length.
 
     A string's bits are sides of random planes. Vectors get one more component
     that makes their lengths equal, so that nearness of direction is nearness
@@ -37,22 +49,17 @@ class Forest:
         self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
         self.keys = np.take_along_axis(keys.T, self.order, axis=1)
 
+    @classmethod
+    def of(cls, exact: np.ndarray, vectors: np.ndarray, planes: np.ndarray, order: np.ndarray, keys: np.ndarray) -> Forest:
+        """A forest made before."""
+        own = cls.__new__(cls)
+        own.exact, own.vectors, own.planes, own.order, own.keys = exact, vectors, planes, order, keys
+        return own
+
     @staticmethod
     def _planes(dimensions: int, trees: int, seed: int) -> np.ndarray:
         return np.random.default_rng(seed).standard_normal((dimensions + 1, trees * BITS), np.float32)
 
-    def image(self, ids: np.ndarray) -> bytes:
-        """The forest and its rows' ids as a file that Forest.mapped reads."""
-        return pack(ids=ids, exact=self.exact, vectors=self.vectors, order=self.order, keys=self.keys)
-
-    @classmethod
-    def mapped(cls, path: str, seed: int = 7) -> tuple[Forest, np.ndarray]:
-        """A forest in a file of the shared folder, memory-mapped, and its rows' ids."""
-        own, level = cls.__new__(cls), Levels.from_path(path)
-        own.exact, own.vectors, own.order, own.keys = level.exact, level.vectors, level.order, level.keys
-        own.planes = cls._planes(own.vectors.shape[1], len(own.keys), seed)
-        return own, level.ids
-
     def _strings(self, vectors: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = []
         for k in range(0, len(vectors), 2048):
@@ -66,7 +73,7 @@ class Forest:
 
         Each tree is descended to the longest prefix that it shares with the
         query; then all trees ascend together, a bit at a time, until they
-        offer k distinct rows, and MORE and the shard's rows to the power
+        offer k distinct rows, and MORE and the band's rows to the power
         given, or all there are. A level is taken whole.
         """
         n, trees = len(self.vectors), len(self.keys)
@@ -102,23 +109,66 @@ class Forest:
                 seen[found] = False
                 yield found
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, power: float = POWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+class Shard:
+    """Forests over one shard's vectors, a band of lengths each, the longest vectors first.
+
+    In one forest over all, the component that evens out lengths would drown
+    the directions of short vectors. A query goes through the bands in order
+    and leaves off where no vector of a band is long enough to come among its
+    best ones, which loses nothing.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES, seed: int = 7):
+        lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
+        order = np.argsort(-lengths, kind="stable")
+        self.ids, self.lengths, self.ends = ids[order], lengths[order], band_ends(lengths[order])
+        exact = vectors[order]
+        self.bands = [Forest(exact[a:b], trees, seed) for a, b in self._spans()]
+
+    def _spans(self) -> list[tuple[int, int]]:
+        return list(zip([0, *self.ends[:-1]], self.ends, strict=True)) if len(self.ends) else []
+
+    def image(self) -> bytes:
+        """The shard as a file that Shard.mapped reads."""
+        join = lambda name, axis: np.concatenate([getattr(f, name) for f in self.bands], axis=axis)
+        return pack(ids=self.ids, lengths=self.lengths, ends=self.ends, exact=join("exact", 0), vectors=join("vectors", 0), order=join("order", 1), keys=join("keys", 1))
+
+    @classmethod
+    def mapped(cls, path: str, seed: int = 7) -> Shard:
+        """A shard in a file of the shared folder, memory-mapped."""
+        own, level = cls.__new__(cls), Levels.from_path(path)
+        own.ids, own.lengths, own.ends = level.ids, level.lengths, level.ends
+        planes = Forest._planes(level.vectors.shape[1], len(level.keys), seed)
+        own.bands = [Forest.of(level.exact[a:b], level.vectors[a:b], planes, level.order[:, a:b], level.keys[:, a:b]) for a, b in own._spans()]
+        return own
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, power: float = POWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, score) of each query's k best candidates, by double-precision inner products, ties to smaller ids."""
-        out_q, out_i, out_s = [], [], []
-        spread = 4e-6 * float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
-        order = np.argsort(ids, kind="stable")
-        left, right = (np.searchsorted(ids, query_ids, side, sorter=order) for side in ("left", "right"))
-        own = [order[a:b] for a, b in zip(left, right, strict=True)]
-        for q, found in enumerate(self.candidates(queries, power, own, k)):
-            rough = self.vectors[found] @ queries[q].astype(np.float32)
-            if len(found) > k:
-                least = np.partition(rough, -k)[-k]
-                found = found[rough >= least - spread * float(np.linalg.norm(queries[q]))]
-            score = self.exact[found].astype(np.float64) @ queries[q].astype(np.float64)
-            best = np.lexsort((ids[found], -score))[:k]
-            out_q.append(np.full(len(best), q)), out_i.append(ids[found[best]]), out_s.append(score[best])
+        asked = queries.astype(np.float64)
+        sizes = np.linalg.norm(asked, axis=1)
+        ids, scores = [np.zeros(0, np.int64)] * len(asked), [np.zeros(0, np.float64)] * len(asked)
+        worst = np.full(len(asked), -np.inf)  # a query's k-th best score so far
+        for forest, (start, end) in zip(self.bands, self._spans(), strict=True):
+            longest = float(self.lengths[start])
+            open_ = np.flatnonzero(worst <= longest * sizes * (1 + 1e-9))
+            band = self.ids[start:end]
+            order = np.argsort(band, kind="stable")
+            left, right = (np.searchsorted(band, query_ids[open_], side, sorter=order) for side in ("left", "right"))
+            own = [order[a:b] for a, b in zip(left, right, strict=True)]
+            for q, found in zip(open_, forest.candidates(queries[open_], power, own, k), strict=True):
+                if len(found) > k:
+                    rough = forest.vectors[found] @ queries[q].astype(np.float32)
+                    found = found[rough >= np.partition(rough, -k)[-k] - 4e-6 * longest * sizes[q]]
+                all_ids = np.concatenate([ids[q], band[found]])
+                all_scores = np.concatenate([scores[q], forest.exact[found].astype(np.float64) @ asked[q]])
+                best = np.lexsort((all_ids, -all_scores))[:k]
+                ids[q], scores[q] = all_ids[best], all_scores[best]
+                if len(best) == k:
+                    worst[q] = scores[q][-1]
+        rows = np.repeat(np.arange(len(asked)), [len(x) for x in ids])
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return join(out_q, np.int64), join(out_i, np.int64), join(out_s, np.float64)
+        return rows, join(ids, np.int64), join(scores, np.float64)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -129,7 +179,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_forests(rows: DataFrame) -> DataFrame:
-    """(dim, shard, path): every row indexed once; each shard of about SHARD rows, dealt by a hash, is a forest in a file of the shared folder."""
+    """(dim, shard, path): every row indexed once; each shard of about SHARD rows, dealt by a hash, is a file of forests, one a band of lengths, of the shared folder."""
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     shards = max(1, math.ceil(rows.count() / SHARD))
@@ -139,7 +189,7 @@ def build_forests(rows: DataFrame) -> DataFrame:
         dim, shard = group.column("dim")[0].as_py(), group.column("shard")[0].as_py()
         ids, v = group.column("id").to_numpy(), _vectors(group)
         path = f"{folder}/{dim}-{shard}"
-        write_shared(path, Forest(v).image(ids))
+        write_shared(path, Shard(ids, v).image())
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [path]})
 
     return materialise(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, path string"), "forests")
@@ -169,9 +219,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     visits = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).join(broadcast_if_small(forests), "dim")
 
     def visit(group: pa.Table) -> pa.Table:
-        forest, rows = Forest.mapped(group.column("path")[0].as_py())
+        shard = Shard.mapped(group.column("path")[0].as_py())
         ids, v = group.column("id").to_numpy(), _vectors(group)
-        q, i, s = forest.search(rows, v, ids, k, power)
+        q, i, s = shard.search(v, ids, k, power)
         mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in v], np.uint64).view(np.int64)
         return pa.table({"query_id": ids[q], "mark": mark[q], "vec_id": i, "score": s})
 

@@ -197,13 +197,29 @@ def test_small_forests_against_brute_force(n, spread):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     v *= rng.lognormal(0, spread, (n, 1)).astype(np.float32)
     ids = np.arange(n)
-    q, i, _ = ann.Forest(v).search(ids, v, ids, 20)
+    q, i, _ = ann.Shard(ids, v).search(v, ids, 20)
     s = v.astype(np.float64) @ v.astype(np.float64).T
     np.fill_diagonal(s, -np.inf)
     for k in ids:
         assert i[q == k].tolist() == np.argsort(-s[k], kind="stable")[: min(20, n - 1)].tolist()
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+@pytest.mark.parametrize("n", [2_000, 10_000])
+def test_recall_at_unequal_lengths(n, spread):
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= rng.lognormal(0, spread, (n, 1)).astype(np.float32)
+    asked = np.arange(0, n, 50)
+    q, i, score = ann.Shard(np.arange(n), v).search(v[asked], asked, 20)
+    s = v[asked].astype(np.float64) @ v.astype(np.float64).T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    hits = sum(len(set(best[k]) & set(i[q == k])) for k in range(len(asked)))
+    assert hits >= 0.9 * best.size and np.array_equal(score, np.sort(score.reshape(-1, 20))[:, ::-1].ravel())
+
+
 def test_pipeline_runs_over_its_stages(spark):
     import corpus_pipeline
 
