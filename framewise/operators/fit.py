@@ -191,7 +191,11 @@ def place_votes(matches: DataFrame, query: str, label: str) -> DataFrame:
 
 
 def independent_supports(supports: DataFrame, bridge: str, a: str, b: str) -> DataFrame:
-    """Bridges with two supports that share neither camera."""
-    other = supports.select(bridge, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    pairs = supports.join(other, bridge).where((F.col(a) != F.col("_a")) & (F.col(b) != F.col("_b")))
-    return pairs.select(bridge).distinct()
+    """Bridges with two supports that share neither camera.
+
+    Supports of which any two share an end all share one, so there are two
+    apart just where both ends take more than one value: one aggregation.
+    """
+    known = supports.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(bridge).isNotNull())
+    ends = known.groupBy(bridge).agg(*(f(c).alias(f"_{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k, c in enumerate((a, b))))
+    return ends.where("_lo0 <> _hi0 and _lo1 <> _hi1").select(bridge)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from framewise.plans import catalog, catalog_more, catalog_rounds, catalog_session, catalog_surface  # noqa: F401
+from framewise.plans import catalog, catalog_merging, catalog_more, catalog_rounds, catalog_session, catalog_surface  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
