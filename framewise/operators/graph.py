@@ -188,12 +188,14 @@ def boundary_checks(ties: DataFrame, poses: DataFrame, ident: str, old: str, new
     """ties (src, dst) with moved, turned and reason: how far new poses change the relative pose that a tie was measured at.
 
     reason: missing (a pose that is null or not there), not_rigid, too_far, or
-    kept. Two equi-joins; repeated ties are judged alike.
+    kept. Two equi-joins, merged, as poses take many times the bytes of what
+    they are computed from and are never broadcast; repeated ties are judged
+    alike.
     """
     own = poses.select(F.col(ident).alias("_id"), F.col(old).alias("_old"), F.col(new).alias("_new"))
     met = ties
     for side in ("src", "dst"):
-        met = met.join(own.select(F.col("_id").alias(side), F.col("_old").alias(f"_old_{side}"), F.col("_new").alias(f"_new_{side}")), side, "left")
+        met = met.join(own.select(F.col("_id").alias(side), F.col("_old").alias(f"_old_{side}"), F.col("_new").alias(f"_new_{side}")).hint("merge"), side, "left")
     met = met.withColumns({f"_{k}": _between(F.col(f"_{k}_dst"), F.col(f"_{k}_src")) for k in ("old", "new")})
     known = F.forall(F.concat("_old", "_new"), lambda v: v.isNotNull())
     met = met.withColumn("_change", _between(F.col("_old"), F.col("_new")))
