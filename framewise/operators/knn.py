@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell
+from ..plans.shared import materialise
 
 BLOCK = 1024
 
@@ -79,17 +81,36 @@ def reciprocal_shortlist(rows: DataFrame, ident: str, vector: str, nearest: int
 def radius_nearest(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: float, ident: str, decimals: int = 9) -> DataFrame:
     """Each row of a with the nearest row of b strictly within radius: a_id, b_id, distance; distances are rounded to decimals, ties go to the smaller id.
 
-    Points meet by grid cells as wide as the radius and their neighbours.
+    Rows of one place are one point, of b that of the smallest id. Points meet
+    by grid cells and their neighbours, first by fine cells, which hold a few
+    points each where points lie dense; a point with none nearer than a cell's
+    width goes on to cells four times as wide, up to the radius.
     """
     keys = [f"_c{k}" for k in range(len(axes))]
     offsets = list(itertools.product((-1, 0, 1), repeat=len(axes)))
     moves = F.explode(F.array(*(F.struct(*(F.lit(o).alias(k) for o, k in zip(move, keys, strict=True))) for move in offsets)))
-    left = a.select(F.col(ident).alias("a_id"), *(F.col(x).alias(f"_a{x}") for x in axes), *(cell(F.col(x), radius).alias(k) for x, k in zip(axes, keys, strict=True)))
-    right = b.select(F.col(ident).alias("b_id"), *(F.col(x).alias(f"_b{x}") for x in axes), moves.alias("_m"))
-    right = right.select("b_id", *(f"_b{x}" for x in axes), *((cell(F.col(f"_b{x}"), radius) + F.col("_m")[k]).alias(k) for x, k in zip(axes, keys, strict=True)))
-    d = F.sqrt(sum((F.pow(F.col(f"_a{x}") - F.col(f"_b{x}"), 2) for x in axes), F.lit(0.0)))
-    met = left.join(right, keys).withColumn("distance", F.round(d, decimals)).where(d < radius)
-    return met.groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("_b")).select("a_id", "_b.b_id", "_b.distance")
+    at = {side: [f"_{side}{x}" for x in axes] for side in "ab"}
+    left = materialise(a.select(*(F.col(x).alias(f"_a{x}") for x in axes)).distinct(), "asked-places")
+    spots = materialise(b.groupBy(*(F.col(x).alias(f"_b{x}") for x in axes)).agg(F.min(ident).alias("b_id")), "places")
+    d = F.sqrt(sum((F.pow(F.col(p) - F.col(q), 2) for p, q in zip(at["a"], at["b"], strict=True)), F.lit(0.0)))
+    per = spots.groupBy(*(cell(F.col(x), radius).alias(k) for x, k in zip(at["b"], keys, strict=True))).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    dense = per.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0  # points of the cell of a point, on average
+    found = None
+    for level in range(math.ceil(math.log(dense / 32, 4 ** len(axes))) if dense > 64 else 0, -1, -1):
+        width = radius / 4**level
+        here = left.select(*at["a"], *(cell(F.col(x), width).alias(k) for x, k in zip(at["a"], keys, strict=True)))
+        there = spots.select("b_id", *at["b"], moves.alias("_m"))
+        there = there.select("b_id", *at["b"], *((cell(F.col(x), width) + F.col("_m")[k]).alias(k) for x, k in zip(at["b"], keys, strict=True)))
+        met = here.join(there.hint("merge"), keys).withColumn("distance", F.round(d, decimals)).where(d < radius)
+        near = met.groupBy(*at["a"]).agg(F.min(F.struct("distance", "b_id")).alias("_b"))
+        if level:  # what may tie after rounding lies within the width too
+            near = near.where(F.col("_b.distance") + 2 * 10.0**-decimals < width)
+        near = materialise(near, "near-places")
+        found = near if found is None else found.unionByName(near)
+        if level:
+            left = materialise(left.join(near.hint("merge"), at["a"], "left_anti"), "asked-places")
+    rows = a.select(F.col(ident).alias("a_id"), *(F.col(x).alias(f"_a{x}") for x in axes))
+    return rows.join(found.hint("merge"), at["a"]).groupBy("a_id").agg(F.min("_b").alias("_b")).select("a_id", "_b.b_id", "_b.distance")
 
 
 def bin_join(a: DataFrame, b: DataFrame, bins: list[str], ident: str, per_bucket: int = 6) -> DataFrame:
@@ -125,7 +146,7 @@ def with_earlier_results(pairs: DataFrame, results: DataFrame, keys: list[str])
 
 def surface_agreement(near: DataFrame, a: DataFrame, b: DataFrame, distance: float = 0.03, cosine: float = 0.85) -> DataFrame:
     """near (a_id, b_id, distance) with agrees: close, and normals (id, nx, ny, nz) along one line."""
-    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), *(F.col(f"n{x}").alias(f"_{n}{x}") for x in "xyz"))
+    side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), *(F.col(f"n{x}").alias(f"_{n}{x}") for x in "xyz")).hint("merge")
     dot = F.abs(F.col("_ax") * F.col("_bx") + F.col("_ay") * F.col("_by") + F.col("_az") * F.col("_bz"))
     return near.join(side(a, "a"), "a_id").join(side(b, "b"), "b_id").select("a_id", "b_id", "distance", ((F.col("distance") < distance) & (dot > cosine)).alias("agrees"))
 
@@ -135,6 +156,6 @@ def cloud_gap(a: DataFrame, b: DataFrame, axes: tuple[str, ...], radius: float,
 
     def mean(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
         near = radius_nearest(one, other, axes, radius, ident).select(F.col("a_id").alias(ident), "distance")
-        return one.select(ident).join(near, ident, "left").agg(F.avg(F.coalesce("distance", F.lit(radius))).alias(name))
+        return one.select(ident).join(near.hint("merge"), ident, "left").agg(F.avg(F.coalesce("distance", F.lit(radius))).alias(name))
 
     return mean(a, b, "forward").crossJoin(mean(b, a, "backward")).withColumn("symmetric", (F.col("forward") + F.col("backward")) / 2)

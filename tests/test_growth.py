@@ -1,8 +1,10 @@
 """Work that must not grow with the square of copies, and joins that must not broadcast what they compute."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from framewise.operators import graph
+from framewise.operators import graph, knn
 
 
 def plan(df):
@@ -15,3 +17,24 @@ def test_boundary_checks_broadcast_no_poses(spark):
     got = graph.boundary_checks(spark.range(3).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), poses, "id", "old", "new")
     assert "BroadcastHashJoin" not in plan(got)
     assert {r.reason for r in got.collect()} == {"kept"}
+
+
+def test_copies_of_places_meet_as_one(spark):
+    points = spark.range(160000).select("id", (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    a, b = points.where("id % 2 = 0"), points.where("id % 2 = 1")
+    near = knn.radius_nearest(a, b, ("x", "y"), 3.0, "id")
+    assert near.groupBy("b_id").count().count() == 5 and near.agg(F.max("distance"), F.count("*")).first()[:] == (0.0, 80000)
+    assert knn.cloud_gap(a, b, ("x", "y"), 3.0, "id").first().symmetric == 0.0
+
+
+def test_dense_places_by_finer_cells(spark):
+    rng = random.Random(3)
+    make = lambda n, at: [(at + k, rng.choice((rng.random(), 9 * rng.random())), rng.random()) for k in range(n)]
+    a, b = make(300, 0), make(400, 1000)
+    got = {r.a_id: (r.b_id, r.distance) for r in knn.radius_nearest(*(spark.createDataFrame(x, "id long, x double, y double") for x in (a, b)), ("x", "y"), 1.0, "id").collect()}
+    want = {}
+    for i, x, y in a:
+        d, j = min((((x - p) ** 2 + (y - q) ** 2) ** 0.5, j) for j, p, q in b)
+        if d < 1:
+            want[i] = (j, round(d, 9))
+    assert got == want
