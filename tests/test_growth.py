@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framewise.operators import graph, knn
+from framewise.operators import graph, knn, marks
 
 
 def plan(df):
@@ -38,3 +38,12 @@ def test_dense_places_by_finer_cells(spark):
         if d < 1:
             want[i] = (j, round(d, 9))
     assert got == want
+
+
+def test_marks_of_one_shape_meet_as_one(spark):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    square = F.array(corner(0.0, 0.0), corner(30.0, 0.0), corner(30.0, 30.0), corner(0.0, 30.0))
+    rows = spark.range(60000).select(F.lit(0).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
+    alone = spark.range(1).select(F.lit(1).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
+    got = marks.mark_gate(rows.unionByName(alone), "frame", "id", "mark", "corners").groupBy("frame", "state").count().collect()
+    assert {tuple(r) for r in got} == {(0, "overlapping", 60000), (1, "usable", 1)}
