@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,12 @@ from ..plans.shared import materialise
 from .score import first_reason
 
 
+def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(a, b) of each edge and of its reverse; edges are computed once."""
+    ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ((src, dst), (dst, src))]
+    return edges.select(F.explode(F.array(*ends)).alias("_e")).select("_e.a", "_e.b")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
     """(id, component): each vertex of an edge and the smallest id that it reaches.
 
@@ -18,8 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     grow with the logarithm of the diameter. Each round is written to the
     shared folder. Null ends make no edge; an empty table gives no rows.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = materialise(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = materialise(_both_ways(edges, src, dst).where("a is not null and b is not null").distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "components")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -45,9 +53,7 @@ def conflict_free(components: DataFrame, members: DataFrame, ident: str, view: s
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", directed: bool = False, rounds: int = 1000) -> DataFrame:
     """(id, hops) of all vertices reached from roots (id)."""
-    out = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    if not directed:
-        out = out.unionAll(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    out = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")) if directed else _both_ways(edges, src, dst)
     out = materialise(out.distinct(), "edges")
     known = front = materialise(roots.select("id").distinct().withColumn("hops", F.lit(0)), "reached")
     for hop in range(1, rounds + 1):
@@ -59,25 +65,65 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     raise RuntimeError(f"the frontier did not end in {rounds} rounds")
 
 
-def spanning_forest(edges: DataFrame, score: str, src: str = "src", dst: str = "dst", rounds: int = 64, first: str | None = None) -> DataFrame:
+def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (_ca, _cb, _rank), given in order, that join two trees."""
+    up: dict = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for batch in batches:
+        joins = []
+        for a, b in zip(batch.column("_ca").to_pylist(), batch.column("_cb").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            joins.append(a != b)
+            up[a] = b
+        yield batch.filter(pa.array(joins, pa.bool_()))
+
+
+def _roots(best: DataFrame, rounds: int) -> DataFrame:
+    """(c, root) of components (c, p) that each follow one best edge to p: the smaller of the two that follow one edge is the root, the others jump twice as far each time."""
+    up = lambda df: df.select(F.col("c").alias("p"), F.col("p").alias("_up"))
+    loose = best.join(up(best), "p").select("c", F.when((F.col("_up") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
+    jumps = materialise(loose, "forest-jump")
+    for _ in range(rounds):
+        jumps = materialise(jumps.join(up(jumps), "p").select("c", F.col("_up").alias("p"), (F.col("_up") != F.col("p")).alias("_moved")), "forest-jump")
+        if jumps.where("_moved").isEmpty():
+            return jumps.select("c", F.col("p").alias("root"))
+        jumps = jumps.select("c", "p")
+    raise RuntimeError(f"the forest did not end in {rounds} rounds")
+
+
+def spanning_forest(edges: DataFrame, score: str, src: str = "src", dst: str = "dst", rounds: int = 64, first: str | None = None, finish: int = 16384) -> DataFrame:
     """The maximum spanning forest by (first, -score, src, dst): Boruvka rounds, each an aggregation over the edges between components.
 
     With that total order the forest equals the one that takes edges greedily.
+    A round at least halves the components and keeps the best edge between two
+    of them; the last `finish` edges, a number that doesn't grow with the
+    data, are taken in order by one task.
     """
     rank = F.struct((F.lit(0) if first is None else F.col(first)).alias("f"), (-F.col(score)).alias("s"), F.col(src).alias("a"), F.col(dst).alias("b"))
-    all_ = materialise(edges.where(F.col(src) != F.col(dst)).withColumn("_rank", rank), "edges")
-    taken = all_.where(F.lit(False)).select(src, dst, score)
-    open_ = all_.withColumns({"_ca": F.col(src), "_cb": F.col(dst)})
+    found = lambda df: df.select(F.col("_rank.a").alias(src), F.col("_rank.b").alias(dst), (-F.col("_rank.s")).alias(score))
+    between = lambda a, b: [F.least(a, b).alias("_ca"), F.greatest(a, b).alias("_cb")]
+    open_ = edges.where(F.col(src) != F.col(dst)).groupBy(*between(F.col(src), F.col(dst))).agg(F.min(rank).alias("_rank"))
+    taken = None
     for _ in range(rounds):
-        sides = open_.select(F.col("_ca").alias("c"), "_rank").unionAll(open_.select(F.col("_cb").alias("c"), "_rank"))
-        best = materialise(sides.groupBy("c").agg(F.min("_rank").alias("_rank")).select("_rank").distinct().select((-F.col("_rank.s")).alias(score), F.col("_rank.a").alias(src), F.col("_rank.b").alias(dst)), "forest-step")
-        if best.isEmpty():
-            return taken
-        taken = materialise(taken.unionByName(best.select(src, dst, score)).distinct(), "forest")
-        labels = connected_components(taken, src, dst)
-        a = labels.select(F.col("id").alias(src), F.col("component").alias("_ca"))
-        b = labels.select(F.col("id").alias(dst), F.col("component").alias("_cb"))
-        open_ = materialise(all_.join(a, src, "left").join(b, dst, "left").withColumns({"_ca": F.coalesce("_ca", src), "_cb": F.coalesce("_cb", dst)}).where("_ca <> _cb"), "forest-open")
+        open_ = materialise(open_, "forest-open")
+        if open_.count() <= finish:
+            last = open_.repartition(1).sortWithinPartitions("_rank").mapInArrow(_kruskal, open_.schema)
+            return found(last if taken is None else taken.unionByName(last.select("_rank")))
+        sides = open_.select(F.col("_ca").alias("c"), F.struct("_rank", F.col("_cb").alias("p")).alias("_b")).unionAll(open_.select("_cb", F.struct("_rank", F.col("_ca").alias("p"))))
+        best = materialise(sides.groupBy("c").agg(F.min("_b").alias("_b")).select("c", "_b.p", "_b._rank"), "forest-step")
+        step = best.select("_rank").distinct()
+        taken = step if taken is None else taken.unionByName(step)
+        roots = _roots(best.select("c", "p"), rounds)
+        met = open_
+        for side in ("_ca", "_cb"):
+            met = met.join(roots.select(F.col("c").alias(side), F.col("root").alias(f"{side}_")), side)
+        met = met.where("_ca_ <> _cb_")
+        open_ = met.groupBy(*between(F.col("_ca_"), F.col("_cb_"))).agg(F.min("_rank").alias("_rank"))
     raise RuntimeError(f"the forest did not end in {rounds} rounds")
 
 

@@ -9,11 +9,113 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.geometry import cell
 from ..plans.shared import materialise
 
-BLOCK = 1024
+#: Rows of a block: the fewest, the most, and how many blocks a side is cut into between the two. Pairs looked at in one step.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS, PAIRS = 1024, 16384, 16, 1 << 20
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // MOST_BLOCK), min(BLOCKS, -(-rows // LEAST_BLOCK)))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows; null components are NaN."""
+    flat = column.combine_chunks().flatten() if column.null_count == 0 else None
+    if flat is None or flat.null_count or len(flat) % max(1, len(column)) or len(np.unique(np.diff(column.combine_chunks().offsets.to_numpy()))) > 1:
+        return np.array(column.to_pylist(), np.float64)
+    return flat.to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int) -> np.ndarray:
+    """Distances of the pairs of rows i, j, a bounded number at a time."""
+    step = max(1, PAIRS // max(1, a.shape[1]))
+    parts = [np.round(np.sqrt(((b[j[x : x + step]] - a[i[x : x + step]]) ** 2).sum(axis=1)), decimals) for x in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, k: int, decimals: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among which are each a's k nearest of b, ties of rounded distances too: squares by one product in floats of a kind, with room for its error."""
+    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    wide = np.concatenate([-2 * a, sa[:, None], np.ones((len(a), 1))], axis=1).astype(kind) @ np.concatenate([b, np.ones((len(b), 1)), sb[:, None]], axis=1).astype(kind).T
+    bound = wide
+    if len(b) > 64 * k:  # the k-th of the least ones of groups is no less than the k-th of all
+        each = len(b) // max(8 * k, 256) or 8
+        bound = wide[:, : len(b) // each * each].reshape(len(a), each, -1).min(axis=1)
+    kth = np.partition(bound, k - 1, axis=1)[:, k - 1].astype(np.float64) if k < bound.shape[1] else bound.max(axis=1).astype(np.float64)
+    error = 4 * (a.shape[1] + 8) * np.finfo(kind).eps * (sa + sb.max())
+    reach = np.sqrt(np.maximum(kth + error, 0)) + 2 * 10.0**-decimals
+    limit = ((reach * reach + error) * (1 + 4 * np.finfo(kind).eps)).astype(kind)
+    return np.divmod(np.flatnonzero(wide <= limit[:, None]), len(b))
+
+
+def _best(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, k: int, decimals: int, other: bool) -> list[np.ndarray]:
+    """For each row of a its k nearest of b, by rounded distance and id: ids of both, distances."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    # An id may stand on several rows; all of them are left out.
+    most = k + (int(np.unique(ib, return_counts=True)[1].max()) if other and len(ib) else 0)
+    most = min(most, len(ib))
+    middle = b.mean(axis=0) if len(b) else 0.0
+    with np.errstate(all="ignore"):
+        ca, cb = a - middle, b - middle
+        plain = bool(np.abs(ca).max(initial=0) < 1e15 and np.abs(cb).max(initial=0) < 1e15)
+    step = max(1, PAIRS // max(1, len(b)))
+    for x in range(0, len(a) if len(b) else 0, step):
+        n = len(a[x : x + step])
+        if plain:
+            i, j = _candidates(ca[x : x + step], cb, most, decimals, np.float32)
+            if len(i) > 16 * most * n:
+                i, j = _candidates(ca[x : x + step], cb, most, decimals, np.float64)
+        else:  # components that are not finite or overflow: every pair
+            i, j = (g.ravel() for g in np.indices((n, len(b))))
+        if other:
+            apart = ia[x + i] != ib[j]
+            i, j = i[apart], j[apart]
+        with np.errstate(all="ignore"):
+            d = _apart(a[x : x + step], b, i, j, decimals)
+        order = np.lexsort((ib[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((ia[x + i[first]], ib[j[first]], d[first]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _met(a: DataFrame, b: DataFrame, k: int, ident: str, vector: str, decimals: int, other: bool, both: bool) -> DataFrame:
+    """The k nearest of each row in each block of the other side: back (whether the row is of b), a_id, b_id, distance.
+
+    A side met with itself meets each pair of blocks once, for both of them.
+    """
+    own = a is b
+    n_a = _blocks(a.count())
+    n_b = n_a if own else _blocks(b.count())
+    whole = F.col(vector) if a.schema[vector].dataType == b.schema[vector].dataType == ArrayType(FloatType()) else F.col(vector).cast("array<double>")
+    part = lambda n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+    side = lambda df, ask, n, lo, hi: df.select(F.lit(ask).alias("ask"), part(n).alias("_p"), F.col(ident).cast("long").alias("id"), whole.alias("v")).withColumn("_o", F.explode(F.sequence(lo, hi)))
+    p, zero = F.col("_p"), F.lit(0)
+    left = side(a, True, n_a, p if own else zero, F.lit(n_b - 1)).select("ask", p.alias("x"), F.col("_o").alias("y"), "id", "v")
+    right = side(b, False, n_b, zero, p if own else F.lit(n_a - 1)).select("ask", F.col("_o").alias("x"), p.alias("y"), "id", "v")
+
+    def meet(group: pa.Table) -> pa.Table:
+        ask, ids, v = group.column("ask").to_numpy(), group.column("id").to_numpy(), _matrix(group.column("v"))
+        q, qi, r, ri = v[ask], ids[ask], v[~ask], ids[~ask]
+        there = _best(q, qi, r, ri, k, decimals, other)
+        back = [c[:0] for c in there]
+        if both or own and group.column("x")[0] != group.column("y")[0]:
+            back = _best(r, ri, q, qi, k, decimals, other)
+        cat = [np.concatenate(c) for c in zip(there, back, strict=True)]
+        side = np.repeat([bool(0), both], [len(there[0]), len(back[0])])
+        return pa.table({"back": side, "a_id": cat[0], "b_id": cat[1], "distance": cat[2]})
+
+    pairs = n_a * (n_a + 1) // 2 if own else n_a * n_b
+    return left.unionByName(right).repartition(pairs, "x", "y").groupBy("x", "y").applyInArrow(meet, "back boolean, a_id long, b_id long, distance double")
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    own = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    return met.select("a_id", "b_id", "distance").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
 def nearest_k(a: DataFrame, b: DataFrame, k: int, ident: str, vector: str, decimals: int = 6, other: bool = False) -> DataFrame:
@@ -21,57 +123,43 @@ def nearest_k(a: DataFrame, b: DataFrame, k: int, ident: str, vector: str, decim
 
     Exact and in blocks: rows are dealt into blocks, block pairs meet in
     tasks that keep k per row, and a ranking joins them, so that neither side
-    is broadcast and no pair of rows is shuffled. Distances are rounded to
-    decimals before ranking; ties go to the smaller id. other leaves out equal
-    ids.
+    is broadcast and no pair of rows is shuffled. A product of matrices finds
+    the pairs that may be among the k; these are measured exactly. Distances
+    are rounded to decimals before ranking; ties go to the smaller id. other
+    leaves out equal ids. The same DataFrame on both sides takes half the work.
     """
-    n_a, n_b = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
-    left = a.select(F.lit(True).alias("ask"), part(n_a).alias("x"), every(n_b).alias("y"), F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    right = b.select(F.lit(False).alias("ask"), every(n_a).alias("x"), part(n_b).alias("y"), F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return _ranked(_met(a, b, k, ident, vector, decimals, other, False), k)
 
-    def meet(group: pa.Table) -> pa.Table:
-        ask, ids = group.column("ask").to_numpy(), group.column("id").to_numpy()
-        v = np.array(group.column("v").to_pylist(), np.float64)
-        qi, ri, q, r = ids[ask], ids[~ask], v[ask] if len(v) else v, v[~ask] if len(v) else v
-        out: list[list[np.ndarray]] = [[], [], []]
-        for row in range(len(qi) if len(ri) else 0):
-            d = np.round(np.sqrt(((r - q[row]) ** 2).sum(axis=1)), decimals)
-            order = np.lexsort((ri, d))
-            if other:
-                order = order[ri[order] != qi[row]]
-            order = order[:k]
-            out[0].append(np.full(len(order), qi[row])), out[1].append(ri[order]), out[2].append(d[order])
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"a_id": cat(out[0], np.int64), "b_id": cat(out[1], np.int64), "distance": cat(out[2], np.float64)})
-
-    met = left.unionByName(right).groupBy("x", "y").applyInArrow(meet, "a_id long, b_id long, distance double")
-    own = Window.partitionBy("a_id").orderBy("distance", "b_id")
-    return met.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+def _both_ways(a: DataFrame, b: DataFrame, k: int, ident: str, vector: str, decimals: int = 6) -> tuple[DataFrame, DataFrame]:
+    """nearest_k of a in b and of b in a, from one pass over the blocks."""
+    if a is b:
+        near = materialise(nearest_k(a, b, k, ident, vector, decimals), "nearest")
+        return near, near
+    met = materialise(_met(a, b, k, ident, vector, decimals, False, True), "nearest")
+    return _ranked(met.where("not back"), k), _ranked(met.where("back"), k)
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, ident: str, vector: str) -> DataFrame:
     """Pairs that are each other's nearest: a_id, b_id, distance."""
-    there = nearest_k(a, b, 1, ident, vector)
-    back = nearest_k(b, a, 1, ident, vector).select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id"))
-    return there.join(back, ["a_id", "b_id"]).select("a_id", "b_id", "distance")
+    there, back = _both_ways(a, b, 1, ident, vector)
+    return there.join(back.select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id")), ["a_id", "b_id"]).select("a_id", "b_id", "distance")
 
 
 def mutual_ratio(a: DataFrame, b: DataFrame, ident: str, vector: str, ratio: float = 0.75) -> DataFrame:
     """Mutual nearest pairs that are nearer, strictly, than ratio times the second nearest, both ways; a second must exist."""
 
-    def passing(x: DataFrame, y: DataFrame) -> DataFrame:
-        two = nearest_k(x, y, 2, ident, vector).groupBy("a_id").agg(F.min_by("b_id", "rank").alias("b_id"), F.min_by("distance", "rank").alias("distance"), F.max("distance").alias("second"), F.count(F.lit(1)).alias("n"))
+    def passing(near: DataFrame) -> DataFrame:
+        two = near.groupBy("a_id").agg(F.min_by("b_id", "rank").alias("b_id"), F.min_by("distance", "rank").alias("distance"), F.max("distance").alias("second"), F.count(F.lit(1)).alias("n"))
         return two.where((F.col("n") == 2) & (F.col("distance") < ratio * F.col("second")))
 
-    back = passing(b, a).select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id"))
-    return passing(a, b).join(back, ["a_id", "b_id"]).select("a_id", "b_id", "distance")
+    there, back = _both_ways(a, b, 2, ident, vector)
+    return passing(there).join(passing(back).select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id")), ["a_id", "b_id"]).select("a_id", "b_id", "distance")
 
 
 def reciprocal_shortlist(rows: DataFrame, ident: str, vector: str, nearest: int = 12, keep: int = 3) -> DataFrame:
     """Pairs i < j among each other's nearest, each id with its keep best."""
-    near = nearest_k(rows, rows, nearest, ident, vector, other=True).select("a_id", "b_id", "distance")
+    near = materialise(nearest_k(rows, rows, nearest, ident, vector, other=True).select("a_id", "b_id", "distance"), "nearest")
     both = near.join(near.select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id")), ["a_id", "b_id"])
     own = Window.partitionBy("a_id").orderBy("distance", "b_id")
     kept = both.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= keep)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framewise.operators import graph, knn, marks
@@ -47,3 +48,44 @@ def test_marks_of_one_shape_meet_as_one(spark):
     alone = spark.range(1).select(F.lit(1).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
     got = marks.mark_gate(rows.unionByName(alone), "frame", "id", "mark", "corners").groupBy("frame", "state").count().collect()
     assert {tuple(r) for r in got} == {(0, "overlapping", 60000), (1, "usable", 1)}
+
+
+def test_nearest_of_ties_and_copies(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.integers(-1, 2, (150, 3)).astype(float), np.repeat(rng.normal(size=(3, 3)), 20, axis=0)])
+    for at, kind in ((0.0, np.float64), (1e5, np.float64)):
+        ids, rows = rng.permutation(len(v)), v.astype(kind) + at
+        for k in (1, 4):
+            got = knn._best(rows, ids, rows, ids, k, 6, True)
+            want = []
+            for t in range(len(rows)):
+                d = np.round(np.sqrt(((rows - rows[t]) ** 2).sum(axis=1)), 6)
+                want += [(ids[t], ids[j], d[j]) for j in [j for j in np.lexsort((ids, d)) if j != t][:k]]
+            assert list(zip(*got, strict=True)) == want
+
+
+def test_nearest_meets_a_side_with_itself_once(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2500, 4))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    twice = rows.select("id", "v")
+    key = lambda df: sorted((r.a_id, r.rank, r.b_id, r.distance) for r in df.collect())
+    got = key(knn.nearest_k(rows, rows, 3, "id", "v", other=True))
+    assert got == key(knn.nearest_k(rows, twice, 3, "id", "v", other=True)) and len(got) == 7500
+    there, back = knn._both_ways(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 1, "id", "v")
+    assert key(back) == key(knn.nearest_k(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), 1, "id", "v")) and there.count() == 1250
+
+
+def test_forest_by_rounds_and_by_its_last_edges(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(4))) for _ in range(150)]
+    up = list(range(60))
+    find = lambda v: v if up[v] == v else find(up[v])
+    want = set()
+    for a, b, s in sorted(set(edges), key=lambda e: (-e[2], e[0], e[1])):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.add((a, b, s))
+    df = spark.createDataFrame(edges, "src long, dst long, score double")
+    for finish in (0, 20, 16384):
+        assert {tuple(r) for r in graph.spanning_forest(df, "score", finish=finish).collect()} == want
