@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewise.operators import graph, knn, marks
+from framewise.operators import graph, knn, marks, sequence
 
 
 def plan(df):
@@ -41,15 +41,6 @@ def test_dense_places_by_finer_cells(spark):
     assert got == want
 
 
-def test_marks_of_one_shape_meet_as_one(spark):
-    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
-    square = F.array(corner(0.0, 0.0), corner(30.0, 0.0), corner(30.0, 30.0), corner(0.0, 30.0))
-    rows = spark.range(60000).select(F.lit(0).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
-    alone = spark.range(1).select(F.lit(1).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
-    got = marks.mark_gate(rows.unionByName(alone), "frame", "id", "mark", "corners").groupBy("frame", "state").count().collect()
-    assert {tuple(r) for r in got} == {(0, "overlapping", 60000), (1, "usable", 1)}
-
-
 def test_nearest_of_ties_and_copies(spark):
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.integers(-1, 2, (150, 3)).astype(float), np.repeat(rng.normal(size=(3, 3)), 20, axis=0)])
@@ -89,3 +80,38 @@ def test_forest_by_rounds_and_by_its_last_edges(spark):
     df = spark.createDataFrame(edges, "src long, dst long, score double")
     for finish in (0, 20, 16384):
         assert {tuple(r) for r in graph.spanning_forest(df, "score", finish=finish).collect()} == want
+
+
+def test_marks_of_one_shape_meet_as_one(spark):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    square = F.array(corner(0.0, 0.0), corner(30.0, 0.0), corner(30.0, 30.0), corner(0.0, 30.0))
+    rows = spark.range(60000).select(F.lit(0).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
+    alone = spark.range(1).select(F.lit(1).alias("frame"), "id", F.col("id").alias("mark"), square.alias("corners"))
+    got = marks.mark_gate(rows.unionByName(alone), "frame", "id", "mark", "corners").groupBy("frame", "state").count().collect()
+    assert {tuple(r) for r in got} == {(0, "overlapping", 60000), (1, "usable", 1)}
+
+
+def test_shared_candidates_shuffle_no_pairs(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(4), rng.randrange(300)) for _ in range(700)})
+    df = spark.createDataFrame(rows, "tag long, j long")
+    earlier = {}
+    for tag in range(4):
+        own = [j for t, j in rows if t == tag]
+        for n, j in enumerate(own):
+            every = [4 * q for q in range(max(0, (n - 1) // 4 - 26), (n - 1) // 4 + 1)] if n else []
+            earlier[tag, j] = {own[m] for m in {*range(min(5, n)), *every, *range(max(0, n - 8), n)}}
+    lists = sequence.bank_lists(df, "tag", "j").collect()
+    assert {(r.tag, r.j): set(r.earlier) for r in lists} == earlier and sum(len(r.earlier) for r in lists) == sum(map(len, earlier.values()))
+    want = []
+    for j in {j for _, j in rows}:
+        n = {}
+        for tag in range(4):
+            for i in earlier.get((tag, j), ()):
+                n[i] = n.get(i, 0) + 1
+        want += [(j, i, s, r + 1) for r, (i, s) in enumerate(sorted(n.items(), key=lambda x: (-x[1], -x[0]))[:5])]
+    for shift in (0, 2**40):  # lists of steps that fit 32 bits, and of others
+        far = df.withColumn("j", F.col("j") * (1 + shift))
+        got = marks.shared_candidates(far, "j", "tag")
+        assert "Generate" not in plan(got)
+        assert sorted((r.j // (1 + shift), r.i // (1 + shift), r.shared, r.rank) for r in got.collect()) == sorted(want)
