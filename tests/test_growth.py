@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewise.operators import graph, knn, marks, sequence
+from framewise.operators import graph, knn, marks, sampling, sequence
 
 
 def plan(df):
@@ -115,3 +115,14 @@ def test_shared_candidates_shuffle_no_pairs(spark):
         got = marks.shared_candidates(far, "j", "tag")
         assert "Generate" not in plan(got)
         assert sorted((r.j // (1 + shift), r.i // (1 + shift), r.shared, r.rank) for r in got.collect()) == sorted(want)
+
+
+def test_interleave_ranks_no_group_in_one_task(spark):
+    rows = [(k % 50, k, "ab"[k % 3 == 0] if k % 7 else None) for k in range(200)]
+    got = sampling.interleave(spark.createDataFrame(rows, "id long, k long, g string"), "g", ["k"], "id")
+    assert "Window" not in plan(got) or "partition by [g" not in plan(got).lower() and "windowspecdefinition(g#" not in plan(got)
+    n, want = {}, {}
+    for i, _, g in sorted(rows, key=lambda r: r[1]):
+        n[g] = n.get(g, 0) + 1
+        want[i] = min(want.get(i, (10**9, "")), (n[g], g or ""))
+    assert {r.id: (r.turn, r.g or "") for r in got.collect()} == want
