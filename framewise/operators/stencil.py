@@ -98,12 +98,18 @@ def box_in_view(boxes: DataFrame, planes: DataFrame, ident: str) -> DataFrame:
     """(ident, view): boxes (x0..z1) that a view's planes (view, plane, a, b, c, d; a x + b y + c z + d >= 0 is inside) don't cut off whole.
 
     Of each plane the box's farthest corner decides, so eight corners are one
-    expression. planes: six a view; they meet every box by design.
+    expression. planes: six a view; they meet every box by design, as a list,
+    so no row is made for a box and a plane. Boxes of one ident count as one
+    that all of them must pass; unknown distances decide nothing.
     """
-    far = sum((F.greatest(F.col(n) * F.col(f"{a}0"), F.col(n) * F.col(f"{a}1")) for n, a in zip("abc", "xyz", strict=True)), F.col("d"))
+    corners = [f"{a}{k}" for a in "xyz" for k in "01"]
+    far = lambda box, p: sum((F.greatest(p[n] * box[f"{a}0"], p[n] * box[f"{a}1"]) for n, a in zip("abc", "xyz", strict=True)), p["d"])
     views = planes.groupBy("view").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("_p"))
-    met = boxes.crossJoin(broadcast_if_small(views)).withColumn("_q", F.explode("_p")).select(ident, "view", *(f"{a}{k}" for a in "xyz" for k in "01"), "_q.*")
-    return met.groupBy(ident, "view").agg(F.min(far).alias("_least")).where("_least >= 0").select(ident, "view")
+    own = boxes.select(ident, F.struct(*corners).alias("_b")).repartition(ident).groupBy(ident).agg(F.collect_list("_b").alias("_b"))
+    met = own.crossJoin(broadcast_if_small(views))
+    known = F.exists("_b", lambda box: F.exists("_p", lambda p: far(box, p).isNotNull()))
+    passed = F.forall("_b", lambda box: F.forall("_p", lambda p: F.coalesce(far(box, p) >= 0, F.lit(True))))
+    return met.where(known & passed).select(ident, "view")
 
 
 def triangles(df: DataFrame, keys: tuple[str, ...], x: str, y: str, depth: str, width: int, floor: float = 0.03, share: float = 0.02) -> DataFrame:

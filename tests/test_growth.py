@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewise.operators import graph, knn, marks, sampling, sequence
+from framewise.operators import graph, knn, marks, sampling, sequence, stencil
 
 
 def plan(df):
@@ -126,3 +126,12 @@ def test_interleave_ranks_no_group_in_one_task(spark):
         n[g] = n.get(g, 0) + 1
         want[i] = min(want.get(i, (10**9, "")), (n[g], g or ""))
     assert {r.id: (r.turn, r.g or "") for r in got.collect()} == want
+
+
+def test_boxes_meet_planes_as_a_list(spark):
+    cols = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
+    boxes = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0), (2, 5.0, 6.0, 0.0, 1.0, 0.0, 1.0), (3, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0), (3, 5.0, 6.0, 0.0, 1.0, 0.0, 1.0), (4, *[None] * 6)], cols)
+    planes = spark.createDataFrame([(1, -1.0, 0.0, 0.0, 2.0), (1, 1.0, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0, -3.0)], "view long, a double, b double, c double, d double")
+    got = stencil.box_in_view(boxes, planes, "id")
+    assert "explode" not in plan(got)
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 2)}
