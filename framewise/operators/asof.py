@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def asof_nearest(probe: DataFrame, reference: DataFrame, tolerance: float, keys: tuple[str, ...] = (), t: str = "t", how: str = "inner") -> DataFrame:
-    """Each probe row with the nearest reference row (the earlier of two equally near) within tolerance.
+    """Each probe row with the nearest reference row (the earlier of two equally near; of one time the least by its columns in order) within tolerance.
 
     Time is dealt into buckets as wide as the tolerance and each reference row
     goes to its own and both adjacent buckets, so one window per (keys,
@@ -17,12 +17,14 @@ def asof_nearest(probe: DataFrame, reference: DataFrame, tolerance: float, keys:
     width = tolerance if tolerance > 0 else 1
     bucket = F.floor(F.col(t) / width)
     own = [c for c in reference.columns if c not in keys]
-    ref = reference.where(F.col(t).isNotNull()).select(*keys, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"), F.col(t).alias("_t"), F.struct(*own).alias("_ref"))
+    ref = reference.where(F.col(t).isNotNull()).groupBy(*keys, F.col(t).alias("_t")).agg(F.min(F.struct(*own)).alias("_ref"))
+    ref = ref.select(*keys, F.explode(F.array(*(F.floor(F.col("_t") / width) + k for k in (-1, 0, 1)))).alias("_bucket"), "_t", "_ref")
     one = probe.select(*keys, bucket.alias("_bucket"), F.col(t).alias("_t"), F.struct(*probe.columns).alias("_probe"))
     both = one.unionByName(ref, allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_bucket").orderBy("_t", F.col("_probe").isNotNull())
-    before = F.last("_ref", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_ref", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Both windows run from their first row on; one that looks ahead costs a key's rows squared.
+    order = lambda *by: Window.partitionBy(*keys, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("_ref", True).over(order("_t", F.col("_probe").isNotNull()))
+    after = F.last("_ref", True).over(order(F.desc("_t"), F.col("_probe").isNotNull()))
     found = both.withColumns({"_before": before, "_after": after}).where("_probe is not null")
     gap = lambda c: F.abs(F.col("_t") - F.col(c)[t])
     best = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
