@@ -6,28 +6,28 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialise
 from .graph import connected_components
 
 
-def thinned(held: list[bool], seen: list[np.ndarray], spare: dict[int, list[int]]) -> list[bool]:
-    """Whether each view (in the order in which they may go) stays. held: views that stay anyway.
+class Thinning:
+    """One group's samples, sorted, with how many more views and near-best views of each, and then of the null one, may go."""
 
-    seen: the numbers of a view's samples, twice as large plus one where it is
-    near the best. spare: per sample how many more views, and near-best views,
-    may go.
-    """
-    out = []
-    for stays, samples in zip(held, seen, strict=True):
-        own = [(spare[s >> 1], s & 1) for s in samples.tolist()]
-        goes = not stays and all(left[0] > 0 and (not good or left[1] > 0) for left, good in own)
-        for left, good in own if goes else ():
-            left[0] -= 1
-            left[1] -= good
-        out.append(not goes)
-    return out
+    def __init__(self, samples: np.ndarray, spare: np.ndarray, good: np.ndarray):
+        self.samples, self.spare = samples, np.stack([spare, good])
+
+    def stays(self, held: bool, at: np.ndarray, good: np.ndarray) -> bool:
+        """Whether a view with samples at those places (good: near the best there) stays; if it goes, its samples can spare fewer."""
+        best = at[good]
+        if held or (self.spare[0, at] <= 0).any() or (self.spare[1, best] <= 0).any():
+            return True
+        np.subtract.at(self.spare[0], at, 1)
+        np.subtract.at(self.spare[1], best, 1)
+        return False
 
 
 def redundant_views(df: DataFrame, group: str, view: str, sample: str, weight: str, least: int = 3, near_best: float = 0.9, protected: Column | None = None) -> DataFrame:
@@ -35,27 +35,61 @@ def redundant_views(df: DataFrame, group: str, view: str, sample: str, weight: s
 
     What a sample can spare and in which order views may go come from
     aggregations and windows; only the pass over a group's views, in that
-    order, is sequential. df: one row per (view, sample) that it sees.
+    order, is sequential: a group's samples, then its views' rows, stream
+    through a task, which holds two numbers a sample and one view. df: one row
+    per (view, sample) that it sees.
     """
-    own = Window.partitionBy(group, sample)
-    seen = df.where(F.col(weight) > 0).select(group, view, sample, F.col(weight).alias("_w"), (F.lit(False) if protected is None else protected).alias("_p"))
-    seen = seen.withColumn("_good", (F.col("_w") >= near_best * F.max("_w").over(own)).cast("int"))
-    seen = seen.withColumns({"_spare": F.count(F.lit(1)).over(own) - F.least(F.count(F.lit(1)).over(own), F.lit(least)), "_spare_good": F.sum("_good").over(own) - 1})
-    views = seen.groupBy(group, view).agg(F.count(F.lit(1)).alias("_n"), F.max("_p").alias("_p"), F.collect_list(F.struct(F.col(sample).alias("s"), F.col("_good").alias("good"), F.col("_spare").alias("a"), F.col("_spare_good").alias("b"))).alias("_seen"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_n", view])
-        number: dict = {}
-        spare: dict[int, list[int]] = {}
-        seen = []
-        for all_ in rows["_seen"]:
-            at = np.array([2 * number.setdefault(x["s"], len(number)) + x["good"] for x in all_], np.int64)
-            spare |= {k >> 1: [x["a"], x["b"]] for k, x in zip(at.tolist(), all_, strict=True)}
-            seen.append(at)
-        return pd.DataFrame({group: rows[group], view: rows[view], "kept": thinned(rows["_p"].tolist(), seen, spare)})
-
-    kinds = dict(df.dtypes)
-    return views.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {view} {kinds[view]}, kept boolean")
+    seen = df.where(F.col(weight) > 0).select(F.col(group).alias("_g"), F.col(view).alias("_view"), F.col(sample).alias("_s"), F.col(weight).alias("_w"), (F.lit(False) if protected is None else F.coalesce(protected, F.lit(False))).alias("_p"))
+    own, seen_by = Window.partitionBy("_g", "_s"), Window.partitionBy("_g", "_view")
+    seen = materialise(seen.withColumn("_good", F.col("_w") >= near_best * F.max("_w").over(own)).drop("_w"), "seen")
+    n = F.count(F.lit(1))
+    spare = seen.groupBy("_g", "_s").agg((n - F.least(n, F.lit(least))).alias("_a"), (F.count_if("_good") - 1).alias("_b"))
+    order = seen.withColumns({"_n": F.count(F.lit(1)).over(seen_by), "_p": F.max("_p").over(seen_by)})
+    nothing, kind = F.lit(None), seen.schema["_s"].dataType
+    rows = spare.select("_g", nothing.cast("long").alias("_n"), nothing.cast(seen.schema["_view"].dataType).alias("_view"), "_s", nothing.cast("boolean").alias("_p"), nothing.cast("boolean").alias("_good"), "_a", "_b")
+    rows = rows.unionByName(order.select("_g", "_n", "_view", "_s", "_p", "_good", nothing.cast("long").alias("_a"), nothing.cast("long").alias("_b")))
+    rows = rows.withColumns({"_null": F.col("_s").isNull(), "_s": F.coalesce("_s", F.lit("0").cast(kind))})
+    rows = rows.repartition("_g").sortWithinPartitions("_g", F.col("_n").asc_nulls_first(), "_view", "_null", "_s")
+    names, kinds = [group, view, "kept"], dict(df.dtypes)
+
+    def run(batches):
+        here, head, state = None, [], None
+        open_ = None  # the view that the rows so far end with: key, held, places, which are good
+        for b in batches:
+            g, views = b.column("_g").to_pylist(), b.column("_view").to_pylist()
+            n = b.column("_n").to_numpy(zero_copy_only=False).astype(float)
+            s = b.column("_s").to_numpy(zero_copy_only=False)
+            none, held, good = (b.column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool) for c in ("_null", "_p", "_good"))
+            spare = [b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("_a", "_b")]
+            starts = [0, *(k for k in range(1, len(g)) if g[k] != g[k - 1] or views[k] != views[k - 1] or np.isnan(n[k]) != np.isnan(n[k - 1]))]
+            done = []
+            for lo, hi in zip(starts, [*starts[1:], len(g)], strict=True):
+                if np.isnan(n[lo]):
+                    if open_:
+                        done.append((*open_[0], state.stays(open_[1], np.concatenate(open_[2]), np.concatenate(open_[3]))))
+                        open_ = None
+                    head = head if head and here == g[lo] else []
+                    head.append((s[lo:hi][~none[lo:hi]], spare[0][lo:hi], spare[1][lo:hi]))
+                    here = g[lo]
+                    continue
+                if head:
+                    state, head = Thinning(*(np.concatenate(c) for c in zip(*head, strict=True))), []
+                at = np.where(none[lo:hi], len(state.samples), np.searchsorted(state.samples, s[lo:hi]))
+                if open_ and open_[0] == (g[lo], views[lo]):
+                    open_[2].append(at), open_[3].append(good[lo:hi])
+                    continue
+                if open_:
+                    done.append((*open_[0], state.stays(open_[1], np.concatenate(open_[2]), np.concatenate(open_[3]))))
+                open_ = ((g[lo], views[lo]), bool(held[lo]), [at], [good[lo:hi]])
+            yield table(done, b)
+        if open_:
+            yield table([(*open_[0], state.stays(open_[1], np.concatenate(open_[2]), np.concatenate(open_[3])))], b)
+
+    def table(done: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+        columns, arrow = zip(*done, strict=True) if done else ([],) * 3, (b.column("_g").type, b.column("_view").type, pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, arrow, strict=True)], names=names)
+
+    return rows.mapInArrow(run, f"{group} {kinds[group]}, {view} {kinds[view]}, kept boolean")
 
 
 def even_positions(count: int, n: int) -> np.ndarray:
