@@ -26,23 +26,24 @@ def apart(point: tuple[float, float, float], samples: list[tuple[float, float, f
 
 
 class TagMap(StatefulProcessor):
-    """State per session: for each mark its samples, its strikes and whether it is excluded for good."""
+    """State per session, one value: for each mark its samples, its strikes and whether it is excluded for good; and the timer that is set."""
 
     def __init__(self, quiet_ms: int, capacity: int = CAPACITY):
         self.quiet_ms, self.capacity = quiet_ms, capacity
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.marks = handle.getMapState("marks", "mark long", "xs array<double>, ys array<double>, zs array<double>, strikes int, excluded boolean")
-        self.mapped = handle.getValueState("mapped", "n int")
+        self.held = handle.getValueState("held", "marks array<struct<mark: long, xs: array<double>, ys: array<double>, zs: array<double>, strikes: int, excluded: boolean>>, timer long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n = self.mapped.get()[0] if self.mapped.exists() else 0
-        last = 0
+        """The state is read and written once a batch, as every call of the store is a round trip."""
+        held, timer = self.held.get() or ((), None)
+        marks = {m[0]: (list(zip(*m[1:4], strict=True)), m[4], m[5]) for m in held}
+        n = sum(bool(m[0]) for m in marks.values())
+        last, out = 0, []
         for r in sorted(rows, key=lambda r: (r.view, r.mark)):
             last = max(last, int(r.ts.timestamp() * 1000))
-            held = self.marks.getValue((r.mark,)) if self.marks.containsKey((r.mark,)) else ([], [], [], 0, False)
-            samples, strikes, excluded = list(zip(*held[:3], strict=True)), held[3], held[4]
+            samples, strikes, excluded = marks.get(r.mark, ([], 0, False))
             point, state = (r.x, r.y, r.z), "excluded"
             if not excluded and r.repeated:
                 excluded = True
@@ -58,17 +59,18 @@ class TagMap(StatefulProcessor):
             if excluded and samples:
                 samples, n = [], n - 1
             if state != "full":
-                xs, ys, zs = (list(c) for c in zip(*samples, strict=True)) if samples else ([], [], [])
-                self.marks.updateValue((r.mark,), (xs, ys, zs, strikes, excluded))
-            yield Row(session=key[0], view=r.view, mark=r.mark, state=state, n_samples=len(samples))
-        self.mapped.update((n,))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
+                marks[r.mark] = (samples, strikes, excluded)
+            out.append(Row(session=key[0], view=r.view, mark=r.mark, state=state, n_samples=len(samples)))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = max(last, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms
+        self.handle.registerTimer(timer)
+        axes = lambda samples: [list(c) for c in zip(*samples, strict=True)] if samples else [[], [], []]
+        self.held.update(([(mark, *axes(samples), strikes, excluded) for mark, (samples, strikes, excluded) in marks.items()], timer))
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.marks.clear()
-        self.mapped.clear()
+        self.held.clear()
         return iter(())
 
 
