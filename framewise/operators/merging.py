@@ -7,7 +7,7 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,9 +132,9 @@ def plane_groups(planes: DataFrame, distance: float = 0.15, degrees: float = 12.
 
     Planes that may share a group lie in touching cells of distance and
     normal, so the touching occupied cells (links between cells, not between
-    planes) cut a scene into pieces that are grouped apart, each in a task of
-    its own; the result is the same as over the whole scene. A piece is as
-    large as its cells hang together.
+    planes) cut a scene into pieces that are grouped apart; the result is the
+    same as over the whole scene. Pieces stream through tasks in order, which
+    hold the numbers of one piece. A piece is as large as its cells hang together.
     """
     known = planes.select("scene", "node", "plane", *(F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz", "d"))).dropna()
     sign = F.when(F.col("d") < 0, -1.0).otherwise(1.0)
@@ -151,28 +151,39 @@ def plane_groups(planes: DataFrame, distance: float = 0.15, degrees: float = 12.
     pieces = connected_components(links)
     cosine = math.cos(math.radians(degrees))
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["node", "plane"])
-        normals, ds = rows[["nx", "ny", "nz"]].to_numpy(), rows.d.to_numpy()
-        label, sums, sizes, lead = np.zeros(len(rows), int), [], [], []
-        for k in range(len(rows)):
-            unlike = (np.abs(ds[:k] - ds[k]) >= distance) | (normals[:k] @ normals[k] <= cosine)
-            fine = np.setdiff1d(np.arange(len(lead)), label[:k][unlike])
-            off = [abs(ds[k] - sums[g] / sizes[g]) for g in fine]
-            if len(fine):
-                g = fine[int(np.argmin(off))]
-            else:
-                g = len(lead)
-                sums.append(0.0), sizes.append(0), lead.append(k)
-            label[k] = g
-            sums[g] += ds[k]
-            sizes[g] += 1
-        first = np.array(lead, int)[label] if len(rows) else label
-        return rows.assign(lead_node=rows.node.to_numpy()[first], lead_plane=rows.plane.to_numpy()[first])[[*kinds, "lead_node", "lead_plane"]]
-
     kinds = {c: t for c, t in known.dtypes if not c.startswith("_")}
+
+    def run(batches):
+        piece, k = None, 0
+        members, label = np.zeros((16, 4)), np.zeros(16, int)  # normals and distances of the piece so far, and their groups
+        for b in batches:
+            found = []
+            values = np.stack([b.column(c).to_numpy() for c in ("nx", "ny", "nz", "d")], axis=1)
+            for here, node, plane, row in zip(b.column("component").to_pylist(), b.column("node").to_pylist(), b.column("plane").to_pylist(), values, strict=True):
+                if here != piece:
+                    piece, k, sums, sizes, lead = here, 0, [], [], []
+                if k == len(label):
+                    members, label = np.concatenate([members, np.zeros_like(members)]), np.concatenate([label, np.zeros_like(label)])
+                unlike = (np.abs(members[:k, 3] - row[3]) >= distance) | (members[:k, :3] @ row[:3] <= cosine)
+                fine = np.ones(len(lead), bool)
+                fine[label[:k][unlike]] = False
+                near = np.flatnonzero(fine).tolist()
+                if near:
+                    g = min(near, key=lambda g: abs(row[3] - sums[g] / sizes[g]))  # noqa: B023
+                else:
+                    g = len(lead)
+                    sums.append(0.0), sizes.append(0), lead.append((node, plane))
+                members[k], label[k] = row, g
+                sums[g] += row[3]
+                sizes[g] += 1
+                k += 1
+                found.append(lead[g])
+            leads = [pa.array([f[i] for f in found], b.column(c).type) for i, c in enumerate(("node", "plane"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kinds), *leads], names=[*kinds, "lead_node", "lead_plane"])
+
     shape = ", ".join(f"{c} {t}" for c, t in kinds.items()) + f", lead_node {kinds['node']}, lead_plane {kinds['plane']}"
-    return known.withColumn("_id", own).join(pieces.select(F.col("id").alias("_id"), "component"), "_id").groupBy("component").applyInPandas(lambda rows: group(rows), shape)
+    rows = known.withColumn("_id", own).join(pieces.select(F.col("id").alias("_id"), "component"), "_id").select("component", *kinds)
+    return rows.repartition("component").sortWithinPartitions("component", "node", "plane").mapInArrow(run, shape)
 
 
 def joint_planes(groups: DataFrame, least: int = 3, span: int = 3) -> DataFrame:
