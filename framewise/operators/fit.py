@@ -21,16 +21,19 @@ def cross_sums(df: DataFrame, keys: list[str], weight: str | None = None) -> Dat
     return df.groupBy(*keys).agg(*sums, *(F.sum(w * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a in P for b in Q))
 
 
-def rigid_from_sums(row: dict) -> list[float]:
-    """The pose (16 numbers) that carries p to q with least squares."""
-    n = row["n"]
-    p, q = np.array([row[f"s_{c}"] for c in P]) / n, np.array([row[f"s_{c}"] for c in Q]) / n
-    h = np.array([[row[f"s_{a}_{b}"] for b in Q] for a in P]) / n - np.outer(p, q)
+def rigid_from_sums(sums: pd.DataFrame) -> np.ndarray:
+    """The poses (16 numbers a row) that carry p to q with least squares, of all rows at once."""
+    n = sums["n"].to_numpy(float)[:, None]
+    p, q = sums[[f"s_{c}" for c in P]].to_numpy(float) / n, sums[[f"s_{c}" for c in Q]].to_numpy(float) / n
+    h = sums[[f"s_{a}_{b}" for a in P for b in Q]].to_numpy(float).reshape(-1, 3, 3) / n[:, None] - p[:, :, None] * q[:, None, :]
     u, _, vt = np.linalg.svd(h)
-    turn = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
-    pose = np.eye(4)
-    pose[:3, :3], pose[:3, 3] = turn, q - turn @ p
-    return pose.ravel().tolist()
+    v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+    sign = np.sign(np.linalg.det(v @ ut))
+    last = np.where(sign == 0, 1.0, sign)[:, None] * v[:, :, 2]
+    turn = np.concatenate([v[:, :, :2], last[:, :, None]], axis=2) @ ut
+    pose = np.tile(np.eye(4), (len(sums), 1, 1))
+    pose[:, :3, :3], pose[:, :3, 3] = turn, q - (turn @ p[:, :, None])[:, :, 0]
+    return pose.reshape(-1, 16)
 
 
 def rigid_fit(df: DataFrame, keys: list[str], weight: str | None = None, least: int = 3) -> DataFrame:
@@ -40,8 +43,7 @@ def rigid_fit(df: DataFrame, keys: list[str], weight: str | None = None, least:
 
     def solve(batches):
         for b in batches:
-            rows = b.to_dict("records")
-            yield pd.DataFrame({**{k: b[k] for k in keys}, "n": b["n"], "pose": [rigid_from_sums(r) for r in rows]})
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "n": b["n"], "pose": list(rigid_from_sums(b))})
 
     return sums.mapInPandas(solve, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["n double", "pose array<double>"]))
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewise.operators import asof, graph, knn, marks, merging, pairing, sampling, select, sequence, stencil
+from framewise.operators import asof, consensus, graph, knn, marks, merging, pairing, sampling, select, sequence, stencil
 
 
 def plan(df):
@@ -20,6 +20,13 @@ def test_boundary_checks_broadcast_no_poses(spark):
     assert {r.reason for r in got.collect()} == {"kept"}
 
 
+def test_motions_copy_no_corners(spark):
+    """Marks are counted without a copy of each corner for each distinct count."""
+    seen = {c: F.col("id") * k % 7 + F.lit(1.0) for k, c in enumerate(("px", "py", "pz", "qx", "qy", "qz", "pu", "pv", "qu", "qv"), 1)}
+    corners = spark.range(16).select((F.col("id") % 1).alias("pair"), F.floor(F.col("id") / 4).alias("mark"), (F.col("id") % 4).alias("corner"), *(v.alias(c) for c, v in seen.items()))
+    assert "Expand" not in plan(consensus.mark_motion(corners, (1.0, 1.0, 1.0, 1.0)))
+
+
 def test_copies_of_places_meet_as_one(spark):
     points = spark.range(160000).select("id", (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
     a, b = points.where("id % 2 = 0"), points.where("id % 2 = 1")
