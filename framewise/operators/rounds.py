@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialise
-from .graph import connected_components, spanning_forest
+from .graph import _both_ways, connected_components, spanning_forest
 
 
 def without_contradictions(edges: DataFrame, positions: DataFrame, axes: tuple[str, ...], limit: float, sweeps: int = 2, rounds: int = 100, ident: str = "edge", own: float = 1.0) -> DataFrame:
@@ -89,7 +89,8 @@ def coloured(vertices: DataFrame, both: DataFrame, rounds: int = 1000) -> DataFr
     In each round the vertices whose digest is the least among neighbours
     without a colour take the smallest colour that no neighbour has: what one
     by one in the order of digests would give, in about logarithmic rounds. A
-    vertex of degree n gets one of the first n + 1 colours.
+    vertex of degree n gets one of the first n + 1 colours. Joins are merged,
+    so no side passes through the driver.
     """
     rank = lambda c: F.struct(F.md5(F.col(c).cast("string").cast("binary")), F.col(c))
     left = materialise(vertices.select("id"), "colour-left")
@@ -97,15 +98,15 @@ def coloured(vertices: DataFrame, both: DataFrame, rounds: int = 1000) -> DataFr
     for _ in range(rounds):
         if left.isEmpty():
             return done
-        open_ = both.join(left.select(F.col("id").alias("a")), "a", "left_semi")
-        wait = open_.join(left.select(F.col("id").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("_near"))
-        turn = left.join(wait, "id", "left").where(F.col("_near").isNull() | (rank("id") < F.col("_near"))).select("id")
-        used = open_.join(done.select(F.col("id").alias("b"), "colour"), "b").groupBy(F.col("a").alias("id")).agg(F.collect_set("colour").alias("_used"))
+        open_ = both.join(left.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi")
+        wait = open_.join(left.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("_near"))
+        turn = left.join(wait.hint("merge"), "id", "left").where(F.col("_near").isNull() | (rank("id") < F.col("_near"))).select("id")
+        used = open_.join(done.select(F.col("id").alias("b"), "colour").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.collect_set("colour").alias("_used"))
         taken = F.coalesce("_used", F.array().cast("array<int>"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
-        step = materialise(turn.join(used, "id", "left").select("id", free.alias("colour")), "colour-step")
+        step = materialise(turn.join(used.hint("merge"), "id", "left").select("id", free.alias("colour")), "colour-step")
         done = materialise(done.unionAll(step), "coloured")
-        left = materialise(left.join(step, "id", "left_anti"), "colour-left")
+        left = materialise(left.join(step.hint("merge"), "id", "left_anti"), "colour-left")
     raise RuntimeError(f"vertices without a colour after {rounds} rounds")
 
 
@@ -124,38 +125,41 @@ def potts_labels(scores: DataFrame, edges: DataFrame, price: float = 0.35, diffu
     neighbours, view by view. Then the faces of one colour at a time, of which
     no two are neighbours, take the label of least energy where that gains, so
     the energy never rises; a pass without change ends it. A face's sums over
-    neighbours are joins by edge; no face's views are gathered.
+    neighbours are joins by edge, of the edges of that colour only; no face's
+    views are gathered. Joins are merged, so no side passes through the driver.
     """
     own = scores.where("id is not null and view is not null and score > 0").groupBy("id", "view").agg(F.max("score").alias("score"))
     best = own.groupBy("id").agg(F.max("score").alias("_best"))
-    own = materialise(own.join(best, "id").select("id", "view", (F.col("score") / F.col("_best")).alias("rel")), "potts-scores")
+    own = materialise(own.join(best.hint("merge"), "id").select("id", "view", (F.col("score") / F.col("_best")).alias("rel")), "potts-scores")
     seen = materialise(own.select("id").distinct(), "potts-faces")
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(seen.select(F.col("id").alias("a")), "a", "left_semi").join(seen.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    both = materialise(pairs.unionAll(pairs.select("b", "a")), "potts-edges")
+    pairs = pairs.join(seen.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").join(seen.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
+    both = materialise(_both_ways(pairs, "a", "b"), "potts-edges")
+    colours = materialise(coloured(seen, both), "potts-colours")
+    kinds = sorted(r[0] for r in colours.select("colour").distinct().collect())  # at most the largest degree and one
+    both = materialise(both.join(colours.select(F.col("id").alias("a"), "colour").hint("merge"), "a").select("a", "b", "colour"), "potts-edges")
     degree = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    smooth = own.select("id", "view", "rel", F.col("rel").alias("s"))
+    own = own.join(colours.hint("merge"), "id").join(degree.hint("merge"), "id", "left")
+    own = materialise(own.select("id", "view", "rel", "colour", F.coalesce("_n", F.lit(0)).alias("_n")), "potts-scores")
+    smooth = own.withColumn("s", F.col("rel"))
     for _ in range(diffusions):
-        near = both.join(smooth.select(F.col("id").alias("b"), "view", "s"), "b").groupBy(F.col("a").alias("id"), "view").agg(F.sum("s").alias("_s"))
-        mean = F.coalesce("_s", F.lit(0.0)) / F.coalesce("_n", F.lit(1))
-        smooth = materialise(smooth.drop("s").join(near, ["id", "view"], "left").join(degree, "id", "left").select("id", "view", "rel", (0.5 * F.col("rel") + 0.5 * mean).alias("s")), "potts-smooth")
+        near = both.join(smooth.select(F.col("id").alias("b"), "view", "s").hint("merge"), "b").groupBy(F.col("a").alias("id"), "view").agg(F.sum("s").alias("_s"))
+        mean = F.coalesce("_s", F.lit(0.0)) / F.greatest("_n", F.lit(1))
+        smooth = materialise(smooth.drop("s").join(near.hint("merge"), ["id", "view"], "left").select("id", "view", "rel", "_n", (0.5 * F.col("rel") + 0.5 * mean).alias("s")), "potts-smooth")
     labels = materialise(smooth.groupBy("id").agg(F.min(_first(F.col("s"), F.col("view"))).alias("_l")).select("id", F.col("_l.w").alias("label")), "potts-labels")
-    colours = materialise(coloured(seen, both), "potts-colours")
-    kinds = sorted(r[0] for r in colours.select("colour").distinct().collect())  # at most the largest degree and one
     energies = []
     for _ in range(passes):
         labels = labels.select("id", "label", F.lit(False).alias("changed"))
         for kind in kinds:
-            now = own.join(colours.where(F.col("colour") == kind).select("id"), "id", "left_semi")
-            votes = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), F.col("label").alias("view")).agg(F.count(F.lit(1)).alias("_same"))
-            cost = now.join(votes, ["id", "view"], "left").join(degree, "id", "left").select("id", "view", (-F.ln("rel") + price * (F.coalesce("_n", F.lit(0)) - F.coalesce("_same", F.lit(0)))).alias("e"))
-            least = cost.groupBy("id").agg(F.min(F.struct("e", "view")).alias("_m"))
-            held = cost.join(labels.select("id", F.col("label").alias("view")), ["id", "view"]).select("id", F.col("e").alias("_held"))
-            better = least.join(held, "id").where(F.col("_m.e") < F.col("_held") - 1e-6).select("id", F.col("_m.view").alias("_new"))
-            labels = materialise(labels.join(better, "id", "left").select("id", F.coalesce("_new", "label").alias("label"), (F.col("_new").isNotNull() | F.col("changed")).alias("changed")), "potts-labels")
-        data = own.join(labels.select("id", F.col("label").alias("view")), ["id", "view"]).agg(F.sum(-F.ln("rel"))).first()[0] or 0.0
-        unlike = pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b").where("_a <> _b").count()
-        energies.append(data + price * unlike)
+            votes = both.where(F.col("colour") == kind).join(labels.select(F.col("id").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("id"), F.col("label").alias("view")).agg(F.count(F.lit(1)).alias("_same"))
+            cost = own.where(F.col("colour") == kind).join(votes.hint("merge"), ["id", "view"], "left")
+            cost = cost.join(labels.select("id", "label").hint("merge"), "id").select("id", "view", "label", (-F.ln("rel") + price * (F.col("_n") - F.coalesce("_same", F.lit(0)))).alias("e"))
+            least = cost.groupBy("id").agg(F.min(F.struct("e", "view")).alias("_m"), F.min(F.when(F.col("view") == F.col("label"), F.col("e"))).alias("_held"))
+            better = least.where(F.col("_m.e") < F.col("_held") - 1e-6).select("id", F.col("_m.view").alias("_new"))
+            labels = materialise(labels.join(better.hint("merge"), "id", "left").select("id", F.coalesce("_new", "label").alias("label"), (F.col("_new").isNotNull() | F.col("changed")).alias("changed")), "potts-labels")
+        data = own.join(labels.select("id", F.col("label").alias("view")).hint("merge"), ["id", "view"]).agg(F.sum(-F.ln("rel"))).first()[0] or 0.0
+        ends = both.where("a < b").join(labels.select(F.col("id").alias("a"), F.col("label").alias("_a")).hint("merge"), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("_b")).hint("merge"), "b")
+        energies.append(data + price * ends.where("_a <> _b").count())
         if labels.where("changed").isEmpty():
             break
     return labels.select("id", "label"), energies

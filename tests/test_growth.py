@@ -1,11 +1,13 @@
 """Work that must not grow with the square of copies, and joins that must not broadcast what they compute."""
 
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from framewise.operators import asof, consensus, graph, knn, marks, merging, pairing, sampling, select, sequence, stencil
+from framewise.operators import asof, consensus, graph, knn, marks, merging, pairing, rounds, sampling, select, sequence, stencil
 
 
 def plan(df):
@@ -27,6 +29,15 @@ def test_motions_copy_no_corners(spark):
     assert "Expand" not in plan(consensus.mark_motion(corners, (1.0, 1.0, 1.0, 1.0)))
 
 
+def test_labels_pass_no_side_through_the_driver(spark, monkeypatch):
+    plans, write = [], rounds.materialise
+    monkeypatch.setattr(rounds, "materialise", lambda df, name: plans.append(plan(df)) or write(df, name))
+    scores = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.9), (2, 1, 1.0)], "id long, view long, score double")
+    labels, energies = rounds.potts_labels(scores, spark.createDataFrame([(1, 2)], "a long, b long"), diffusions=1, passes=2)
+    assert {(r.id, r.label) for r in labels.collect()} == {(1, 1), (2, 1)} and energies[-1] == pytest.approx(-math.log(0.9))
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_copies_of_places_meet_as_one(spark):
     points = spark.range(160000).select("id", (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
     a, b = points.where("id % 2 = 0"), points.where("id % 2 = 1")
