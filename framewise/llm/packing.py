@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 #: Bytes of a worker's cache of encoded words, at most about.
 CACHE = 64 << 20
+#: Bytes of text that are encoded together, about.
+SLICE = 8 << 20
 #: Largest code point of the words that the fast encoder takes; other words go to the tokenizers library.
 PLAIN = "ɏ"
+#: Words of such characters that hold no white space.
+SIMPLE = "^[!-~\u00A1-\u024F]+$"
 
 
 class Encoder:
@@ -25,11 +30,12 @@ class Encoder:
 
     The pre-tokeniser never joins what stands before a single space with what
     follows it, so a text is cut at its single spaces and each part, with its
-    leading space, is encoded once and cached. Texts whose parts begin or end
-    in white space (double spaces, a line end before a space) are encoded
-    whole. Words are encoded by the same vocabulary's ranks; those with
-    characters above U+024F by the tokenizers library itself, and so are texts
-    that hold a special token's string, which becomes that token.
+    leading space, is encoded once for all texts given together. Texts whose
+    parts begin or end in white space (double spaces, a line end before a
+    space) are encoded whole. Words are encoded by the same vocabulary's ranks;
+    those with characters above U+024F by the tokenizers library itself, and so
+    are texts that hold a special token's string, which becomes that token.
+    Words that don't go through the ranks together are cached.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -40,6 +46,8 @@ class Encoder:
         self.special = [t.content.encode() for t in self.slow.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width[list(ranks.values())] = list(map(len, ranks))
         self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         outer = self
 
@@ -65,19 +73,61 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _words(self, words: pa.BinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The ids of each word after a space, and which words can't stand alone.
+
+        Words without white space are encoded as one text, and the lengths of
+        its tokens tell where each word ends.
+        """
+        plain = pc.match_substring_regex(words.cast(pa.string()), SIMPLE)
+        simple, odd = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(simple)], pa.int32()), simple), b" ")[0].as_py().decode()
+        ids = np.asarray(self.fast.encode_ordinary(" " + text) if len(simple) else [], dtype="<u4")
+        ends, size = np.cumsum(pc.binary_length(simple).to_numpy().astype(np.int64) + 1), np.cumsum(self.width[ids])
+        to = np.searchsorted(size, ends) + 1
+        if len(simple) and not np.array_equal(size[np.minimum(to, len(size)) - 1], ends):
+            raise RuntimeError("a token goes on beyond its word")
+        own = pa.Array.from_buffers(pa.large_binary(), len(simple), [None, pa.py_buffer(np.concatenate([[0], 4 * to]).astype(np.int64)), pa.py_buffer(ids)])
+        known, at = list(map(self.cache.__getitem__, odd)), np.zeros(len(words), np.int64)
+        mask, alone = plain.to_numpy(zero_copy_only=False), np.zeros(len(words), bool)
+        at[mask], at[~mask] = np.arange(len(simple)), len(simple) + np.arange(len(odd))
+        alone[~mask] = [x is None for x in known]
+        return pa.concat_arrays([own, pa.array([x or b"" for x in known], pa.large_binary())]).take(pa.array(at)), alone
+
     def __call__(self, text: bytes) -> bytes:
-        if not text:
-            return b""
-        if any(x in text for x in self.special):
-            return self.library(text.decode())
-        parts = text.split(b" ")
-        first = parts[0].decode()
-        if first and not first[-1].isspace():
-            try:
-                return self.whole(first) + b"".join(map(self.cache.__getitem__, parts[1:]))
-            except TypeError:  # a part that can't stand alone
-                pass
-        return self.whole(text.decode())
+        return next(self.many(pa.array([text], pa.binary())))
+
+    def many(self, texts: pa.BinaryArray) -> Iterator[bytes]:
+        """The ids of each text, null being empty. Parts of all texts are told apart and put together by Arrow; each distinct one is looked up once."""
+        parts = pc.split_pattern(pc.fill_null(texts, b""), " ")
+        at, flat = parts.offsets.to_numpy().astype(np.int64), parts.values
+        rest = np.ones(at[-1] - at[0], bool)
+        rest[at[:-1] - at[0]] = False
+        coded = flat.slice(at[0], len(rest)).filter(pa.array(rest)).dictionary_encode()
+        known, alone = self._words(coded.dictionary)
+        joined = known.take(coded.indices)
+        ends, data = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :], memoryview(joined.buffers()[2] or b"")
+        lone = np.concatenate([[0], np.cumsum(alone[coded.indices.to_numpy()])])  # parts that can't stand alone
+        before = at - at[0] - np.arange(len(at))
+        for text, first, lo, hi in zip(texts, flat.take(pa.array(at[:-1])), before[:-1].tolist(), before[1:].tolist(), strict=True):
+            first = first.as_py().decode()
+            if not first and lo == hi:
+                yield b""
+            elif any(x in (whole := text.as_py()) for x in self.special):
+                yield self.library(whole.decode())
+            elif first and not first[-1].isspace() and lone[lo] == lone[hi]:
+                yield self.whole(first) + bytes(data[ends[lo] : ends[hi]])
+            else:
+                yield self.whole(whole.decode())
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, text) in slices of about most bytes of text, a longer text alone."""
+    step = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) // most
+    at = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def pieces(docs: DataFrame, vocabulary: tuple[str, str, str], length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,10 +139,10 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str, str], length: int = 2048
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(*vocabulary)
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, SLICE)):
             at, piece, start, size, crc = [], [], [], [], []
-            for row, text in enumerate(b.column(1)):
-                ids = encode(text.as_py() or b"") + b"\0\0\0\0"
+            for row, ids in enumerate(encode.many(b.column(1))):
+                ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 k, begin = 0, 0
                 while begin < n:

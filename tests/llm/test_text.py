@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewise.llm import language_model, packing, secrets, url_filter
@@ -135,6 +136,23 @@ def test_packing_round_trip(spark, plain):
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), packing.vocabulary_files()).count() == 0
 
 
+def test_words_of_many_texts_are_encoded_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_files()[0])
+    encode = packing.Encoder(*packing.vocabulary_files())
+    rng = random.Random(8)
+    parts = ["word", "don't", "x1", "Żółć", "日本", "a\nb", "", "\t", "end\n", "12345", "..!?", "\u00a0", "<|endoftext|>"]
+    texts = [None, "", " ", "  ", "a ", " a"] + [" ".join(rng.choices(parts, [9, 5, 5, 5, 1, 1, 1, 1, 1, 5, 5, 1, 1], k=rng.randint(1, 9))) for _ in range(300)]
+    own = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([x if x is None else x.encode() for x in texts], pa.binary())], ["id", "text"])
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert all([np.frombuffer(ids, "<u4").tolist() for part in packing._slices(own, size) for ids in encode.many(part.column(1))] == want for size in (50, 1 << 20))
+    asked = []
+    monkeypatch.setattr(encode, "whole", lambda text: asked.append(text) or b"")
+    list(encode.many(pa.array([f"first new{k} words{k}".encode() for k in range(50)], pa.binary())))
+    assert asked == ["first"] * 50  # no call a word
+
+
 def test_packing_is_near_the_least_number_of_bins():
     """On small inputs against the least number of bins, by trying all ways."""
     rng = np.random.default_rng(8)
