@@ -38,6 +38,13 @@ def test_labels_pass_no_side_through_the_driver(spark, monkeypatch):
     assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
 
 
+def test_components_of_a_long_path_in_few_rounds(spark):
+    """Edges are read about once for each factor of four in the length."""
+    path = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.connected_components(path, rounds=7).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [(0, 301)]
+
+
 def test_copies_of_places_meet_as_one(spark):
     points = spark.range(160000).select("id", (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
     a, b = points.where("id % 2 = 0"), points.where("id % 2 = 1")
