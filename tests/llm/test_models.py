@@ -236,3 +236,15 @@ def test_pipeline_runs_over_its_stages(spark):
     assert packed.where("piece = 0").count() == sizes[4]
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     random.seed(0)
+
+
+def test_pipeline_stages_hold_small_batches(spark, monkeypatch):
+    """A task's batch of whole texts is bounded in bytes: it stands beside the executor's heap."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    monkeypatch.setattr(corpus_pipeline, "best_fit_packing", lambda docs, _: docs.select("text").mapInArrow(size, "n long"))
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    found = corpus_pipeline.packing(spark, docs, SF).agg(F.sum("n"), F.max("n")).first()
+    assert found[0] > 30_000_000 and found[1] < 6_000_000
