@@ -37,19 +37,27 @@ def _apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, decimals:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, k: int, decimals: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs among which are each a's k nearest of b, ties of rounded distances too: squares by one product in floats of a kind, with room for its error."""
-    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    wide = np.concatenate([-2 * a, sa[:, None], np.ones((len(a), 1))], axis=1).astype(kind) @ np.concatenate([b, np.ones((len(b), 1)), sb[:, None]], axis=1).astype(kind).T
+def _searched(b: np.ndarray, kind: type) -> tuple[np.ndarray, float]:
+    """What _candidates multiplies by, in floats of a kind, and the largest square: made once for all steps over b."""
+    sb = (b * b).sum(axis=1)
+    return np.concatenate([b, np.ones((len(b), 1)), sb[:, None]], axis=1).astype(kind).T, sb.max()
+
+
+def _candidates(a: np.ndarray, b: tuple[np.ndarray, float], k: int, decimals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among which are each a's k nearest of b (as _searched gives it), ties of rounded distances too: squares by one product in floats of b's kind, with room for its error."""
+    wide_b, most_b = b
+    kind, n = wide_b.dtype.type, wide_b.shape[1]
+    sa = (a * a).sum(axis=1)
+    wide = np.concatenate([-2 * a, sa[:, None], np.ones((len(a), 1))], axis=1).astype(kind) @ wide_b
     bound = wide
-    if len(b) > 64 * k:  # the k-th of the least ones of groups is no less than the k-th of all
-        each = len(b) // max(8 * k, 256) or 8
-        bound = wide[:, : len(b) // each * each].reshape(len(a), each, -1).min(axis=1)
+    if n > 64 * k:  # the k-th of the least ones of groups is no less than the k-th of all
+        each = n // max(8 * k, 256) or 8
+        bound = wide[:, : n // each * each].reshape(len(a), each, -1).min(axis=1)
     kth = np.partition(bound, k - 1, axis=1)[:, k - 1].astype(np.float64) if k < bound.shape[1] else bound.max(axis=1).astype(np.float64)
-    error = 4 * (a.shape[1] + 8) * np.finfo(kind).eps * (sa + sb.max())
+    error = 4 * (a.shape[1] + 8) * np.finfo(kind).eps * (sa + most_b)
     reach = np.sqrt(np.maximum(kth + error, 0)) + 2 * 10.0**-decimals
     limit = ((reach * reach + error) * (1 + 4 * np.finfo(kind).eps)).astype(kind)
-    return np.divmod(np.flatnonzero(wide <= limit[:, None]), len(b))
+    return np.divmod(np.flatnonzero(wide <= limit[:, None]), n)
 
 
 def _best(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, k: int, decimals: int, other: bool) -> list[np.ndarray]:
@@ -63,12 +71,13 @@ def _best(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, k: int,
         ca, cb = a - middle, b - middle
         plain = bool(np.abs(ca).max(initial=0) < 1e15 and np.abs(cb).max(initial=0) < 1e15)
     step = max(1, PAIRS // max(1, len(b)))
+    searched = _searched(cb, np.float32) if plain and len(b) else None
     for x in range(0, len(a) if len(b) else 0, step):
         n = len(a[x : x + step])
         if plain:
-            i, j = _candidates(ca[x : x + step], cb, most, decimals, np.float32)
+            i, j = _candidates(ca[x : x + step], searched, most, decimals)
             if len(i) > 16 * most * n:
-                i, j = _candidates(ca[x : x + step], cb, most, decimals, np.float64)
+                i, j = _candidates(ca[x : x + step], _searched(cb, np.float64), most, decimals)
         else:  # components that are not finite or overflow: every pair
             i, j = (g.ravel() for g in np.indices((n, len(b))))
         if other:

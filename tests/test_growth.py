@@ -66,6 +66,17 @@ def test_dense_places_by_finer_cells(spark):
     assert got == want
 
 
+def test_searched_side_is_prepared_once(monkeypatch):
+    """Steps over one side don't convert the other side anew."""
+    made, make = [], knn._searched
+    monkeypatch.setattr(knn, "_searched", lambda b, kind: made.append(kind) or make(b, kind))
+    monkeypatch.setattr(knn, "PAIRS", 2000)
+    v = np.random.default_rng(5).normal(size=(500, 8))
+    a, b, d = knn._best(v, np.arange(500), v, np.arange(500), 1, 6, True)
+    apart = np.sqrt(((v[:, None] - v) ** 2).sum(axis=2)) + np.where(np.eye(500), 9, 0)
+    assert np.array_equal(a, np.arange(500)) and np.array_equal(b, apart.argmin(axis=1)) and made == [np.float32]
+
+
 def test_nearest_of_ties_and_copies(spark):
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.integers(-1, 2, (150, 3)).astype(float), np.repeat(rng.normal(size=(3, 3)), 20, axis=0)])
