@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialise
+from .blocks import Blocks
 from .graph import _both_ways, connected_components, spanning_forest
 
 
@@ -21,35 +22,27 @@ def without_contradictions(edges: DataFrame, positions: DataFrame, axes: tuple[s
     of all always is, and far-apart contradictions go at once. The next round
     goes on from the moved positions, without what went. It ends when no edge
     misses by more than limit. Edges with a null end, offset or weight, or an
-    unknown end, take no part (gone 0). Each round is written to the shared folder.
+    unknown end, take no part (gone 0). Edges stand in files of the shared folder
+    (blocks.Blocks), and each round writes what misses and what goes there.
     """
-    offset = {a: F.col(a) for a in axes}
-    at = materialise(positions.select("id", *(F.col(a).cast("double").alias(a) for a in axes)).where(" and ".join(f"{a} is not null" for a in ("id", *axes))), "positions")
-    known = edges.where(" and ".join(f"{c} is not null" for c in ("src", "dst", "weight", *axes)))
-    known = known.join(at.select(F.col("id").alias("src")), "src", "left_semi").join(at.select(F.col("id").alias("dst")), "dst", "left_semi")
-    active = materialise(known.select(ident, "src", "dst", "weight", *axes), "edges")
-    steps = [edges.select(ident).join(active.select(ident), ident, "left_anti").withColumn("gone", F.lit(0))]
+    unusable = edges.where(" or ".join(f"{c} is null" for c in ("src", "dst", "weight", *axes))).select(ident)
+    known = edges.where(" and ".join(f"{c} is not null" for c in ("src", "dst", "weight", *axes))).select(ident, "src", "dst", "weight", *axes)
+    blocks = Blocks(known, positions, axes, ident, own, edges.count())
+    out, gone = materialise(unusable.unionAll(blocks.unknown).distinct(), "unusable"), None
+    out = out if out.isEmpty() else materialise(out.join(blocks.idents(), ident, "left_anti"), "unusable")
+    steps = [out.withColumn("gone", F.lit(0))]
     for k in range(1, rounds + 1):
-        both = active.select(F.col("src").alias("id"), F.col("dst").alias("_near"), "weight", *(c.alias(f"_{a}") for a, c in offset.items()))
-        both = both.unionAll(active.select("dst", "src", "weight", *(-c for c in offset.values())))
-        for _ in range(sweeps):
-            said = both.join(at.select(F.col("id").alias("_near"), *axes), "_near")
-            sums = said.groupBy("id").agg(F.sum("weight").alias("_w"), *(F.sum(F.col("weight") * (F.col(a) + F.col(f"_{a}"))).alias(f"_{a}") for a in axes))
-            moved = [((own * F.col(a) + F.coalesce(f"_{a}", F.lit(0.0))) / (own + F.coalesce("_w", F.lit(0.0)))).alias(a) for a in axes]
-            at = materialise(at.join(sums, "id", "left").select("id", *moved), "positions")
-        ends = active.join(at.select(F.col("id").alias("src"), *(F.col(a).alias(f"_s{a}") for a in axes)), "src").join(at.select(F.col("id").alias("dst"), *(F.col(a).alias(f"_d{a}") for a in axes)), "dst")
-        miss = F.round(F.sqrt(sum((F.pow(F.col(f"_s{a}") - F.col(f"_d{a}") - F.col(a), F.lit(2)) for a in axes), F.lit(0.0))), 6)
-        bad = materialise(ends.withColumn("_m", miss).where(F.col("_m") > limit).select(ident, "src", "dst", F.struct("_m", ident).alias("_r")), "contradictions")
+        bad = blocks.swept(k, sweeps, gone, limit - 1e-6).withColumn("_m", F.round("_miss", 6)).where(F.col("_m") > limit)
+        bad = materialise(bad.select(ident, "src", "dst", "_block", F.struct("_m", ident).alias("_r")), "contradictions")
         worst = bad.select(F.col("src").alias("v"), "_r").unionAll(bad.select("dst", "_r")).groupBy("v").agg(F.max("_r").alias("_r"))
         gone = bad.join(worst.select(F.col("v").alias("src"), "_r"), ["src", "_r"], "left_semi").join(worst.select(F.col("v").alias("dst"), "_r"), ["dst", "_r"], "left_semi")
-        gone = materialise(gone.select(ident).withColumn("gone", F.lit(k)), "dropped")
+        gone = materialise(gone.select(ident, "_block", F.lit(k).alias("gone")), "dropped")
         if gone.isEmpty():
             dropped = steps[0]
             for s in steps[1:]:
                 dropped = dropped.unionAll(s)
             return edges.join(dropped, ident, "left")
-        steps.append(gone)
-        active = materialise(active.join(gone, ident, "left_anti"), "edges")
+        steps.append(gone.select(ident, "gone"))
     raise RuntimeError(f"contradictions remain after {rounds} rounds")
 
 

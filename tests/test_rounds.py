@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from framewise.operators import rounds, stencil
+from framewise.operators import blocks, rounds, stencil
 
 CAMERA = (30.0, 31.0, 9.5, 7.5)
 
@@ -103,6 +104,56 @@ def test_contradictions_go_worst_first(spark):
     assert {e: g for e, g in got.items() if g} == gone
 
 
+def test_contradictions_over_blocks(spark, monkeypatch):
+    """Blocks of a few edges, names as vertices, and idents that stand in several blocks or more than once."""
+    monkeypatch.setattr(blocks, "MOST", 25)
+    rng = random.Random(8)
+    true = {f"v{k}": (rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(30)}
+    rows = []
+    for e in range(160):
+        a, b = rng.sample(sorted(true), 2)
+        off = 2.0 + e / 100 if e % 11 == 0 else 0.0
+        rows.append((e, a, b, rng.uniform(1, 2), true[a][0] - true[b][0] + rng.uniform(-0.02, 0.02) + off, true[a][1] - true[b][1]))
+    rows += [(e, a, b, 0.5, true[a][0] - true[b][0], true[a][1] - true[b][1]) for e, a, b in ((11, "v1", "v2"), (33, "v29", "v0"), (33, "v3", "v28"), (150, "v7", "v8"))]
+    unusable = [(900, "v1", None, 1.0, 0.0, 0.0), (900, "v1", None, 1.0, 0.0, 0.0), (901, "v1", "none", 1.0, 0.0, 0.0), (902, "none", "none", 1.0, 0.0, 0.0), (4, "v1", "none", 1.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(rows + unusable, "edge long, src string, dst string, weight double, x double, y double")
+    at = spark.createDataFrame([(k, *p) for k, p in true.items()], "id string, x double, y double")
+    for sweeps in (0, 3):
+        found = rounds.without_contradictions(edges, at, ("x", "y"), 0.8, sweeps=sweeps, own=0.5).collect()
+        assert sorted(r.edge for r in found) == sorted(r[0] for r in rows + unusable)
+        got = {r.edge: r.gone for r in found}
+        assert [got[e] for e in (900, 901, 902)] == [0, 0, 0] and got[4] is None
+        place, live, gone = dict(true), list(rows), {}
+        for k in range(1, 100):
+            for _ in range(sweeps):
+                said = {v: [] for v in place}
+                for _, a, b, w, x, y in live:
+                    said[a].append((w, place[b][0] + x, place[b][1] + y))
+                    said[b].append((w, place[a][0] - x, place[a][1] - y))
+                place = {v: tuple((0.5 * place[v][c] + sum(s[0] * s[c + 1] for s in said[v])) / (0.5 + sum(s[0] for s in said[v])) for c in (0, 1)) for v in place}
+            miss = [(round(math.hypot(place[r[1]][0] - place[r[2]][0] - r[4], place[r[1]][1] - place[r[2]][1] - r[5]), 6), r[0]) for r in live]
+            bad = [(m, r) for m, r in zip(miss, live, strict=True) if m[0] > 0.8]
+            worst = {v: max(m for m, r in bad if v in r[1:3]) for _, q in bad for v in q[1:3]}
+            out = {r[0] for m, r in bad if worst[r[1]] == worst[r[2]] == m}
+            if not out:
+                break
+            gone |= dict.fromkeys(out, k)
+            live = [r for r in live if r[0] not in out]
+        assert {e: g for e, g in got.items() if g} == gone and len(gone) > 9
+
+
+def test_contradictions_shuffle_no_edges(spark, monkeypatch):
+    """A round joins no edges with places: its sweeps run over files of blocks, and only messages are dealt."""
+    plans, write = [], rounds.materialise
+    monkeypatch.setattr(rounds, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    edges = spark.range(40).select(F.col("id").alias("edge"), (F.col("id") % 5).alias("src"), (F.col("id") % 8 + 5).alias("dst"), F.lit(1.0).alias("weight"), F.when(F.col("id") == 7, 9.0).otherwise(0.0).alias("x"))
+    got = rounds.without_contradictions(edges, spark.range(13).select("id", F.lit(0.0).alias("x")), ("x",), 2.0).where("gone is not null").collect()
+    assert [tuple(r) for r in got if r.gone] and {r.edge for r in got} == {7}
+    swept = [p for name, p in plans if name == "contradictions"]
+    assert swept and not any("Join" in p or "FileScan" in p for p in swept[:1])
+    assert not any(name in ("positions", "edges") for name, _ in plans)
+
+
 def test_windings(spark):
     solid = [(0, 0, 1, 2), (1, 0, 1, 3), (2, 1, 2, 3), (3, 0, 3, 2)]  # a tetrahedron with some faces turned round
     band = [(10 + i, 100 + i, 100 + (i + 1) % 7, 100 + (i + 2) % 7) for i in range(7)]  # a one-sided band of seven
